@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, sharding
+from . import chat_format, exact_dedup, sharding, sp_codec, token_counts, token_store
+
+
+def vocabulary(name: str) -> str:
+    """Where the public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,15 +22,37 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.proportional_shards(_table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.encode_decode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op5_exact_dedup, op9_chat_format)}
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sharding,
+        op2_token_counts,
+        op5_exact_dedup,
+        op8_sentencepiece,
+        op9_chat_format,
+        op10_token_store,
+    )
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
