@@ -92,3 +92,16 @@ def id_remainder(doc_id: Column, k: int = 5) -> Column:
 def long_col(df: DataFrame, name: str) -> Column:
     """The column as long, or nulls where the table has none."""
     return (F.col(name) if name in df.columns else F.lit(None)).cast(T.LongType())
+
+
+def hot_split_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of `rows` with the written table `groups` (one row a key; `size`: its rows).
+
+    Rows of hot keys stay where they are: there are fewer than 1 / HOT_SHARE such keys, whatever
+    the input, and they are broadcast. The rest is merge-joined.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) > HOT_SHARE * total)
+    few = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.hint("merge"), key)
+    return few.unionByName(rest)

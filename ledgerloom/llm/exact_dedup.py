@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, checked_join, materialise, shuffle_partitions, work_dir
+from .common import checked_join, hot_split_join, materialise, shuffle_partitions, work_dir
 
 
 def normalised(text: Column) -> Column:
@@ -65,12 +65,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     groups = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "digest-groups")
     index.append_new(groups)
     stays = materialise(groups.drop("keep_id").join(index.rows().hint("merge"), "digest"), "digest-stays")
-    total = stays.agg(F.sum("group_size")).first()[0] or 0
-    # fewer than 1 / HOT_SHARE digests can be hot, so this side is small whatever the input
-    hot = stays.where(F.col("group_size") > HOT_SHARE * total)
-    few = rows.join(F.broadcast(hot), "digest")
-    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(stays.hint("merge"), "digest")
-    return few.unionByName(rest).select(
+    return hot_split_join(rows, stays, "digest", "group_size").select(
         "doc_id", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, sharding, sp_codec, token_counts, token_store
+from . import chat_format, exact_dedup, near_dedup, sharding, sp_codec, token_counts, token_store
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +30,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_decode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -48,6 +52,7 @@ QUERIES = {
         op1_sharding,
         op2_token_counts,
         op5_exact_dedup,
+        op7_near_dedup,
         op8_sentencepiece,
         op9_chat_format,
         op10_token_store,
@@ -59,6 +64,19 @@ ORACLE_SQL = {
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op7_near_dedup": r"""
+        WITH RECURSIVE w AS (
+               SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS sh
+                   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (sh) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+             l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+             r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+             m AS (SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+        FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op9_chat_format": r"""
         WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
              p AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n_turns,
