@@ -303,6 +303,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` but for those near an earlier one; columns as they are."""
+    """The rows of `docs` but for those near a smaller id, with their columns; rows without an id always stay."""
     gone = materialise(near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
     return checked_join(docs, gone, ["doc_id"], "left_anti")

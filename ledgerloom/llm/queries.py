@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, near_dedup, sharding, sp_codec, token_counts, token_store
+from . import chat_format, decontaminate, exact_dedup, near_dedup, quality, sharding, sp_codec, token_counts, token_store
 
 
 def vocabulary(name: str) -> str:
@@ -26,10 +26,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.15)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -51,7 +59,9 @@ QUERIES = {
     for f in (
         op1_sharding,
         op2_token_counts,
+        op3_quality,
         op5_exact_dedup,
+        op6_decontaminate,
         op7_near_dedup,
         op8_sentencepiece,
         op9_chat_format,
