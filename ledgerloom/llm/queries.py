@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, exact_dedup, near_dedup, quality, sharding, sp_codec, token_counts, token_store
+from . import chat_format, decontaminate, exact_dedup, gru_lm, near_dedup, quality, sharding, sp_codec, token_counts, token_store
 
 
 def vocabulary(name: str) -> str:
@@ -30,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(_table(spark, sf_dir, "documents"), held_out=1)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -60,6 +64,7 @@ QUERIES = {
         op1_sharding,
         op2_token_counts,
         op3_quality,
+        op4_lm_score,
         op5_exact_dedup,
         op6_decontaminate,
         op7_near_dedup,
