@@ -1,29 +1,54 @@
-"""Corpus pipeline: stages over documents, each written and read again before the next."""
+"""Corpus pipeline: stages over documents, each written and read again before the next.
+
+Every stage but the last returns the columns of documents for the rows it keeps, and works on all
+rows that the one before kept. Rows without an id are never filtered out by the stages that name
+rows by id (quality, near duplicates, decontamination); exact duplicates among them go.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup
+from ledgerloom.llm import decontaminate, exact_dedup, near_dedup, quality, sp_codec
 from ledgerloom.llm.common import work_dir
+from ledgerloom.llm.queries import vocabulary
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each normalised text, that of the smallest id."""
     return exact_dedup.keep_first(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8."""
+    return near_dedup.keep_one(docs, width=5, percent=80)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of each document, and the digests of ids and decoded text."""
+    return sp_codec.encode_decode(docs, vocabulary("piece_bpe_32k.model"), keep=["lang", "source"], with_ids=True)
+
+
+STAGES = [("quality", good), ("exact_dedup", distinct), ("near_dedup", apart), ("decontaminate", clean), ("sentencepiece", encoded)]
+#: The classifier's training is beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
+    for name, stage in STAGES[:-1]:
         path = work_dir(spark, f"stage-{name}")
-        out.write.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
