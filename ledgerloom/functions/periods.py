@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Days (exclusive) of a year, a quarter and the two year-to-date spans.
@@ -61,42 +61,42 @@ def fiscal_year_end(report_date: Column, focus: Column) -> Column:
     return F.when(ahead.isNotNull(), add_months_keeping_end(report_date, ahead.cast("int")))
 
 
-def classify(start: Column, end: Column, instant: Column, report_date: Column, year_focus: Column, focus: Column) -> Column:
-    """struct(period_type, period_key, period_start, period_end, fiscal_year, fiscal_quarter, is_ytd)."""
-    at = F.coalesce(instant, end)
+def classified(df: DataFrame, start: str, end: str, instant: str, report_date: str, year_focus: str, focus: str) -> DataFrame:
+    """Add period_type, period_key, period_start, period_end, fiscal_year, fiscal_quarter and is_ytd.
+
+    Step by step, so that no expression holds copies of the ones before.
+    """
+    start, end, instant, report, year_focus, focus = (F.col(c) for c in (start, end, instant, report_date, year_focus, focus))
+    col = F.col
+    df = df.withColumn("_at", F.coalesce(instant, end)).withColumn("_year_end", fiscal_year_end(report, focus))
     # half-even, as the rule for fiscal years is; a zero year counts as unknown
-    past = F.when(at <= report_date, F.nullif((year_focus - F.bround(F.datediff(report_date, at) / F.lit(364.25), 0)).cast("int"), F.lit(0)))
-    year_end = fiscal_year_end(report_date, focus)
-    before = F.struct(F.month(at), F.dayofmonth(at)) <= F.struct(F.month(year_end), F.dayofmonth(year_end))
-    inferred_year = F.coalesce(past, F.when(year_end.isNotNull(), F.when(before, F.year(at)).otherwise(F.year(at) + 1)))
-    day = F.least(F.dayofmonth(year_end), F.dayofmonth(F.last_day(F.make_date(inferred_year, F.month(year_end), F.lit(1)))))
-    q4 = F.make_date(inferred_year, F.month(year_end), day)
-    ends = [(1, -9), (2, -6), (3, -3), (4, 0)]
-    inferred_quarter = F.coalesce(*[F.when(at == add_months_keeping_end(q4, m), F.lit(q)) for q, m in ends])
-    by_focus = focus_quarter(focus)
-    instant_quarter = F.coalesce(inferred_quarter, by_focus, calendar_quarter_end(at))
-    same_day = (F.month(end) == F.month(report_date)) & (F.dayofmonth(end) == F.dayofmonth(report_date))
-    span_quarter = F.coalesce(inferred_quarter, F.when(same_day, by_focus), calendar_quarter_end(end))
-    days = F.datediff(end, start)
-    year = F.coalesce(inferred_year, F.year(at))
-    none = F.lit(None).cast("date")
-
-    def row(kind: str, key: Column, first: Column, last: Column, fy: Column, fq: Column, ytd: bool = False) -> Column:
-        return F.struct(
-            F.lit(kind).alias("period_type"), key.alias("period_key"), first.alias("period_start"), last.alias("period_end"),
-            fy.cast("int").alias("fiscal_year"), fq.cast("int").alias("fiscal_quarter"), F.lit(ytd).alias("is_ytd"),
-        )
-
-    def named(prefix: str, quarter: Column) -> Column:
-        return F.concat(F.lit(prefix), quarter, F.lit("_"), year)
-
-    q = F.coalesce(span_quarter, F.lit(1))
-    y = F.coalesce(span_quarter, F.when(days <= HALF[1], 2).otherwise(3))
-    return (
-        F.when(instant.isNotNull(), row("ASOF", F.concat(F.lit("ASOF_"), _key(instant)), instant, instant, year, instant_quarter))
-        .when(start.isNull() | end.isNull(), row("DUR_OTHER", F.lit("UNKNOWN_PERIOD"), F.coalesce(start, none), F.coalesce(end, none), F.year(end), F.lit(None)))
-        .when(_within(days, YEAR), row("FY", F.concat(F.lit("FY"), year), start, end, year, F.lit(4)))
-        .when(_within(days, QUARTER), row("Q", named("Q", q), start, end, year, q))
-        .when(_within(days, HALF) | _within(days, THREE_QUARTERS), row("YTD", named("YTD_Q", y), start, end, year, y, True))
-        .otherwise(row("DUR_OTHER", F.concat(F.lit("DUR_"), _key(start), F.lit("_"), _key(end)), start, end, year, span_quarter))
-    )
+    past = F.when(col("_at") <= report, F.nullif((year_focus - F.bround(F.datediff(report, col("_at")) / F.lit(364.25), 0)).cast("int"), F.lit(0)))
+    before = F.month(col("_at")) * 100 + F.dayofmonth(col("_at")) <= F.month(col("_year_end")) * 100 + F.dayofmonth(col("_year_end"))
+    by_end = F.when(col("_year_end").isNotNull(), F.when(before, F.year(col("_at"))).otherwise(F.year(col("_at")) + 1))
+    df = df.withColumn("_inferred", F.coalesce(past, by_end))
+    df = df.withColumn("_month", F.make_date(col("_inferred"), F.month(col("_year_end")), F.lit(1)))
+    df = df.withColumn("_q4", F.date_add(col("_month"), F.least(F.dayofmonth(col("_year_end")), F.dayofmonth(F.last_day(col("_month")))) - 1))
+    for q, months in ((1, -9), (2, -6), (3, -3), (4, 0)):
+        df = df.withColumn(f"_end{q}", add_months_keeping_end(col("_q4"), months))
+    inferred = F.coalesce(*[F.when(col("_at") == col(f"_end{q}"), F.lit(q)) for q in (1, 2, 3, 4)])
+    same_day = (F.month(end) == F.month(report)) & (F.dayofmonth(end) == F.dayofmonth(report))
+    by_focus = F.when(instant.isNotNull() | same_day, focus_quarter(focus))
+    df = df.withColumn("_quarter", F.coalesce(inferred, by_focus, calendar_quarter_end(col("_at"))))
+    df = df.withColumn("_days", F.datediff(end, start)).withColumn("_year", F.coalesce(col("_inferred"), F.year(col("_at"))))
+    days = col("_days")
+    kind = (
+        F.when(instant.isNotNull(), "ASOF").when(start.isNull() | end.isNull(), "DUR_OTHER").when(_within(days, YEAR), "FY").when(_within(days, QUARTER), "Q")
+        .when(_within(days, HALF) | _within(days, THREE_QUARTERS), "YTD").otherwise("DUR_OTHER")
+    )
+    df = df.withColumn("period_type", kind)
+    kind, known = col("period_type"), instant.isNotNull() | (start.isNotNull() & end.isNotNull())
+    by_kind = F.when(kind == "FY", 4).when(kind == "Q", F.coalesce(col("_quarter"), F.lit(1))).when(kind == "YTD", F.coalesce(col("_quarter"), F.when(days <= HALF[1], 2).otherwise(3)))
+    df = df.withColumn("fiscal_quarter", F.when(known, F.coalesce(by_kind, col("_quarter"))).cast("int"))
+    df = df.withColumn("fiscal_year", F.when(known, col("_year")).otherwise(F.year(end)).cast("int"))
+    named = F.concat(F.when(kind == "YTD", "YTD_Q").otherwise("Q"), col("fiscal_quarter"), F.lit("_"), col("fiscal_year"))
+    key = (
+        F.when(kind == "ASOF", F.concat(F.lit("ASOF_"), _key(instant))).when(~known, "UNKNOWN_PERIOD").when(kind == "FY", F.concat(F.lit("FY"), col("fiscal_year")))
+        .when(kind == "DUR_OTHER", F.concat(F.lit("DUR_"), _key(start), F.lit("_"), _key(end))).otherwise(named)
+    )
+    df = df.withColumn("period_key", key).withColumn("period_start", F.coalesce(instant, start)).withColumn("period_end", F.coalesce(instant, end)).withColumn("is_ytd", kind == "YTD")
+    return df.drop("_at", "_year_end", "_inferred", "_month", "_q4", "_end1", "_end2", "_end3", "_end4", "_quarter", "_days", "_year")

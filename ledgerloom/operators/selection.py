@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.numbers import digest
-from ..functions.periods import classify
+from ..functions.periods import classified
 
 
 def with_periods(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """Facts with their fiscal periods; filings are few beside facts, their join key is the filing."""
     own = filings.select("filing_id", "report_date", "fiscal_year_focus", "fiscal_period_focus")
-    period = classify(*[F.col(c) for c in ("start_date", "end_date", "instant_date", "report_date", "fiscal_year_focus", "fiscal_period_focus")])
-    rows = facts.join(own, "filing_id").withColumn("_p", period)
-    return rows.select(*facts.columns, "_p.*")
+    rows = classified(facts.join(own, "filing_id"), "start_date", "end_date", "instant_date", "report_date", "fiscal_year_focus", "fiscal_period_focus")
+    return rows.drop("report_date", "fiscal_year_focus", "fiscal_period_focus")
 
 
 def top_or_ambiguous(rows: DataFrame, keys: list[str], order: list[Column], distinct: Column, pick: Column) -> DataFrame:

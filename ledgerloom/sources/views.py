@@ -110,3 +110,11 @@ def facts_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     filed = written(sql(spark, sf_dir, f"WITH {FILED_SQL} SELECT * FROM filed"), "filed")
     filed.createOrReplaceTempView("filed")
     return written(spark.sql(f"WITH {_REST_SQL} SELECT * FROM facts_canon").coalesce(4), "facts")
+
+
+#: Facts, contexts and units with dangling references, for the raw joins.
+RAW_JOIN_SQL = """
+f AS (SELECT o_orderkey % 97 AS filing_id, o_custkey AS context_id, o_orderkey % 5000 AS unit_id FROM orders),
+c AS (SELECT DISTINCT o_orderkey % 97 AS filing_id, c_custkey AS context_id, c_acctbal AS acctbal FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0),
+u AS (SELECT DISTINCT o_orderkey % 97 AS filing_id, p_partkey AS unit_id, p_brand AS brand FROM orders JOIN part ON o_orderkey % 5000 = p_partkey)
+"""
