@@ -40,7 +40,7 @@ HIDDEN = 32
 WINDOW = 16
 LANES = 256
 #: The words broadcast with their counts: 16 bytes each.
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 18
 #: Documents of the sample that the network is first fitted to.
 WARM_DOCS = 1200
 WARM_EPOCHS = 3
@@ -240,9 +240,10 @@ class Counts:
             if n > HEAD_WORDS:
                 least = row["level"] + 1
                 break
-        head = vocab.where(level >= least).select("h", "c").toPandas()  # HEAD_WORDS rows at most
-        order = np.argsort(head["h"].to_numpy().view(np.uint64)) if len(head) else []
-        self.head, self.head_counts = head["h"].to_numpy(np.int64).view(np.uint64)[order], head["c"].to_numpy(np.int64)[order]
+        head = vocab.where(level >= least).select("h", "c").toArrow()  # HEAD_WORDS rows at most
+        hashes, times = (head.column(c).to_numpy().astype(np.int64) for c in ("h", "c"))
+        order = np.argsort(hashes.view(np.uint64))
+        self.head, self.head_counts = hashes.view(np.uint64)[order], times[order]
         own = vocab.where(F.col("s") > 0).orderBy(F.desc("c"), "h").limit(OWN).select("h", "s", "c").collect()
         sums = np.full(CLASSES, 0.5)
         self.end = 0
