@@ -4,11 +4,13 @@ Every distinct shingle set is embedded as `SIGNATURE` minwise tokens. A tree bra
 along the tokens that a hash of the path so far selects, `FIRST_BRANCHES` at the root and 1 / t
 (t: the threshold) below, both in expectation, so documents of similarity t stay together with a
 probability that a further tree repeats independently. A node of at most `SMALL` documents is
-compared exhaustively; a larger one is first linked through its centre, and branches on unless all
-its documents are then known to be connected. `TREES` trees leave out a pair at the threshold with
-a probability below 1e-6 at the first level.
+compared exhaustively; a larger one is first linked through its centre, the
+document most alike to the others. If all its documents are
+then known to be connected it is done; if all but `SMALL` are, each of these few is compared to all
+others in blocks; else the node branches on. `TREES` trees leave out a pair at the threshold with
+a probability below 1e-4 at the first level, and less above it.
 
-Comparisons in a node use 8-bit sketches of the tokens and only nominate pairs, at a similarity five
+Comparisons in a node use 8-bit sketches of the tokens and only nominate pairs, at a similarity four
 standard deviations below the threshold; every link is confirmed on the full sets. Pairs whose ends
 are connected already are not nominated, so a group of near copies costs links in proportion to its
 size, and no link between two components is lost: nominations are repeated for every pair of a
@@ -24,20 +26,27 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .bytesops import LOWER, mix, slices, span_hashes, words
 from .common import checked_join, hot_split_join, materialise
 from .components import components
 
 SIGNATURE = 128
-TREES = 12
+#: The least for which a pair at the threshold meets in a first-level node with probability 0.9999:
+#: a tree misses it with exp(-FIRST_BRANCHES * 0.8).
+TREES = 6
 FIRST_BRANCHES = 2.0
-SMALL = 64
+SMALL = 200
+PROBES = 16
+#: Levels that a large node goes down before its parts are counted again.
+STEPS = 3
 _NO_ID = -(2**63)
 _ODD = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -118,7 +127,10 @@ def _branch(threshold: float):
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 tokens = mix(fixed(part.column("sketch"), "u1", SIGNATURE).astype(np.uint64) ^ _PLACE)
                 path = part.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-                row, node = chosen(tokens, mix(path), 1 / threshold)
+                row, node = np.arange(len(tokens)), path.view(np.int64)
+                for _ in range(STEPS):
+                    own, node = chosen(tokens[row], mix(node.view(np.uint64)), 1 / threshold)
+                    row = row[own]
                 yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
 
     return run
@@ -145,6 +157,17 @@ def _to_centre(least: int):
     return run
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the places in which their sketch agrees with the node's probes, added up."""
+    for batch in batches:
+        probes = batch.column("probes")
+        sizes = np.diff(probes.offsets.to_numpy())
+        each = fixed(batch.column("sketch"), "u1", SIGNATURE)[np.repeat(np.arange(len(sizes)), sizes)]
+        same = (each == fixed(probes.flatten(), "u1", SIGNATURE)).sum(axis=1)
+        alike = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=same, minlength=len(sizes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "set_key", "sketch", "root")], pa.array(alike)], ["node", "set_key", "sketch", "root", "alike"])
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
     """(starts of the runs of one node, rows): runs are whole, a run that reaches a batch's end waits."""
     held = None
@@ -163,44 +186,41 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
 
 
 def _nominate(least: int, all_pairs: bool):
-    """Pairs of small nodes that look similar: a spanning forest, or all pairs of different `root`s."""
+    """Pairs of small nodes that look similar and have different `root`s: a spanning forest of the roots, or all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, rows in _blocks(batches):
             sketch = fixed(rows.column("sketch"), "u1", SIGNATURE)
             keys = rows.column("set_key").to_pylist()
-            roots = rows.column("root").to_pylist() if all_pairs else None
+            roots = np.unique(np.array(rows.column("root").to_pylist(), "S16"), return_inverse=True)[1]
             sizes = np.diff(starts)
             one = starts[:-1][sizes == 2]  # the bulk: two documents
-            near = one[(sketch[one] == sketch[one + 1]).sum(axis=1) >= least]
+            near = one[(roots[one] != roots[one + 1]) & ((sketch[one] == sketch[one + 1]).sum(axis=1) >= least)]
             left, right = near.tolist(), (near + 1).tolist()
             for a, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                if all_pairs and len(set(roots[a : a + n])) == 1:
+                own, root = sketch[a : a + n], roots[a : a + n]
+                if (root == root[0]).all():
                     continue
-                own = sketch[a : a + n]
                 same = np.concatenate([(own[k + 1 :] == own[k]).sum(axis=1) for k in range(n - 1)])
                 first, second = np.triu_indices(n, 1)
-                at = np.flatnonzero(same >= least)
+                at = np.flatnonzero((same >= least) & (root[first] != root[second]))
                 if not all_pairs and len(at):
-                    up = list(range(n))
+                    up = {int(r): int(r) for r in root}
 
-                    def top(x: int, up: list[int] = up) -> int:
+                    def top(x: int, up: dict[int, int] = up) -> int:
                         while up[x] != x:
                             up[x] = x = up[up[x]]
                         return x
 
                     forest = []
                     for k in at[np.argsort(-same[at], kind="stable")].tolist():
-                        x, y = top(int(first[k])), top(int(second[k]))
+                        x, y = top(int(root[first[k]])), top(int(root[second[k]]))
                         if x != y:
                             up[y] = x
                             forest.append(k)
                     at = np.array(forest, np.int64)
                 left += (first[at] + a).tolist()
                 right += (second[at] + a).tolist()
-            if all_pairs:
-                apart = [k for k in range(len(left)) if roots[left[k]] != roots[right[k]]]
-                left, right = [left[k] for k in apart], [right[k] for k in apart]
             yield _ordered([keys[k] for k in left], [keys[k] for k in right])
 
     return run
@@ -210,7 +230,7 @@ class _Join:
     def __init__(self, docs: DataFrame, width: int, percent: int):
         self.docs, self.width, self.percent = docs, width, percent
         t = percent / 100
-        self.least = int(SIGNATURE * (t - 5 * (t * (1 - t) / SIGNATURE) ** 0.5))
+        self.least = int(SIGNATURE * (t - 4 * (t * (1 - t) / SIGNATURE) ** 0.5))
         self.rows = materialise(_features(docs, width), "near-features")
         known = self.rows.where("set_key IS NOT NULL")
         grouped = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
@@ -220,10 +240,20 @@ class _Join:
     def live(self, nodes: DataFrame) -> DataFrame:
         """Rows of the nodes of two documents or more, with the node's size and its sketches."""
         nodes = materialise(nodes.distinct(), "near-nodes")
-        sizes = materialise(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("centre")).where("n > 1"), "near-sizes")
+        sizes = materialise(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
         rows = nodes.join(sizes.hint("merge"), "node")
         return materialise(rows.join(self.sketches.hint("merge"), "set_key"), "near-live")
 
+    def centres(self, many: DataFrame) -> DataFrame:
+        """The document of each large node that is on average most alike to PROBES of its others."""
+        order = W.Window.partitionBy("node").orderBy(F.xxhash64("set_key"), "set_key")
+        probes = many.select("node", "set_key", "sketch").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PROBES)
+        probes = materialise(probes.groupBy("node").agg(F.collect_list("sketch").alias("probes")), "near-probes")
+        alike = checked_join(many, probes, ["node"]).select("node", "set_key", "sketch", "root", "probes")
+        alike = alike.mapInArrow(_alike, "node long, set_key binary, sketch binary, root binary, alike long")
+        best = alike.groupBy("node").agg(F.max(F.struct("alike", "set_key", "sketch", "root")).alias("_b"))
+        return best.select("node", F.col("_b.set_key").alias("centre"), F.col("_b.sketch").alias("centre_sketch"), F.col("_b.root").alias("centre_root"))
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar on their full sets, which are taken from the texts again."""
         ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
@@ -247,51 +277,89 @@ class _Join:
         alike = F.lit(100) * F.col("shared") >= F.lit(self.percent) * (F.col("total") - F.col("shared"))
         return materialise(both.where(alike).select("a", "b"), "near-links")
 
-    def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    def labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         """`rows` with the root of each set; a set without links is its own."""
+        if labels is None:
+            return rows.withColumn("root", F.col("set_key"))
         named = rows.join(labels.withColumnRenamed("key", "set_key").hint("merge"), "set_key", "left")
         return named.withColumn("root", F.coalesce("root", "set_key"))
 
+    def merged(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """The labels after further links."""
+        if labels is None:
+            return components(links)
+        for end in ("a", "b"):
+            named = links.withColumnRenamed(end, "key").join(labels.hint("merge"), "key", "left")
+            links = named.select(F.coalesce("root", "key").alias(end), *[c for c in links.columns if c != end])
+        links = materialise(links.where("a <> b").distinct(), "near-joins")
+        if links.isEmpty():
+            return labels
+        moved = materialise(components(links), "near-moved")
+        old = checked_join(labels.withColumnRenamed("root", "was"), moved.select(F.col("key").alias("was"), "root"), ["was"], "left")
+        old = old.select("key", F.coalesce("root", "was").alias("root"))
+        fresh = moved.join(labels.select("key").hint("merge"), "key", "left_anti").select("key", "root")
+        return materialise(old.unionByName(fresh), "near-labels")
+
     def links(self) -> DataFrame:
+        """All confirmed links that connect what is connected."""
         pair = "a binary, b binary"
         nodes = self.sets.select("set_key", "sig").mapInArrow(_roots, "node long, set_key binary")
-        found, tried, small, labels = None, None, None, None
+        found, tried, labels, small = [], [], None, []
+        union = lambda frames: reduce(DataFrame.unionByName, frames)
+
+        def confirm(pairs: DataFrame) -> None:
+            nonlocal labels
+            pairs = pairs.distinct()
+            if tried:
+                pairs = pairs.join(union(tried).hint("merge"), ["a", "b"], "left_anti")
+            pairs = materialise(pairs, "near-pairs")
+            tried.append(pairs)
+            found.append(self.confirmed(pairs))
+            labels = self.merged(labels, found[-1])
+
         while True:
             live = self.live(nodes)
-            few = live.where(F.col("n") <= SMALL).select("node", "set_key", "sketch")
-            small = few if small is None else small.unionByName(few)
+            if labels is not None:
+                live = materialise(self.labelled(live, labels), "near-labelled")
+            else:
+                live = self.labelled(live, None)
+            few = live.where(F.col("n") <= SMALL).select("node", "set_key", "sketch", "root")
+            small.append(few.drop("root"))
             many = live.where(F.col("n") > SMALL)
-            centres = materialise(many.where("set_key = centre").select("node", F.col("sketch").alias("centre_sketch")), "near-centres")
-            has_many = not centres.isEmpty()
+            centres = materialise(self.centres(many), "near-centres")
             pairs = few.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, False), pair)
-            if has_many:
-                star = checked_join(many.where("set_key <> centre"), centres, ["node"])
-                pairs = pairs.unionByName(star.select("set_key", "sketch", "centre", "centre_sketch").mapInArrow(_to_centre(self.least), pair))
-            pairs = materialise(pairs.distinct(), "near-pairs")
-            if tried is not None:
-                pairs = materialise(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-            new = self.confirmed(pairs)
-            found = new if found is None else found.unionByName(new)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            labels = components(found)
-            if not has_many:
+            if centres.isEmpty():
+                confirm(pairs)
                 break
-            named = materialise(self.labelled(many.select("node", "set_key", "sketch"), labels), "near-large")
-            mixed = named.groupBy("node").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("node")
-            mixed = materialise(mixed, "near-mixed")
-            if mixed.isEmpty():
+            star = checked_join(many, centres, ["node"]).where("set_key <> centre AND root <> centre_root")
+            star = star.select("set_key", "sketch", "centre", "centre_sketch").mapInArrow(_to_centre(self.least), pair)
+            confirm(pairs.unionByName(star))
+            named = materialise(self.labelled(many.select("node", "n", "set_key", "sketch"), labels), "near-large")
+            parts = named.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node")
+            parts = parts.agg(F.max(F.struct("c", "root")).alias("_m"), F.sum("c").alias("_n"))
+            parts = materialise(parts.select("node", F.col("_m.root").alias("most"), (F.col("_n") - F.col("_m.c")).alias("others")).where("others > 0"), "near-parts")
+            rows = materialise(checked_join(named, parts, ["node"]), "near-mixed")
+            # a few beside one component: each of the few meets all, in blocks
+            blocks = F.ceil(F.col("n") / SMALL).cast("int")
+            near = rows.where(F.col("others") <= SMALL)
+            block = F.when(F.col("root") == F.col("most"), F.array(F.pmod(F.xxhash64("set_key"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
+            near = near.withColumn("_b", F.explode(block)).select(F.xxhash64("node", "_b").alias("node"), "set_key", "sketch")
+            small.append(near)
+            rest = rows.where(F.col("others") > SMALL)
+            if rest.isEmpty():
                 break
-            nodes = checked_join(named, mixed, ["node"], "left_semi").select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), "node long, set_key binary")
-        apart = self.labelled(small, labels).repartition("node").sortWithinPartitions("node")
-        pairs = materialise(apart.mapInArrow(_nominate(self.least, True), pair).distinct(), "near-pairs")
-        pairs = materialise(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "near-pairs")
-        return found.unionByName(self.confirmed(pairs))
+            nodes = rest.select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), "node long, set_key binary")
+        apart = self.labelled(union(small), labels).repartition("node").sortWithinPartitions("node")
+        confirm(apart.mapInArrow(_nominate(self.least, True), pair))
+        self.labels = labels
+        return union(found)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest connected id) and kept of every row."""
     join = _Join(docs, width, percent)
-    labels = components(join.links())
+    join.links()
+    labels = join.labels
     named = materialise(join.labelled(join.sets.select("set_key", "doc_id", "n_rows"), labels), "near-named")
     least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_sets")), "near-least")
     sets = hot_split_join(named.select("set_key", "root", "n_rows"), least, "root", "n_sets")
