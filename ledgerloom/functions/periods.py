@@ -11,7 +11,7 @@ YEAR, QUARTER, HALF, THREE_QUARTERS = (330, 370), (80, 110), (170, 205), (260, 3
 
 def strict_date(text: Column) -> Column:
     """A date only from yyyy-mm-dd; anything else is null."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
 
 
 def add_months_keeping_end(day: Column, months: Column | int) -> Column:
