@@ -195,22 +195,28 @@ class Gru:
         for j, s in enumerate(seqs):
             y[: len(s), j] = s
         h, x = np.zeros((len(seqs), HIDDEN), np.float32), np.full(len(seqs), CLASSES, np.uint8)
-        got = np.zeros(y.shape, np.float32)
         active = np.searchsorted(-lengths, -np.arange(len(y)), "left")
+        deal = np.array([k for lane in lanes for k in lane])
+        ends = np.cumsum([len(lane) for lane in lanes])
+        at = ends - [len(lane) for lane in lanes]  # the document that each lane is in
+        total = np.zeros(len(seqs))
         for t in range(len(y)):
             n = int(active[t])
             h = self.cell(x[:n], h[:n])[0]
             target = y[t, :n]
             logits = h @ self.p["o"] + self.p["c"]
             top = logits.max(axis=1)
-            got[t, :n] = logits[np.arange(n), target] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-            over = target == 0  # a document ends: the next begins afresh
-            x = np.where(over, np.uint8(CLASSES), target)
-            h = np.where(over[:, None], np.float32(0), h)
-        for j, lane in enumerate(lanes):
-            ends = np.cumsum([len(texts[k]) for k in lane])
-            sums = np.concatenate([[0], np.cumsum(got[:, j], dtype=np.float64)])
-            out[lane] = sums[ends] - sums[ends - [len(texts[k]) for k in lane]]
+            total[:n] += logits[np.arange(n), target] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+            x = target
+            over = np.flatnonzero(target == 0)  # a document ends: the next begins afresh
+            if len(over):
+                out[deal[at[over]]] = total[over]
+                total[over], at[over] = 0, at[over] + 1
+                x = target.copy()
+                x[over] = CLASSES
+                h[over] = 0
+        left = at < ends  # without an end
+        out[deal[at[left]]] = total[left]
         return out / np.log(10)
 
 
