@@ -9,8 +9,10 @@ from pyspark.sql import window as W
 from ..functions import text as tx
 from ..functions.numbers import digest
 from ..functions.periods import classified
+from ..operators.chunking import chunks
 from ..operators.retrieval import bm25, top_k
 from ..operators.sampling import balanced_sample, holdout, round_robin, stable_rank
+from ..sources.html_text import narrative_texts
 from ..sources.views import FACTS_SQL, RAW_JOIN_SQL, facts_canon, table
 from ..sources.views import sql as run_sql
 
@@ -271,7 +273,16 @@ def hard_negatives_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("negative_id", digest(F.col("filing_id"), F.col("period_key"), F.col("kind"), F.col("challenge")))
 
 
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(_docs(spark, sf_dir), "doc_id")
+
+
+def html_narrative_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return narrative_texts(table(spark, sf_dir, "pages"), "page_id")
+
+
 QUERIES = {
+    "chunk_pack": chunk_pack, "html_narrative_text": html_narrative_text,
     "facts_raw_left_joins": facts_raw_left_joins, "period_classify": period_classify, "text_number_mask": text_number_mask, "text_support_exact": text_support_exact,
     "query_tokens": query_tokens, "section_spans": section_spans, "subheading_carry_forward": subheading_carry_forward, "bm25_topk": bm25_topk, "bm25_rerank": bm25_rerank,
     "ir_metrics": ir_metrics, "issuer_holdout_split": issuer_holdout_split, "issuer_year_holdout": issuer_year_holdout, "stable_rank_sample": stable_rank_sample,
