@@ -311,6 +311,17 @@ _BM25_SQL = """WITH dw AS (SELECT source AS scope, doc_id, regexp_extract_all(lo
 _SHARE = "('0x' || substr(sha1({0}), 1, 8))::BIGINT % 5"
 
 ORACLE_SQL = {
+    "period_classify": """WITH b AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS e, [0, 90, 182, 273, 364, 40][CAST(o_orderkey % 6 + 1 AS INT)] AS days, ['FY', 'Q1', 'Q2', 'Q3'][CAST(o_custkey % 4 + 1 AS INT)] AS focus, last_day(CAST(CAST(o_orderdate AS DATE) + to_months(6) AS DATE)) AS rep FROM orders),
+        y AS (SELECT *, CAST(year(rep) - round_even(date_diff('day', e, rep) / 364.25, 0) AS BIGINT) AS fy, last_day(CAST(rep + to_months(CASE focus WHEN 'FY' THEN 0 WHEN 'Q3' THEN 3 WHEN 'Q2' THEN 6 ELSE 9 END) AS DATE)) AS fye FROM b),
+        q AS (SELECT *, make_date(fy, month(fye), CAST(least(day(fye), day(last_day(make_date(fy, month(fye), 1)))) AS BIGINT)) AS q4 FROM y),
+        k AS (SELECT *, coalesce(CASE WHEN e = CASE WHEN q4 = last_day(q4) THEN last_day(CAST(q4 + to_months(-9) AS DATE)) ELSE CAST(q4 + to_months(-9) AS DATE) END THEN 1 WHEN e = CASE WHEN q4 = last_day(q4) THEN last_day(CAST(q4 + to_months(-6) AS DATE)) ELSE CAST(q4 + to_months(-6) AS DATE) END THEN 2 WHEN e = CASE WHEN q4 = last_day(q4) THEN last_day(CAST(q4 + to_months(-3) AS DATE)) ELSE CAST(q4 + to_months(-3) AS DATE) END THEN 3 WHEN e = q4 THEN 4 END,
+                    CASE WHEN days = 0 OR (month(e) = month(rep) AND day(e) = day(rep)) THEN CASE focus WHEN 'FY' THEN 4 WHEN 'Q1' THEN 1 WHEN 'Q2' THEN 2 ELSE 3 END END,
+                    CASE WHEN e = last_day(e) AND month(e) % 3 = 0 THEN quarter(e) END) AS fq,
+                    CASE days WHEN 0 THEN 'ASOF' WHEN 90 THEN 'Q' WHEN 364 THEN 'FY' WHEN 40 THEN 'DUR_OTHER' ELSE 'YTD' END AS period_type FROM q),
+        f AS (SELECT *, CAST(CASE period_type WHEN 'FY' THEN 4 WHEN 'Q' THEN coalesce(fq, 1) WHEN 'YTD' THEN coalesce(fq, CASE WHEN days <= 205 THEN 2 ELSE 3 END) ELSE fq END AS BIGINT) AS fiscal_quarter FROM k)
+        SELECT o_orderkey, period_type, fy AS fiscal_year, fiscal_quarter,
+               CASE period_type WHEN 'ASOF' THEN 'ASOF_' || strftime(e, '%Y%m%d') WHEN 'FY' THEN 'FY' || fy WHEN 'Q' THEN 'Q' || fiscal_quarter || '_' || fy WHEN 'YTD' THEN 'YTD_Q' || fiscal_quarter || '_' || fy
+                    ELSE 'DUR_' || strftime(CAST(e - to_days(40) AS DATE), '%Y%m%d') || '_' || strftime(e, '%Y%m%d') END AS period_key FROM f""",
     "facts_raw_left_joins": f"WITH {RAW_JOIN_SQL} SELECT filing_id, count(*) AS n, count(acctbal) AS n_context, count(brand) AS n_unit FROM f LEFT JOIN c USING (filing_id, context_id) LEFT JOIN u USING (filing_id, unit_id) GROUP BY 1",
     "text_number_mask": "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, 'Paid <NUM> for <NUM> units, ' || CASE WHEN length(CAST(l_orderkey AS VARCHAR)) > 1 THEN '<NUM>' || right(CAST(l_orderkey AS VARCHAR), 1) ELSE CAST(l_orderkey AS VARCHAR) END || 'x and A9 in <NUM>' AS masked FROM lineitem",
     "text_support_exact": f"WITH d AS (SELECT doc_id, {_NORM} AS body FROM documents), b AS (SELECT item_id, {_NORM} AS claim FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(body, claim) AND claim <> '' AND list_contains(string_split(body, ' '), split_part(claim, ' ', 1))",
