@@ -88,7 +88,7 @@ class UnitTable:
     `encode` gives both for a list of units.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], np.ndarray | bool]], most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], np.ndarray | bool]], most: int = 500_000):
         self.encode, self.most = encode, most
         self.clear()
 
