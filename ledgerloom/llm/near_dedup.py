@@ -14,7 +14,9 @@ Comparisons in a node use 8-bit sketches of the tokens and only nominate pairs,
 standard deviations below the threshold; every link is confirmed on the full sets. Pairs whose ends
 are connected already are not nominated, so a group of near copies costs links in proportion to its
 size, and no link between two components is lost: nominations are repeated for every pair of a
-small node that the first links left apart.
+small node that the first links left apart. Where these would outnumber the node's documents, as in
+a group that is just below the threshold, the full sets of the node are gathered instead and all its
+pairs compared at once, as a product of its membership matrix.
 
 Defined cases: a text without words (null and empty too) has an empty set and is linked to nothing;
 a text of fewer words than a shingle is one shingle; equal sets are linked; rows that repeat an id
@@ -47,6 +49,10 @@ SMALL = 200
 PROBES = 16
 #: Levels that a large node goes down before its parts are counted again.
 STEPS = 3
+#: A small node with more nominated pairs a row than this is settled at once, on its full sets.
+PAIRS_A_ROW = 1
+#: Shingles that a node settled at once may hold, 8 bytes each; the pairs of longer ones are joined.
+NODE_ITEMS = 2_000_000
 _NO_ID = -(2**63)
 _ODD = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -185,18 +191,42 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.
         yield np.array([0, held.num_rows]), held
 
 
-def _nominate(least: int, all_pairs: bool):
-    """Pairs of small nodes that look similar and have different `root`s: a spanning forest of the roots, or all pairs."""
+def _forest(root: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[int]:
+    """The places of those pairs, in their order, that join roots which the earlier ones left apart."""
+    up = {int(r): int(r) for r in root}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    kept = []
+    for k in range(len(first)):
+        x, y = top(int(root[first[k]])), top(int(root[second[k]]))
+        if x != y:
+            up[y] = x
+            kept.append(k)
+    return kept
+
+
+def _nominate(least: int, per_row: int | None, forest: bool = False):
+    """Pairs (a, b) of small nodes that look similar and have different `root`s.
+
+    With `forest` only a spanning forest of the roots is nominated. Else a node of more than
+    `per_row` pairs a row yields (set_key, root, node) of each row that is in a pair instead, so
+    that the rows made stay in proportion to those read; None: pairs in any case.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, rows in _blocks(batches):
             sketch = fixed(rows.column("sketch"), "u1", SIGNATURE)
-            keys = rows.column("set_key").to_pylist()
-            roots = np.unique(np.array(rows.column("root").to_pylist(), "S16"), return_inverse=True)[1]
+            keys, names = rows.column("set_key").to_pylist(), rows.column("root").to_pylist()
+            nodes = rows.column("node").to_pylist()
+            roots = np.unique(np.array(names, "S16"), return_inverse=True)[1]
             sizes = np.diff(starts)
             one = starts[:-1][sizes == 2]  # the bulk: two documents
             near = one[(roots[one] != roots[one + 1]) & ((sketch[one] == sketch[one + 1]).sum(axis=1) >= least)]
-            left, right = near.tolist(), (near + 1).tolist()
+            left, right, marked = near.tolist(), (near + 1).tolist(), []
             for a, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 own, root = sketch[a : a + n], roots[a : a + n]
                 if (root == root[0]).all():
@@ -204,23 +234,63 @@ def _nominate(least: int, all_pairs: bool):
                 same = np.concatenate([(own[k + 1 :] == own[k]).sum(axis=1) for k in range(n - 1)])
                 first, second = np.triu_indices(n, 1)
                 at = np.flatnonzero((same >= least) & (root[first] != root[second]))
-                if not all_pairs and len(at):
-                    up = {int(r): int(r) for r in root}
-
-                    def top(x: int, up: dict[int, int] = up) -> int:
-                        while up[x] != x:
-                            up[x] = x = up[up[x]]
-                        return x
-
-                    forest = []
-                    for k in at[np.argsort(-same[at], kind="stable")].tolist():
-                        x, y = top(int(root[first[k]])), top(int(root[second[k]]))
-                        if x != y:
-                            up[y] = x
-                            forest.append(k)
-                    at = np.array(forest, np.int64)
+                if forest:
+                    at = at[np.argsort(-same[at], kind="stable")]
+                    at = at[_forest(root, first[at], second[at])]
+                elif per_row is not None and len(at) > per_row * n:
+                    marked += (np.union1d(first[at], second[at]) + a).tolist()
+                    continue
                 left += (first[at] + a).tolist()
                 right += (second[at] + a).tolist()
+            pairs = _ordered([keys[k] for k in left], [keys[k] for k in right])
+            yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(len(left), pa.int64())], ["a", "b", "node"])
+            if marked:
+                columns = [pa.array([keys[k] for k in marked], pa.binary()), pa.array([names[k] for k in marked], pa.binary()), pa.array([nodes[k] for k in marked], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "node"])
+
+    return run
+
+
+def shared_items(items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, set k being items[offsets[k] : offsets[k + 1]]."""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    _, place, count = np.unique(items, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count > 1)  # an item of one set is in no intersection
+    column = np.full(len(count), -1)
+    column[often] = np.arange(len(often))
+    place = column[place]
+    row, place = row[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((n, n), np.int64)
+    for lo in range(0, len(often), 8192):
+        a, b = np.searchsorted(place, [lo, lo + 8192])
+        has = np.zeros((n, min(8192, len(often) - lo)), np.float32)
+        has[row[a:b], place[a:b] - lo] = 1
+        out += (has @ has.T).astype(np.int64)
+    return out
+
+
+def _links_within(percent: int):
+    """A spanning forest, over the roots, of the links of each node, from the full sets of its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for starts, rows in _blocks(batches):
+            keys = rows.column("set_key").to_pylist()
+            roots = np.unique(np.array(rows.column("root").to_pylist(), "S16"), return_inverse=True)[1]
+            items = rows.column("items")
+            values, bounds = items.values.to_numpy(zero_copy_only=False), items.offsets.to_numpy()
+            left, right = [], []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                at = bounds[a : b + 1]
+                shared = shared_items(values[at[0] : at[-1]], at - at[0])
+                size, root = np.diff(at).astype(np.int64), roots[a:b]
+                alike = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+                first, second = np.nonzero(np.triu(alike & (root[:, None] != root[None, :]), 1))
+                kept = _forest(root, first, second)
+                left += (first[kept] + a).tolist()
+                right += (second[kept] + a).tolist()
             yield _ordered([keys[k] for k in left], [keys[k] for k in right])
 
     return run
@@ -254,10 +324,9 @@ class _Join:
         best = alike.groupBy("node").agg(F.max(F.struct("alike", "set_key", "sketch", "root")).alias("_b"))
         return best.select("node", F.col("_b.set_key").alias("centre"), F.col("_b.sketch").alias("centre_sketch"), F.col("_b.root").alias("centre_root"))
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar on their full sets, which are taken from the texts again."""
-        ends = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-        wanted = self.sets.select("set_key", "doc_id").join(ends.hint("merge"), "set_key", "left_semi")
+    def items(self, keys: DataFrame) -> DataFrame:
+        """set_key and items of the wanted keys (and perhaps some others), from the texts."""
+        wanted = self.sets.select("set_key", "doc_id").join(keys.hint("merge"), "set_key", "left_semi")
         wanted = materialise(wanted.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_id")).distinct(), "near-wanted")
         width = self.width
 
@@ -269,7 +338,11 @@ class _Join:
 
         texts = self.docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.col("text").cast("string"))
         items = checked_join(texts, wanted, ["_id"], "left_semi").select("text").mapInArrow(run, "set_key binary, items array<long>")
-        items = materialise(items, "near-items")
+        return materialise(items.dropDuplicates(["set_key"]), "near-items")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are similar on their full sets."""
+        items = self.items(pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct())
         both = pairs.withColumnRenamed("a", "set_key").join(items.hint("merge"), "set_key")
         both = both.select(F.col("set_key").alias("a"), F.col("b").alias("set_key"), F.col("items").alias("of_a")).join(items.hint("merge"), "set_key")
         shared = F.size(F.array_intersect("of_a", "items")).cast("long")
@@ -302,7 +375,7 @@ class _Join:
 
     def links(self) -> DataFrame:
         """All confirmed links that connect what is connected."""
-        pair = "a binary, b binary"
+        pair, found_as = "a binary, b binary", "a binary, b binary, node long"
         nodes = self.sets.select("set_key", "sig").mapInArrow(_roots, "node long, set_key binary")
         found, tried, labels, small = [], [], None, []
         union = lambda frames: reduce(DataFrame.unionByName, frames)
@@ -327,7 +400,7 @@ class _Join:
             small.append(few.drop("root"))
             many = live.where(F.col("n") > SMALL)
             centres = materialise(self.centres(many), "near-centres")
-            pairs = few.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, False), pair)
+            pairs = few.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, None, forest=True), found_as).select("a", "b")
             if centres.isEmpty():
                 confirm(pairs)
                 break
@@ -349,8 +422,26 @@ class _Join:
             if rest.isEmpty():
                 break
             nodes = rest.select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), "node long, set_key binary")
-        apart = self.labelled(union(small), labels).repartition("node").sortWithinPartitions("node")
-        confirm(apart.mapInArrow(_nominate(self.least, True), pair))
+        apart = self.labelled(union(small), labels)
+        nominated = apart.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, PAIRS_A_ROW), found_as)
+        nominated = materialise(nominated, "near-nominated")
+        pairs = nominated.where("node IS NULL").select("a", "b")
+        dense = nominated.where("node IS NOT NULL").select(F.col("a").alias("set_key"), F.col("b").alias("root"), "node")
+        weights = dense.join(self.sets.select("set_key", "n_shingles").hint("merge"), "set_key").groupBy("node").agg(F.sum("n_shingles").alias("_w"))
+        heavy = materialise(weights.where(F.col("_w") > NODE_ITEMS).select("node"), "near-heavy")
+        if not heavy.isEmpty():  # too long to be held at once
+            held = checked_join(apart, heavy, ["node"], "left_semi").select("node", "set_key", "sketch", "root")
+            held = held.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, None), found_as)
+            pairs = pairs.unionByName(held.select("a", "b"))
+            dense = checked_join(dense, heavy, ["node"], "left_anti")
+        confirm(pairs)
+        dense = self.labelled(dense.select("set_key", "node"), labels)
+        if not dense.isEmpty():
+            sets = self.items(dense.select("set_key").distinct())
+            whole = dense.join(sets.hint("merge"), "set_key").select("node", "set_key", "root", "items")
+            links = whole.repartition("node").sortWithinPartitions("node").mapInArrow(_links_within(self.percent), pair)
+            found.append(materialise(links.distinct(), "near-links"))
+            labels = self.merged(labels, found[-1])
         self.labels = labels
         return union(found)
 

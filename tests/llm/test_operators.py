@@ -193,6 +193,28 @@ def test_large_nodes(spark, monkeypatch):
     assert got == classes(rows, 4)
 
 
+@pytest.mark.parametrize("held", [2_000_000, 1000])
+def test_groups_just_below_the_threshold(spark, monkeypatch, held):
+    """Nodes of many similar pairs that are not linked: settled at once, or joined if they are too long."""
+    monkeypatch.setattr(near_dedup, "NODE_ITEMS", held)
+    base, rows = prose(120).split(), []
+    for k in range(60):
+        own = list(base)
+        for at in rng.sample(range(len(base)), 2 + k % 3):
+            own[at] = word()
+        rows.append((k, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, rows), 4).collect()}
+    assert got == classes(rows, 4)
+
+
+def test_shared_items_counts_intersections():
+    sets = [np.unique(np.array([rng.randrange(30000) for _ in range(n)], np.int64)) for n in (0, 1, 9000, 12000, 20000, 7)]
+    got = near_dedup.shared_items(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or got[i, j] == len(np.intersect1d(a, b))
+
+
 def edit_distance_within(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item):
