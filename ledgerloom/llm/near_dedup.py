@@ -116,15 +116,19 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First-level nodes of all trees."""
-    for batch in batches:
-        for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-            tokens = mix(fixed(part.column("sig"), "<u4", SIGNATURE).astype(np.uint64) ^ _PLACE)
-            for tree in range(TREES):
-                seed = np.full(len(tokens), 0x5851F42D4C957F2D * (tree + 1) & (2**64 - 1), np.uint64)
-                row, node = chosen(tokens, seed, FIRST_BRANCHES)
-                yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
+def _roots(trees: range):
+    """First-level nodes of the trees."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                tokens = mix(fixed(part.column("sig"), "<u4", SIGNATURE).astype(np.uint64) ^ _PLACE)
+                for tree in trees:
+                    seed = np.full(len(tokens), 0x5851F42D4C957F2D * (tree + 1) & (2**64 - 1), np.uint64)
+                    row, node = chosen(tokens, seed, FIRST_BRANCHES)
+                    yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
+
+    return run
 
 
 def _branch(threshold: float):
@@ -307,10 +311,11 @@ class _Join:
         self.sets = materialise(grouped, "near-sets")
         self.sketches = materialise(self.sets.select("set_key", "sig").mapInArrow(_sketches, "set_key binary, sketch binary"), "near-sketches")
 
-    def live(self, nodes: DataFrame) -> DataFrame:
-        """Rows of the nodes of two documents or more, with the node's size and its sketches."""
-        nodes = materialise(nodes.distinct(), "near-nodes")
-        sizes = materialise(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
+    def live(self, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Rows of the nodes whose documents are not all connected, with the node's size, their roots and sketches."""
+        nodes = materialise(self.labelled(nodes.distinct(), labels), "near-nodes")
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
+        sizes = materialise(sizes.where("_lo < _hi").select("node", "n"), "near-sizes")
         rows = nodes.join(sizes.hint("merge"), "node")
         return materialise(rows.join(self.sketches.hint("merge"), "set_key"), "near-live")
 
@@ -376,7 +381,10 @@ class _Join:
     def links(self) -> DataFrame:
         """All confirmed links that connect what is connected."""
         pair, found_as = "a binary, b binary", "a binary, b binary, node long"
-        nodes = self.sets.select("set_key", "sig").mapInArrow(_roots, "node long, set_key binary")
+        node = "node long, set_key binary"
+        roots = lambda trees: self.sets.select("set_key", "sig").mapInArrow(_roots(trees), node)
+        # groups that the first tree connects are not looked at in the others
+        nodes, later = roots(range(1)), roots(range(1, TREES))
         found, tried, labels, small = [], [], None, []
         union = lambda frames: reduce(DataFrame.unionByName, frames)
 
@@ -391,11 +399,8 @@ class _Join:
             labels = self.merged(labels, found[-1])
 
         while True:
-            live = self.live(nodes)
-            if labels is not None:
-                live = materialise(self.labelled(live, labels), "near-labelled")
-            else:
-                live = self.labelled(live, None)
+            live = self.live(nodes, labels)
+            nodes, later = later, None
             few = live.where(F.col("n") <= SMALL).select("node", "set_key", "sketch", "root")
             small.append(few.drop("root"))
             many = live.where(F.col("n") > SMALL)
@@ -403,7 +408,9 @@ class _Join:
             pairs = few.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, None, forest=True), found_as).select("a", "b")
             if centres.isEmpty():
                 confirm(pairs)
-                break
+                if nodes is None:
+                    break
+                continue
             star = checked_join(many, centres, ["node"]).where("set_key <> centre AND root <> centre_root")
             star = star.select("set_key", "sketch", "centre", "centre_sketch").mapInArrow(_to_centre(self.least), pair)
             confirm(pairs.unionByName(star))
@@ -419,9 +426,11 @@ class _Join:
             near = near.withColumn("_b", F.explode(block)).select(F.xxhash64("node", "_b").alias("node"), "set_key", "sketch")
             small.append(near)
             rest = rows.where(F.col("others") > SMALL)
-            if rest.isEmpty():
+            if not rest.isEmpty():
+                below = rest.select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), node)
+                nodes = below if nodes is None else nodes.unionByName(below)
+            if nodes is None:
                 break
-            nodes = rest.select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), "node long, set_key binary")
         apart = self.labelled(union(small), labels)
         nominated = apart.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, PAIRS_A_ROW), found_as)
         nominated = materialise(nominated, "near-nominated")
