@@ -52,7 +52,9 @@ STEPS = 3
 #: A small node with more nominated pairs a row than this is settled at once, on its full sets.
 PAIRS_A_ROW = 1
 #: Shingles that a node settled at once may hold, 8 bytes each; the pairs of longer ones are joined.
-NODE_ITEMS = 2_000_000
+NODE_ITEMS = 500_000
+#: Rows that a worker looks at together.
+ROWS = 512
 _NO_ID = -(2**63)
 _ODD = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLACE = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -89,6 +91,13 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ROWS rows, so that a worker's arrays are small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def fixed(column: pa.Array, dtype: str, width: int) -> np.ndarray:
     """A binary column of equal lengths as a matrix of `width` items a row."""
     out = np.frombuffer(b"".join(column.to_pylist()), dtype)
@@ -104,7 +113,7 @@ def chosen(tokens: np.ndarray, path: np.ndarray, branches: float) -> tuple[np.nd
 
 def _features(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             n, key, sig = [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
@@ -120,28 +129,26 @@ def _roots(trees: range):
     """First-level nodes of the trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                tokens = mix(fixed(part.column("sig"), "<u4", SIGNATURE).astype(np.uint64) ^ _PLACE)
-                for tree in trees:
-                    seed = np.full(len(tokens), 0x5851F42D4C957F2D * (tree + 1) & (2**64 - 1), np.uint64)
-                    row, node = chosen(tokens, seed, FIRST_BRANCHES)
-                    yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
+        for part in parts(batches):
+            tokens = mix(fixed(part.column("sig"), "<u4", SIGNATURE).astype(np.uint64) ^ _PLACE)
+            for tree in trees:
+                seed = np.full(len(tokens), 0x5851F42D4C957F2D * (tree + 1) & (2**64 - 1), np.uint64)
+                row, node = chosen(tokens, seed, FIRST_BRANCHES)
+                yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
 
     return run
 
 
 def _branch(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
-                tokens = mix(fixed(part.column("sketch"), "u1", SIGNATURE).astype(np.uint64) ^ _PLACE)
-                path = part.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-                row, node = np.arange(len(tokens)), path.view(np.int64)
-                for _ in range(STEPS):
-                    own, node = chosen(tokens[row], mix(node.view(np.uint64)), 1 / threshold)
-                    row = row[own]
-                yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
+        for part in parts(batches):
+            tokens = mix(fixed(part.column("sketch"), "u1", SIGNATURE).astype(np.uint64) ^ _PLACE)
+            path = part.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
+            row, node = np.arange(len(tokens)), path.view(np.int64)
+            for _ in range(STEPS):
+                own, node = chosen(tokens[row], mix(node.view(np.uint64)), 1 / threshold)
+                row = row[own]
+            yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
 
     return run
 
@@ -169,7 +176,7 @@ def _to_centre(least: int):
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the places in which their sketch agrees with the node's probes, added up."""
-    for batch in batches:
+    for batch in parts(batches):
         probes = batch.column("probes")
         sizes = np.diff(probes.offsets.to_numpy())
         each = fixed(batch.column("sketch"), "u1", SIGNATURE)[np.repeat(np.arange(len(sizes)), sizes)]
@@ -336,7 +343,7 @@ class _Join:
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 sets = list(shingle_sets(batch.column("text"), width))
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_key", "items"])
