@@ -389,9 +389,7 @@ class _Join:
         """All confirmed links that connect what is connected."""
         pair, found_as = "a binary, b binary", "a binary, b binary, node long"
         node = "node long, set_key binary"
-        roots = lambda trees: self.sets.select("set_key", "sig").mapInArrow(_roots(trees), node)
-        # groups that the first tree connects are not looked at in the others
-        nodes, later = roots(range(1)), roots(range(1, TREES))
+        nodes = self.sets.select("set_key", "sig").mapInArrow(_roots(range(TREES)), node)
         found, tried, labels, small = [], [], None, []
         union = lambda frames: reduce(DataFrame.unionByName, frames)
 
@@ -407,7 +405,6 @@ class _Join:
 
         while True:
             live = self.live(nodes, labels)
-            nodes, later = later, None
             few = live.where(F.col("n") <= SMALL).select("node", "set_key", "sketch", "root")
             small.append(few.drop("root"))
             many = live.where(F.col("n") > SMALL)
@@ -415,9 +412,7 @@ class _Join:
             pairs = few.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, None, forest=True), found_as).select("a", "b")
             if centres.isEmpty():
                 confirm(pairs)
-                if nodes is None:
-                    break
-                continue
+                break
             star = checked_join(many, centres, ["node"]).where("set_key <> centre AND root <> centre_root")
             star = star.select("set_key", "sketch", "centre", "centre_sketch").mapInArrow(_to_centre(self.least), pair)
             confirm(pairs.unionByName(star))
@@ -433,11 +428,9 @@ class _Join:
             near = near.withColumn("_b", F.explode(block)).select(F.xxhash64("node", "_b").alias("node"), "set_key", "sketch")
             small.append(near)
             rest = rows.where(F.col("others") > SMALL)
-            if not rest.isEmpty():
-                below = rest.select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), node)
-                nodes = below if nodes is None else nodes.unionByName(below)
-            if nodes is None:
+            if rest.isEmpty():
                 break
+            nodes = rest.select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), node)
         apart = self.labelled(union(small), labels)
         nominated = apart.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, PAIRS_A_ROW), found_as)
         nominated = materialise(nominated, "near-nominated")
