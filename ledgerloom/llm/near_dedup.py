@@ -7,8 +7,11 @@ probability that a further tree repeats independently. A node of at most `SMALL`
 compared exhaustively; a larger one is first linked through its centre, the
 document most alike to the others. If all its documents are
 then known to be connected it is done; if all but `SMALL` are, each of these few is compared to all
-others in blocks; else the node branches on. `TREES` trees leave out a pair at the threshold with
-a probability below 1e-4 at the first level, and less above it.
+others in blocks; else a node of at most `BLOCKED` documents is compared exhaustively in blocks, and
+the documents of larger ones go down new trees, `STEPS` levels deeper each time. At 1 / t branches a
+pair at the threshold is less and less likely to stay together in one tree, so the number of trees
+grows with the depth (`repetitions`): such a pair is left out with a probability below 1e-4 over the
+first level (`TREES` trees) and all later ones together, and a pair above the threshold with less.
 
 Comparisons in a node use 8-bit sketches of the tokens and only nominate pairs, at a similarity four
 standard deviations below the threshold; every link is confirmed on the full sets. Pairs whose ends
@@ -27,6 +30,7 @@ that holds another id; an empty table gives no rows; further columns are ignored
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -47,8 +51,12 @@ TREES = 6
 FIRST_BRANCHES = 2.0
 SMALL = 200
 PROBES = 16
-#: Levels that a large node goes down before its parts are counted again.
+#: Levels that the documents of large nodes go down before their nodes are counted again.
 STEPS = 3
+#: A node of at most so many documents that its links leave apart is compared exhaustively, in blocks.
+BLOCKED = 1000
+#: For all depths below the first level together, what TREES leave of 1e-4; each depth has half of what is left.
+MISS = 3e-5
 #: A small node with more nominated pairs a row than this is settled at once, on its full sets.
 PAIRS_A_ROW = 1
 #: Shingles that a node settled at once may hold, 8 bytes each; the pairs of longer ones are joined.
@@ -125,34 +133,40 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
-def _roots(trees: range):
-    """First-level nodes of the trees."""
+def repetitions(threshold: float, depth: int, miss: float) -> int:
+    """The least number of trees of which none keeps a pair at the threshold together, `depth` levels below the first, with probability `miss`.
+
+    The pair agrees in a binomial number of places, and each of these tokens is selected on its own.
+    """
+    equal = np.arange(SIGNATURE + 1)
+    weight = np.array([math.comb(SIGNATURE, k) * threshold**k * (1 - threshold) ** (SIGNATURE - k) for k in equal.tolist()])
+    lost = np.zeros(len(equal))  # of a common node, that no path leads on from it to the depth
+    for _ in range(depth):
+        lost = (1 - (1 - lost) / (threshold * SIGNATURE)) ** equal
+    tree = (1 - (1 - lost) * FIRST_BRANCHES / SIGNATURE) ** equal
+    trees = 1
+    while (weight * tree**trees).sum() > miss:
+        trees += 1
+    return trees
+
+
+def _nodes(column: str, dtype: str, trees: range, depth: int, threshold: float):
+    """Nodes of the trees, `depth` levels below the first, from the tokens in `column`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
-            tokens = mix(fixed(part.column("sig"), "<u4", SIGNATURE).astype(np.uint64) ^ _PLACE)
+            tokens = mix(fixed(part.column(column), dtype, SIGNATURE).astype(np.uint64) ^ _PLACE)
             for tree in trees:
                 seed = np.full(len(tokens), 0x5851F42D4C957F2D * (tree + 1) & (2**64 - 1), np.uint64)
                 row, node = chosen(tokens, seed, FIRST_BRANCHES)
+                for _ in range(depth):
+                    own, node = chosen(tokens[row], mix(node.view(np.uint64)), 1 / threshold)
+                    row = row[own]
                 yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
 
     return run
 
 
-def _branch(threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
-            tokens = mix(fixed(part.column("sketch"), "u1", SIGNATURE).astype(np.uint64) ^ _PLACE)
-            path = part.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-            row, node = np.arange(len(tokens)), path.view(np.int64)
-            for _ in range(STEPS):
-                own, node = chosen(tokens[row], mix(node.view(np.uint64)), 1 / threshold)
-                row = row[own]
-            yield pa.RecordBatch.from_arrays([pa.array(node), part.column("set_key").take(pa.array(row))], ["node", "set_key"])
-
-    return run
-
-
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         low = (fixed(batch.column("sig"), "<u4", SIGNATURE) & 255).astype(np.uint8)
@@ -389,8 +403,9 @@ class _Join:
         """All confirmed links that connect what is connected."""
         pair, found_as = "a binary, b binary", "a binary, b binary, node long"
         node = "node long, set_key binary"
-        nodes = self.sets.select("set_key", "sig").mapInArrow(_roots(range(TREES)), node)
+        nodes = self.sets.select("set_key", "sig").mapInArrow(_nodes("sig", "<u4", range(TREES), 0, self.percent / 100), node)
         found, tried, labels, small = [], [], None, []
+        depth, grown, miss = 0, TREES, MISS
         union = lambda frames: reduce(DataFrame.unionByName, frames)
 
         def confirm(pairs: DataFrame) -> None:
@@ -428,9 +443,19 @@ class _Join:
             near = near.withColumn("_b", F.explode(block)).select(F.xxhash64("node", "_b").alias("node"), "set_key", "sketch")
             small.append(near)
             rest = rows.where(F.col("others") > SMALL)
-            if rest.isEmpty():
+            # all with all: each pair of runs of about SMALL / 2 documents is a small node
+            runs = F.ceil(F.col("n") / (SMALL / 2)).cast("int")
+            whole = rest.where(F.col("n") <= BLOCKED).withColumn("_i", F.pmod(F.xxhash64("set_key"), runs).cast("int"))
+            whole = whole.withColumn("_j", F.explode(F.sequence(F.lit(0), runs - 1)))
+            small.append(whole.select(F.xxhash64("node", F.least("_i", "_j"), F.greatest("_i", "_j"), F.lit("runs")).alias("node"), "set_key", "sketch"))
+            deep = rest.where(F.col("n") > BLOCKED)
+            if deep.isEmpty():
                 break
-            nodes = rest.select("node", "set_key", "sketch").mapInArrow(_branch(self.percent / 100), node)
+            depth, miss = depth + STEPS, miss / 2
+            trees = range(grown, grown + repetitions(self.percent / 100, depth, miss))
+            grown = trees.stop
+            deep = materialise(deep.select("set_key", "sketch").dropDuplicates(["set_key"]), "near-deep")
+            nodes = deep.mapInArrow(_nodes("sketch", "u1", trees, depth, self.percent / 100), node)
         apart = self.labelled(union(small), labels)
         nominated = apart.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, PAIRS_A_ROW), found_as)
         nominated = materialise(nominated, "near-nominated")

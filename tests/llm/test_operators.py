@@ -315,3 +315,23 @@ def test_chats(spark):
     parts = chat_format.format_chats(table(spark, [(1, k, "user", str(k)) for k in range(10)], turns), part_turns=3).orderBy("part").collect()
     assert len(parts) == 4 and re.findall(r"\n(\d)<", "".join(p.text for p in parts)) == list("0123456789")
     assert chat_format.format_chats(table(spark, [], turns)).count() == 0
+
+
+@pytest.mark.parametrize("blocked", [1000, 150])
+def test_near_duplicates_templated(spark, monkeypatch, blocked):
+    """Pairs just above the threshold in a group of which all other pairs are far below it, in nodes of hundreds."""
+    monkeypatch.setattr(near_dedup, "BLOCKED", blocked, raising=False)
+    own = random.Random(5)
+    template, rows = [f"w{own.getrandbits(40)}" for _ in range(804)], []
+    for pair in range(300):
+        places = own.sample(range(6, 800, 6), 29)  # far apart: each changes five shingles
+        for k, mine in enumerate((places[12:20], places[20:])):
+            text = list(template)
+            for at in places[:12]:
+                text[at] = f"p{pair}x{at}"
+            for at in mine:
+                text[at] = f"d{pair}x{k}x{at}"
+            rows.append((2 * pair + k, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    missed = [p for p in range(300) if got[2 * p + 1] != 2 * p]
+    assert missed == [] and len(set(got.values())) == 300
