@@ -53,13 +53,22 @@ def text_number_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), tx.mask_numbers(text).alias("masked"))
 
 
+def _supported(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where the document's text holds the whole item, white space aside, wherever the item begins and ends."""
+    docs = docs.select("doc_id", tx.collapse(F.col("text")).alias("body"))
+    claims = items.select("item_id", tx.collapse(F.col("text")).alias("claim")).where("claim <> ''").withColumn("_w", F.split("claim", " "))
+    # a word between two spaces of the claim is a word of every text that holds it; the outer words may touch other characters there
+    inner = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0)))
+    claims = claims.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).drop("_w")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    long = words.join(claims, "word").join(docs, "doc_id").where(F.contains("body", F.col("claim"))).select("doc_id", "item_id")
+    short = docs.join(claims.where("word IS NULL").drop("word"), F.contains("body", F.col("claim"))).select("doc_id", "item_id")
+    return long.unionByName(short).distinct()
+
+
 def text_support_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text word for word: the items are few and are sent to the documents."""
-    docs, items = _docs(spark, sf_dir).select("doc_id", tx.collapse(F.col("text")).alias("body")), table(spark, sf_dir, "benchmark")
-    claims = items.select("item_id", tx.collapse(F.col("text")).alias("claim")).where("claim <> ''").withColumn("head", F.element_at(F.split("claim", " "), 1))
-    # every claim's first word is a word of the text that holds it: an equi join, and only its documents' texts are looked at
-    heads = docs.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("head"))
-    return heads.join(claims, "head").join(docs, "doc_id").where(F.contains("body", F.col("claim"))).select("doc_id", "item_id").distinct()
+    """Documents that hold a benchmark text word for word."""
+    return _supported(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
