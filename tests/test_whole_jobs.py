@@ -15,3 +15,12 @@ def test_support_wherever_the_claim_begins(spark, tmp_path):
     folder = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(items, "item_id long, text string"))
     got = sorted(map(tuple, corpus_queries.text_support_exact(spark, folder).collect()))
     assert got == [(1, 10), (2, 10), (4, 11), (4, 12), (5, 12), (7, 10)]
+
+
+def test_ir_metrics_count_misses(spark, tmp_path):
+    """One item found first, one second, one below the fifth place, one in no document, one whose words are nowhere."""
+    docs = [(1, "src1", "alpha beta"), (2, "src1", "alpha gamma"), (3, "src2", "dog cat"), (4, "src2", "the cat dog of the house")]
+    docs += [(10 + k, "src3", "fox eel") for k in range(6)] + [(30, "src3", "an eel fox " + "and more " * 40), (40, "src4", "hen goat"), (41, "src1", "goat hen")]
+    items = [(1, "alpha beta"), (2, "cat dog"), (3, "eel fox"), (4, "goat hen"), (5, "nothing of it")]
+    folder = tables(spark, tmp_path, documents=([(d, t, s) for d, s, t in docs], "doc_id long, text string, source string"), benchmark=(items, "item_id long, text string"))
+    assert [tuple(r) for r in corpus_queries.ir_metrics(spark, folder).collect()] == [(5, 0.4, 0.2, 0.3)]
