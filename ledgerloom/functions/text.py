@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +70,40 @@ SECRETS = {
     "api_token": r"(sk|hf|ghp)[-_][A-Za-z0-9]{16,}",
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
 }
+
+#: Injection classes, searched after `plain`; Python's expressions.
+INJECTION_CLASSES = {
+    k: re.compile(p, re.IGNORECASE)
+    for k, p in {
+        "IGNORE_INSTRUCTIONS": r"\b(?:ignore|disregard|override)\b.{0,48}\b(?:instruction|message|prompt|rule)s?\b",
+        "ROLE_OVERRIDE": r"\b(?:you are now|act as|switch role|new role|forget\b.{0,48}\b(?:directive|instruction|rule|task)s?)\b",
+        "COMMAND_OVERRIDE": r"\b(?:follow|obey|execute|comply with)\b.{0,64}\b(?:command|directive|instruction|text below|instead of (?:the )?task)\b",
+        "ROLE_LABEL": r"(?:^|[\r\n])\s*(?:system|assistant|developer)\s*:\s*|<\s*/?\s*(?:system|assistant|developer)(?:\s[^>]*)?>",
+        "SYSTEM_PROMPT_REFERENCE": r"\b(?:system prompt|developer message|hidden instructions?)\b",
+        "SECRET_EXFILTRATION": r"\b(?:reveal|print|return|send|show|dump|disclose|exfiltrate)\b.{0,64}\b(?:secret|credential|api[ _-]?key|token)s?\b",
+        "MODEL_CONTROL_TOKEN": r"(?:<\|(?:im_start|im_end|system|assistant)\|>|\[/?INST\]|BEGIN\s+SYSTEM)",
+    }.items()
+}
+#: Secrets beside SECRETS (whose private_key is wider than the reference's), searched in the bytes.
+SECRET_BYTES = {
+    "hugging_face_token": re.compile(rb"\bhf_[A-Za-z0-9]{20,}\b"),
+    "credential_assignment": re.compile(rb"(?:COMPANIES_HOUSE_API_KEY|HF_TOKEN|AWS_SECRET_ACCESS_KEY)\s*=\s*['\"]?(?!\$\{|\$|<|REPLACE|CHANGE_ME)[^\s'\"]{8,}", re.IGNORECASE),
+}
+
+
+@cache
+def _format_characters() -> dict[int, None]:
+    return {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
+
+
+def plain(text: str) -> str:
+    """NFKC without format characters."""
+    return text if text.isascii() else unicodedata.normalize("NFKC", text).translate(_format_characters())
+
+
+def scan(text: str | None) -> list[str]:
+    """The classes of INJECTION_CLASSES and SECRET_BYTES that a text has; null has none."""
+    if text is None:
+        return []
+    own, data = plain(text), text.encode("utf-8", "surrogatepass")
+    return [k for k, p in INJECTION_CLASSES.items() if p.search(own)] + [k for k, p in SECRET_BYTES.items() if p.search(data)]
