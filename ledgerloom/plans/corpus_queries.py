@@ -266,7 +266,7 @@ def injection_and_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uk_current_fact_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven filters in turn; the first that leaves nothing names the refusal, more than one value is ambiguous."""
+    """Three nested filters, of A9's seven stages; the first that leaves nothing names the refusal, more than one value is ambiguous."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_tax")
     s1 = F.col("l_returnflag") == "N"
     s2 = s1 & (F.col("l_linestatus") == "O")
