@@ -1,4 +1,4 @@
-"""Stable ranks, hash splits, quotas, round robin and the greedy balanced sample."""
+"""Stable ranks, hash splits, round robin and the greedy balanced sample."""
 
 from __future__ import annotations
 

@@ -278,7 +278,7 @@ def uk_current_fact_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def company_name_core_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers matched to customers by normalised core name: exact key first, then core key."""
+    """Suppliers matched to customers by normalised core name, the core key alone."""
     left = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Acme "), F.col("s_suppkey") % 37, F.lit(" Holdings PLC")).alias("name"))
     right = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("ACME "), F.col("c_custkey") % 37, F.lit(", Ltd.")).alias("other"))
     pairs = left.withColumn("key", tx.company_key(F.col("name"))).join(right.withColumn("key", tx.company_key(F.col("other"))).groupBy("key").agg(F.min("c_custkey").alias("c_custkey"), F.count(F.lit(1)).alias("n")), "key")
