@@ -1,8 +1,8 @@
 """Token counts of whole texts, exactly as the vocabulary's library gives them.
 
-Texts up to `chunk_bytes` are counted as they are; longer ones are encoded in overlapping chunks
-with offsets, spliced at stable common boundaries, and overlaps widen where there is none (see
-wordbpe.WordBpe.stable_pieces). The scan's rows are counted where they are read: no shuffle.
+Texts up to `chunk_bytes` are counted as they are; longer ones are cut into units in
+overlapping chunks that end after white space, and overlaps widen where there is none (see
+wordbpe.WordBpe.stable_pieces); a unit table replaces splicing encoded overlaps by offsets. The scan's rows are counted where they are read: no shuffle.
 
 Defined cases: a null text has no bytes and no tokens; a null id and repeated rows are kept as they
 are; an empty table gives no rows; further columns are ignored.
