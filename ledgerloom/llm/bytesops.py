@@ -11,6 +11,8 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes hashed together; a span may be longer.
+BLOCK = 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -18,19 +20,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, np.uint64)
+def powers(base: int) -> np.ndarray:
+    """base**0 .. base**BLOCK modulo 2**64."""
+    if base not in _powers:
+        have = np.full(BLOCK + 1, base, np.uint64)
         have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-        if n > 1 << 24:  # keep no tables for outsized texts
-            del _powers[base]
-    return have[:n]
+        _powers[base] = np.multiply.accumulate(have)
+    return _powers[base]
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = 256 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) in runs of rows of about `limit` bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -75,17 +74,40 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same wherever the span stands."""
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * powers(_INV, len(data) + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    """A 64-bit hash of each span of bytes, the same wherever the span stands; spans in order, apart.
+
+    The bytes are looked at in blocks, so that the sums take memory for BLOCK bytes, not for all.
+    """
+    out = np.empty(len(starts), np.uint64)
+    k = 0
+    while k < len(starts):
+        first = int(starts[k])
+        stop = max(k + 1, int(np.searchsorted(ends, first + BLOCK, "right")))
+        if ends[stop - 1] - first > BLOCK:
+            out[k] = _long_sum(data[first : ends[k]])
+        else:
+            own = data[first : ends[stop - 1]]
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers(_BASE)[: len(own)], out=sums[1:])
+            at = starts[k:stop] - first
+            out[k:stop] = (sums[ends[k:stop] - first] - sums[at]) * powers(_INV)[at]
+        k = stop
+    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _long_sum(data: np.ndarray) -> np.uint64:
+    total = 0
+    for at in range(0, len(data), BLOCK):
+        own = data[at : at + BLOCK].astype(np.uint64) + np.uint64(1)
+        total += int((own * powers(_BASE)[: len(own)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return np.uint64(total & _MASK)
 
 
 class UnitTable:
     """Ids and a flag of each distinct unit seen by this worker; cleared whenever it holds `most` units.
 
-    `encode` gives both for a list of units.
+    `encode` gives both for a list of units. Hashes are kept in two sorted arrays, of which the
+    smaller takes new ones, so a unit costs some 40 bytes.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], np.ndarray | bool]], most: int = 500_000):
@@ -93,29 +115,35 @@ class UnitTable:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
-        self.flag = np.zeros(1 << 16, bool)
-        self.ids, self.used = np.zeros(1 << 18, np.uint16), 0
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.old, self.recent, self.n = nothing, nothing, 0
+        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.flag = np.zeros(1 << 14, bool)
+        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's entry of each unit data[start:end]; new distinct units are encoded once."""
-        if len(self.at) > self.most:
+        if self.n > self.most:
             self.clear()
         distinct, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        found = np.fromiter((self.at.get(k, -1) for k in keys), np.int64, len(keys))
+        found = np.full(len(distinct), -1, np.int64)
+        for keys, values in (self.old, self.recent):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                found = np.where(keys[at] == distinct, values[at], found)
         if len(new := np.flatnonzero(found < 0)):
             raw = data.tobytes()
             units = [raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            found[new] = np.arange(len(self.at), len(self.at) + len(new))
+            found[new] = np.arange(self.n, self.n + len(new))
             self._add(*self.encode(units))
-            self.at.update((keys[i], int(found[i])) for i in new.tolist())
+            self.recent = _merged(self.recent, (distinct[new], found[new].astype(np.int32)))
+            if 8 * len(self.recent[0]) > len(self.old[0]):
+                self.old, self.recent = _merged(self.old, self.recent), (distinct[:0], new[:0].astype(np.int32))
         return found[inverse]
 
     def _add(self, ids: list[list[int]], flags: np.ndarray | bool) -> None:
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        total, have = int(sizes.sum()), len(self.at)
+        total, have = int(sizes.sum()), self.n
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
         while have + len(ids) > len(self.start):
@@ -125,6 +153,7 @@ class UnitTable:
         self.size[have : have + len(ids)] = sizes
         self.flag[have : have + len(ids)] = flags
         self.used += total
+        self.n += len(ids)
 
     def gather(self, entries: np.ndarray) -> np.ndarray:
         """The ids of the units, one after the other."""
@@ -134,6 +163,12 @@ class UnitTable:
         return self.ids[np.repeat(self.start[entries] - (ends - sizes), sizes) + np.arange(total)]
 
 
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, values = (np.concatenate(x) for x in zip(a, b, strict=True))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], values[order]
+
+
 def row_sums(values: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     """Sums of `values` by row, as integers."""
     sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

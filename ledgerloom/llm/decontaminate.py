@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import doc_starts, mix, slices, span_hashes
-from .common import checked_join, materialise
+from .common import arrow_map, checked_join, materialise
 
 _APART = np.ones(256, bool)
 _APART[[c for c in range(128) if chr(c).isalnum()]] = False
@@ -164,7 +164,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.15, block_bytes: in
                         cols += [pa.array([block.budget[i] for i in item], pa.int32()), pa.array(n, pa.int32()), pa.array(end, pa.int64())]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "distance", "budget", "item_words", "end_word"])
 
-        out = out.unionByName(rows.mapInArrow(run, schema))
+        out = out.unionByName(arrow_map(rows, run, schema))
     return out.distinct()
 
 

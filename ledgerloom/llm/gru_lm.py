@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, mix, row_sums, slices, span_hashes, words
-from .common import id_remainder, materialise
+from .common import arrow_map, id_remainder, materialise
 
 #: Classes: 0 the end, then OWN single words, then 2 * SUFFIXES by ending.
 OWN, SUFFIXES = 63, 32
@@ -276,7 +276,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             h, s, c = np.append(h, END), np.append(own.suffix[first], 0).astype(np.int32), np.append(c, len(own.n_words))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s), pa.array(c.astype(np.int64))], ["h", "s", "c"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, s int, c long")
+    counted = arrow_map(docs.select(F.col("text").cast("string")), run, "h long, s int, c long")
     return counted.groupBy("h", "s").agg(F.sum("c").alias("c")).where("c > 0")
 
 
@@ -297,7 +297,7 @@ def _fit(docs: DataFrame, counts: Counts, start: dict | None, rate: float, epoch
         flat = np.concatenate([v.ravel() for v in model.p.values()])
         yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([loss]), pa.array([flat.astype("<f4").tobytes()], pa.binary())], ["tokens", "loss", "flat"])
 
-    fitted = materialise(docs.select(F.col("text").cast("string")).mapInArrow(run, "tokens long, loss double, flat binary"), "lm-copies")
+    fitted = materialise(arrow_map(docs.select(F.col("text").cast("string")), run, "tokens long, loss double, flat binary"), "lm-copies")
     shapes = {k: v.shape for k, v in Gru(shares).p.items()}
     for row in fitted.where("tokens > 0").toLocalIterator():
         flat, at, p = np.frombuffer(row["flat"], "<f4"), 0, {}
@@ -373,7 +373,7 @@ def score_documents(docs: DataFrame, held_out: int = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["rid", "doc_id", "n_tokens", "head_known", "head_log", "gain", "tail", "times"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = rows.mapInArrow(run, "rid long, doc_id long, n_tokens long, head_known long, head_log double, gain double, tail array<long>, times array<int>")
+    scored = arrow_map(rows, run, "rid long, doc_id long, n_tokens long, head_known long, head_log double, gain double, tail array<long>, times array<int>")
     scored = materialise(scored, "lm-scored")
     rare = scored.select("rid", F.explode(F.arrays_zip(F.col("tail").alias("h"), F.col("times").alias("m"))).alias("_t")).select("rid", "_t.h", "_t.m")
     found = rare.join(vocab.select("h", "c").hint("merge"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))

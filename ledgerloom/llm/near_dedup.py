@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bytesops import LOWER, mix, slices, span_hashes, words
-from .common import checked_join, hot_split_join, materialise
+from .common import arrow_map, checked_join, hot_split_join, materialise
 from .components import components
 
 SIGNATURE = 128
@@ -130,7 +130,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return arrow_map(rows, run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
 def repetitions(threshold: float, depth: int, miss: float) -> int:
@@ -330,7 +330,7 @@ class _Join:
         known = self.rows.where("set_key IS NOT NULL")
         grouped = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
         self.sets = materialise(grouped, "near-sets")
-        self.sketches = materialise(self.sets.select("set_key", "sig").mapInArrow(_sketches, "set_key binary, sketch binary"), "near-sketches")
+        self.sketches = materialise(arrow_map(self.sets.select("set_key", "sig"), _sketches, "set_key binary, sketch binary"), "near-sketches")
 
     def live(self, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows of the nodes whose documents are not all connected, with the node's size, their roots and sketches."""
@@ -346,7 +346,7 @@ class _Join:
         probes = many.select("node", "set_key", "sketch").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PROBES)
         probes = materialise(probes.groupBy("node").agg(F.collect_list("sketch").alias("probes")), "near-probes")
         alike = checked_join(many, probes, ["node"]).select("node", "set_key", "sketch", "root", "probes")
-        alike = alike.mapInArrow(_alike, "node long, set_key binary, sketch binary, root binary, alike long")
+        alike = arrow_map(alike, _alike, "node long, set_key binary, sketch binary, root binary, alike long")
         best = alike.groupBy("node").agg(F.max(F.struct("alike", "set_key", "sketch", "root")).alias("_b"))
         return best.select("node", F.col("_b.set_key").alias("centre"), F.col("_b.sketch").alias("centre_sketch"), F.col("_b.root").alias("centre_root"))
 
@@ -363,7 +363,7 @@ class _Join:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["set_key", "items"])
 
         texts = self.docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), F.col("text").cast("string"))
-        items = checked_join(texts, wanted, ["_id"], "left_semi").select("text").mapInArrow(run, "set_key binary, items array<long>")
+        items = arrow_map(checked_join(texts, wanted, ["_id"], "left_semi").select("text"), run, "set_key binary, items array<long>")
         return materialise(items.dropDuplicates(["set_key"]), "near-items")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -403,7 +403,7 @@ class _Join:
         """All confirmed links that connect what is connected."""
         pair, found_as = "a binary, b binary", "a binary, b binary, node long"
         node = "node long, set_key binary"
-        nodes = self.sets.select("set_key", "sig").mapInArrow(_nodes("sig", "<u4", range(TREES), 0, self.percent / 100), node)
+        nodes = arrow_map(self.sets.select("set_key", "sig"), _nodes("sig", "<u4", range(TREES), 0, self.percent / 100), node)
         found, tried, labels, small = [], [], None, []
         depth, grown, miss = 0, TREES, MISS
         union = lambda frames: reduce(DataFrame.unionByName, frames)
@@ -424,12 +424,12 @@ class _Join:
             small.append(few.drop("root"))
             many = live.where(F.col("n") > SMALL)
             centres = materialise(self.centres(many), "near-centres")
-            pairs = few.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, None, forest=True), found_as).select("a", "b")
+            pairs = arrow_map(few.repartition("node").sortWithinPartitions("node"), _nominate(self.least, None, forest=True), found_as).select("a", "b")
             if centres.isEmpty():
                 confirm(pairs)
                 break
             star = checked_join(many, centres, ["node"]).where("set_key <> centre AND root <> centre_root")
-            star = star.select("set_key", "sketch", "centre", "centre_sketch").mapInArrow(_to_centre(self.least), pair)
+            star = arrow_map(star.select("set_key", "sketch", "centre", "centre_sketch"), _to_centre(self.least), pair)
             confirm(pairs.unionByName(star))
             named = materialise(self.labelled(many.select("node", "n", "set_key", "sketch"), labels), "near-large")
             parts = named.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node")
@@ -455,9 +455,9 @@ class _Join:
             trees = range(grown, grown + repetitions(self.percent / 100, depth, miss))
             grown = trees.stop
             deep = materialise(deep.select("set_key", "sketch").dropDuplicates(["set_key"]), "near-deep")
-            nodes = deep.mapInArrow(_nodes("sketch", "u1", trees, depth, self.percent / 100), node)
+            nodes = arrow_map(deep, _nodes("sketch", "u1", trees, depth, self.percent / 100), node)
         apart = self.labelled(union(small), labels)
-        nominated = apart.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, PAIRS_A_ROW), found_as)
+        nominated = arrow_map(apart.repartition("node").sortWithinPartitions("node"), _nominate(self.least, PAIRS_A_ROW), found_as)
         nominated = materialise(nominated, "near-nominated")
         pairs = nominated.where("node IS NULL").select("a", "b")
         dense = nominated.where("node IS NOT NULL").select(F.col("a").alias("set_key"), F.col("b").alias("root"), "node")
@@ -465,7 +465,7 @@ class _Join:
         heavy = materialise(weights.where(F.col("_w") > NODE_ITEMS).select("node"), "near-heavy")
         if not heavy.isEmpty():  # too long to be held at once
             held = checked_join(apart, heavy, ["node"], "left_semi").select("node", "set_key", "sketch", "root")
-            held = held.repartition("node").sortWithinPartitions("node").mapInArrow(_nominate(self.least, None), found_as)
+            held = arrow_map(held.repartition("node").sortWithinPartitions("node"), _nominate(self.least, None), found_as)
             pairs = pairs.unionByName(held.select("a", "b"))
             dense = checked_join(dense, heavy, ["node"], "left_anti")
         confirm(pairs)
@@ -473,7 +473,7 @@ class _Join:
         if not dense.isEmpty():
             sets = self.items(dense.select("set_key").distinct())
             whole = dense.join(sets.hint("merge"), "set_key").select("node", "set_key", "root", "items")
-            links = whole.repartition("node").sortWithinPartitions("node").mapInArrow(_links_within(self.percent), pair)
+            links = arrow_map(whole.repartition("node").sortWithinPartitions("node"), _links_within(self.percent), pair)
             found.append(materialise(links.distinct(), "near-links"))
             labels = self.merged(labels, found[-1])
         self.labels = labels

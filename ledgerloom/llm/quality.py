@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import doc_starts, row_sums, slices, span_hashes, words
-from .common import checked_join, id_remainder, materialise
+from .common import arrow_map, checked_join, id_remainder, materialise
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "long_words", "short_words", "upper", "digits", "punctuation", "symbols", "bangs",
@@ -101,7 +101,7 @@ def _statistics_of(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", *STATISTICS])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return arrow_map(rows, run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 class Kernel:
@@ -141,7 +141,7 @@ def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.nd
         total = sum(np.frombuffer(x) for x in group.sort_values("at")["sums"])
         return pd.DataFrame({"at": [key[0]], "sums": [total.tobytes()]})
 
-    sums = materialise(rows.mapInArrow(partial, "at long, sums binary"), "quality-sums")
+    sums = materialise(arrow_map(rows, partial, "at long, sums binary"), "quality-sums")
     n = sums.count()
     while n > FAN_IN:
         up = sums.withColumn("up", F.expr(f"at div {FAN_IN}L")).groupBy("up").applyInPandas(added, "at long, sums binary")
@@ -202,7 +202,7 @@ def _raw_scores(rows: DataFrame, kernel: Kernel, weights: np.ndarray, carry: str
                 raw = 0.999 * np.interp(raw, *curve) + 0.001 * np.clip(raw, 0, 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw), *[batch.column(c) for c in kept]], ["doc_id", "raw", *kept])
 
-    return rows.mapInArrow(run, "doc_id long, raw double" + (f", {carry}" if carry else ""))
+    return arrow_map(rows, run, "doc_id long, raw double" + (f", {carry}" if carry else ""))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

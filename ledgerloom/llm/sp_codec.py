@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import UnitTable, doc_starts, slices
+from .common import arrow_map
 
 MARK = "▁"
 
@@ -121,4 +122,4 @@ def encode_decode(docs: DataFrame, model: str, keep: list[str] | None = None, wi
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(["doc_id long", *[f"`{c}` {kinds[c]}" for c in keep], "n_tokens long, ids_sha256 string, decoded_sha256 string"])
     schema += ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)

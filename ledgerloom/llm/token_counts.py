@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import row_sums, slices
+from .common import arrow_map
 from .wordbpe import WordBpe
 
 
@@ -64,5 +65,5 @@ def token_counts(docs: DataFrame, vocab: str, limit: int = 2048, chunk_bytes: in
 
     n_bytes = F.coalesce(F.octet_length(F.col("text")), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), n_bytes.alias("n_bytes"), F.col("text").cast("string"))
-    counted = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    counted = arrow_map(rows, count, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bytesops import slices
-from .common import shuffle_partitions, work_dir
+from .common import arrow_map, shuffle_partitions, work_dir
 from .wordbpe import WordBpe
 
 SCHEMA = "part int, seq int, part_offset long, n_tokens long, doc_ids binary, doc_known binary, doc_sizes binary, levels array<binary>, more array<binary>, ranks array<binary>"
@@ -138,7 +138,7 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int = 1, segment
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, SCHEMA).write.parquet(path)
+    arrow_map(rows, encode, SCHEMA).write.parquet(path)
 
 
 def open_segment(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, Dac]:
@@ -167,7 +167,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=~known), pa.array(starts), pa.array(sizes), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark_rows = table.join(F.broadcast(parts), "part")
-    return spark_rows.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(spark_rows, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def store_and_read(docs: DataFrame, vocab: str) -> DataFrame:
