@@ -8,11 +8,13 @@ revenue concept; some facts are reported twice, some balances lie a few days off
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialise
+
 #: CTEs up to `filed`, one row for each filing.
 FILED_SQL = """
 lines AS (
@@ -76,20 +78,6 @@ facts_canon AS (
 
 FACTS_SQL = f"{FILED_SQL}, {_REST_SQL}"
 
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder that spark.checkpoint.dir names and read it back."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests and single-machine runs
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -97,19 +85,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    """Run SQL over the tables of `sf_dir` that it names."""
-    words = set(text.replace("(", " ").replace(")", " ").replace(",", " ").split())
-    for name in words.intersection(TABLES):
-        table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(text)
+def sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> DataFrame:
+    """Run SQL over the tables of `sf_dir` that it names, and over `frames`.
+
+    The views last for this call only and have names of their own, so queries on other folders in one session are apart.
+    """
+    words = set(re.findall(r"\w+", text))
+    known = {name: table(spark, sf_dir, name) for name in words.intersection(TABLES)} | frames
+    own = {name: f"{name}_{uuid.uuid4().hex}" for name in known}
+    for name, frame in known.items():
+        frame.createOrReplaceTempView(own[name])
+        text = re.sub(rf"(?<=\b(?:FROM|JOIN) ){name}\b", own[name], re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {name}", text))
+    out = spark.sql(text)
+    for name in own.values():
+        spark.catalog.dropTempView(name)
+    return out
 
 
 def facts_canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The facts, written once: what follows reads them several times."""
-    filed = written(sql(spark, sf_dir, f"WITH {FILED_SQL} SELECT * FROM filed"), "filed")
-    filed.createOrReplaceTempView("filed")
-    return written(spark.sql(f"WITH {_REST_SQL} SELECT * FROM facts_canon").coalesce(4), "facts")
+    filed = materialise(sql(spark, sf_dir, f"WITH {FILED_SQL} SELECT * FROM filed"), "filed")
+    return materialise(sql(spark, sf_dir, f"WITH {_REST_SQL} SELECT * FROM facts_canon", filed=filed), "facts")
 
 
 #: Facts, contexts and units with dangling references, for the raw joins.
