@@ -110,8 +110,8 @@ class UnitTable:
     smaller takes new ones, so a unit costs some 40 bytes.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], np.ndarray | bool]], most: int = 500_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[bytes]], tuple[list[list[int]], np.ndarray | bool]], most: int = 500_000, dtype: type = np.uint16):
+        self.encode, self.most, self.dtype = encode, most, dtype
         self.clear()
 
     def clear(self) -> None:
@@ -119,7 +119,7 @@ class UnitTable:
         self.old, self.recent, self.n = nothing, nothing, 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.flag = np.zeros(1 << 14, bool)
-        self.ids, self.used = np.zeros(1 << 16, np.uint16), 0
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's entry of each unit data[start:end]; new distinct units are encoded once."""
@@ -145,10 +145,10 @@ class UnitTable:
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
         total, have = int(sizes.sum()), self.n
         while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), np.uint16)])
+            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.dtype)])
         while have + len(ids) > len(self.start):
             self.start, self.size, self.flag = (np.concatenate([x, np.zeros(len(x), x.dtype)]) for x in (self.start, self.size, self.flag))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint16, total)
+        self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), self.dtype, total)
         self.start[have : have + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.size[have : have + len(ids)] = sizes
         self.flag[have : have + len(ids)] = flags

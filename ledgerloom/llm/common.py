@@ -3,36 +3,23 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-#: A table of at most this many short rows may be broadcast; larger ones are merge-joined.
-BROADCAST_ROWS = 100_000
-#: A key is hot above this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1 / 1000
-
+from ..storage import materialise, scratch, work_dir
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, the folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests and single-machine runs
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/ledgerloom/{name}-{uuid.uuid4().hex}"
+__all__ = ["materialise", "scratch", "work_dir"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: lineage ends there."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A table of at most so many bytes may be broadcast; larger ones are merge-joined.
+BROADCAST_BYTES = 8 << 20
+#: A key is hot above this share of all rows, so there are fewer than 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1 / 1000
 
 
 #: Bytes of rows that a Python worker is sent at once (one row may have more).
@@ -64,17 +51,43 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", row_bytes: int = 80) -> DataFrame:
     """Broadcast `small` only after counting it; beyond the bound both sides are merge-joined.
 
     `small` must be a written table, so that counting it is cheap and that beyond the bound
     both sides of the join are plain exchanges, whose skewed partitions Spark splits.
+    `row_bytes`: what one of its rows takes in memory, at most.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    most = BROADCAST_BYTES // row_bytes
+    if small.limit(most + 1).count() <= most:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 
 
+#: Partial sums met in one task.
+FAN_IN = 32
+
+
+def tree_sum(sums: DataFrame) -> np.ndarray | None:
+    """The sum of the float64 vectors in `sums` (at long, counted from 0; sums binary), FAN_IN at a time in a tree; None of no rows."""
+
+    def added(key, group):
+        import pandas as pd
+
+        total = sum(np.frombuffer(x) for x in group.sort_values("at")["sums"])
+        return pd.DataFrame({"at": [key[0]], "sums": [total.tobytes()]})
+
+    sums = materialise(sums, "sums")
+    n = sums.count()
+    while n > FAN_IN:
+        sums = materialise(sums.withColumn("up", F.expr(f"at div {FAN_IN}L")).groupBy("up").applyInPandas(added, "at long, sums binary"), "sums")
+        n = -(-n // FAN_IN)
+    total = None
+    for r in sums.orderBy("at").toLocalIterator():
+        total = np.frombuffer(r["sums"]).copy() if total is None else total + np.frombuffer(r["sums"])
+    return total
+
+
 def ordered(df: DataFrame, cols: list[str], name: str, carry: str | None = None) -> DataFrame:
     """Add `rank`, the position from 0 of each row in the order of `cols` (ties: any order).
 
@@ -117,9 +130,33 @@ def id_remainder(doc_id: Column, k: int = 5) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k).cast("int")
 
 
-def long_col(df: DataFrame, name: str) -> Column:
-    """The column as long, or nulls where the table has none."""
-    return (F.col(name) if name in df.columns else F.lit(None)).cast(T.LongType())
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` lacks, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while any(c.startswith(name.lower()) for c in have):
+        name += "_"
+    return name
+
+
+def text_hash(text: Column) -> Column:
+    """Tells the texts of one id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` whose (doc_id, text_hash) is not in the written table `gone`, with their columns.
+
+    Of the rows of one (doc_id, text_hash) in `once` any one stays.
+    """
+    names = [fresh_name(docs, n) for n in ("_hash", "_id", "_none")]
+    key = lambda i, h: [h.alias(names[0]), F.coalesce(i.cast("long"), F.lit(0)).alias(names[1]), i.isNull().alias(names[2])]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *key(F.col("doc_id"), text_hash(F.col("text"))))
+    left = checked_join(keyed, gone.select(*key(F.col("doc_id"), F.col("text_hash"))), names, "left_anti")
+    if once is not None and not once.isEmpty():
+        doubled = once.select(*key(F.col("doc_id"), F.col("text_hash")))
+        single = checked_join(left, doubled, names, "left_semi").dropDuplicates(names)
+        left = checked_join(left, doubled, names, "left_anti").unionByName(single)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hot_split_join(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import doc_starts, mix, slices, span_hashes
-from .common import arrow_map, checked_join, materialise
+from .common import arrow_map, materialise, text_hash, without
 
 _APART = np.ones(256, bool)
 _APART[[c for c in range(128) if chr(c).isalnum()]] = False
@@ -146,8 +146,12 @@ def _blocks(items: DataFrame, rate: float, block_bytes: int) -> Iterator[Items]:
 
 def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.15, block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, distance, budget, item_words and end_word (words of the text up to the match's end) of each match."""
-    schema = "doc_id long, item_id long, distance int, budget int, item_words int, end_word long"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _matches(docs, items, rate, block_bytes).drop("text_hash").distinct()
+
+
+def _matches(docs: DataFrame, items: DataFrame, rate: float, block_bytes: int) -> DataFrame:
+    schema = "doc_id long, text_hash long, item_id long, distance int, budget int, item_words int, end_word long"
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
     out = docs.sparkSession.createDataFrame([], schema)
     for block in _blocks(items.select(F.col("item_id").cast("long"), F.col("text").cast("string")), rate, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -155,20 +159,26 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = 0.15, block_bytes: in
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block = sent.value
             for batch in batches:
-                ids = batch.column("doc_id")
+                ids, hashes = batch.column("doc_id"), batch.column("text_hash")
                 for lo, _, data, offsets in slices(pc.utf8_lower(batch.column("text").fill_null(""))):
                     got = list(block.matches(*plain_words(data, offsets)))
                     if got:
                         row, item, distance, end, n = zip(*got, strict=True)
-                        cols = [ids.take(pa.array([lo + r for r in row])), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(distance, pa.int32())]
+                        at = pa.array([lo + r for r in row])
+                        cols = [ids.take(at), hashes.take(at), pa.array([block.ids[i] for i in item], pa.int64()), pa.array(distance, pa.int32())]
                         cols += [pa.array([block.budget[i] for i in item], pa.int32()), pa.array(n, pa.int32()), pa.array(end, pa.int64())]
-                        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "distance", "budget", "item_words", "end_word"])
+                        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "item_id", "distance", "budget", "item_words", "end_word"])
 
         out = out.unionByName(arrow_map(rows, run, schema))
-    return out.distinct()
+    return out
+
 
+def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.15, least_words: int = 5) -> DataFrame:
+    """The rows of `docs` that hold no test item of `least_words` words or more, with their columns.
 
-def keep_clean(docs: DataFrame, items: DataFrame, rate: float = 0.15) -> DataFrame:
-    """The rows of `docs` that hold no test item, with their columns; rows without an id always stay."""
-    gone = materialise(leaks(docs, items, rate).select("doc_id").distinct(), "leaks")
-    return checked_join(docs, gone, ["doc_id"], "left_anti")
+    Shorter items are phrases of the language and would take clean documents away; `leaks` reports
+    them. A row is decided by its own text, whatever else has its id.
+    """
+    found = _matches(docs, items, rate, 8 << 20).where(F.col("item_words") >= least_words)
+    gone = materialise(found.select("doc_id", "text_hash").distinct(), "leaks")
+    return without(docs, gone)

@@ -1,23 +1,33 @@
-"""Language-model scores of whole documents: a gated recurrent network over word classes.
+"""Language-model scores of whole documents: a gated recurrent network with a class-factored output.
 
 Tokens are lower-cased words and one end for each document; their counts come from all training
-documents. A word's class is its own if it is among the `OWN` most frequent, else it follows from
-the word's last two bytes and whether punctuation ends it, so that every word has a class. The
-output softmax is factored: P(word | past) = P(class | past) * (c + 0.5) / Z(class), where c is the
-word's count and Z sums c + 0.5 over the class's words and one slot for unknown ones. P(class |
-past) comes from a gated recurrent unit, whose state is carried across windows from the document's
-first token to its end.
+documents. The `HEAD` most frequent words are symbols of their own, in classes of `PLACES` words by
+falling count; every other word is one of 2 * `SUFFIXES` symbols, which follow from its last two
+bytes and whether punctuation ends it and are classes of their own. The network reads symbols, so
+it knows which frequent word stood there, and the output softmax is factored:
 
-Training is truncated backpropagation in numpy. One task fits the network to a bounded sample, then
-every partition of all training documents trains a copy on every window of its documents, and the
-copies are averaged by tokens: what is learnt and counted grows with the corpus.
+    P(word | past) = P(class | state) * P(word | class, state)
+
+The second factor of a frequent word is a softmax over its class's places, from a projection of the
+state. That of any other word is (c + 0.5) / Z(class), where c is its count and Z sums c + 0.5 over
+the class's words and one slot for unknown ones: of words seen a few times there is no more to
+learn. The state is carried across windows from a document's first token to its end.
+
+Training is truncated backpropagation in numpy. A network starts from a small sample of documents,
+drawn by the hash of their text in a parallel scan and fitted in one task, for averaging copies
+needs a common start; then every partition of all training documents trains a copy on every window
+of its documents, and the copies are added up by tokens in a tree. What is counted and learnt grows
+with the corpus; the sample only says where to begin.
+
+Documents are dealt to lanes and read a window of all lanes at a time, so a task holds its batch's
+symbols and one window, however long a text is.
 
 The `HEAD_WORDS` most frequent words are broadcast with their counts; occurrences of rarer words,
 whose number a word is bounded by their rarity, are joined with the count table.
 
 Defined cases: a null or empty text is its end alone; a null id and repeated rows are scored like
-others; without training documents every count is 0 and the classes are uniform; an empty table
-gives no rows; further columns are ignored.
+others; a text of any length is one sequence; without training documents every count is 0 and the
+classes are uniform; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,30 +41,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import LOWER, mix, row_sums, slices, span_hashes, words
-from .common import arrow_map, id_remainder, materialise
-
-#: Classes: 0 the end, then OWN single words, then 2 * SUFFIXES by ending.
-OWN, SUFFIXES = 63, 32
-CLASSES = 1 + OWN + 2 * SUFFIXES
-HIDDEN = 32
+from .common import arrow_map, id_remainder, materialise, tree_sum
+
+HEAD, PLACES, SUFFIXES = 1024, 16, 32
+GROUPS = HEAD // PLACES
+#: Symbols: 0 the end, then HEAD words, then the rest by ending; classes: 0 the end, then groups of words, then endings.
+SYMBOLS = 1 + HEAD + 2 * SUFFIXES
+CLASSES = 1 + GROUPS + 2 * SUFFIXES
+HIDDEN, STATE = 32, 8
 WINDOW = 16
 LANES = 256
 #: The words broadcast with their counts: 16 bytes each.
 HEAD_WORDS = 1 << 18
-#: Documents of the sample that the network is first fitted to.
+#: Documents, in expectation, that the common start is fitted to.
 WARM_DOCS = 1200
 WARM_EPOCHS = 3
 END = np.uint64(0)  # its hash; no word has it but by chance
 
+_CLASS = np.concatenate([[0], 1 + np.arange(HEAD) // PLACES, 1 + GROUPS + np.arange(2 * SUFFIXES)])
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
 class Batch:
-    """Tokens of a column of texts: hash and ending class of each word, and the row bounds."""
+    """Tokens of a column of texts: hash and ending of each word, and the row bounds."""
 
     def __init__(self, column: pa.Array):
-        hashes, suffix, n_words = [], [], []
+        hashes, ending, n_words = [], [], []
         for lo, hi, data, offsets in slices(column):
             data = LOWER[data]
             starts, ends, rows = words(data, offsets)
@@ -62,176 +75,238 @@ class Batch:
             marked = _PUNCT[data[ends - 1]] & (ends - starts > 1) if len(starts) else np.zeros(0, bool)
             core = ends - marked
             pair = data[np.maximum(core - 2, starts)].astype(np.uint64) * np.uint64(256) + data[core - 1] if len(starts) else np.zeros(0, np.uint64)
-            suffix.append((1 + OWN + 2 * (mix(pair) % np.uint64(SUFFIXES)).astype(np.int64) + marked).astype(np.uint8))
+            ending.append((2 * (mix(pair) % np.uint64(SUFFIXES)).astype(np.int64) + marked).astype(np.uint8))
             n_words.append(np.bincount(rows, minlength=hi - lo))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.hashes, self.suffix = join(hashes, np.uint64), join(suffix, np.uint8)
+        self.hashes, self.ending = join(hashes, np.uint64), join(ending, np.uint8)
         self.n_words = join(n_words, np.int64)
-        self.bounds = np.concatenate([[0], np.cumsum(self.n_words)])
 
-    def classes(self, own: np.ndarray) -> list[np.ndarray]:
-        """The class sequence of each text, its end last; `own`: sorted hashes of the single words, then their classes."""
-        out = self.suffix
-        if own.shape[1] and len(out):
+    def symbols(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of all texts, each with its end last, and their bounds; `own`: sorted hashes of the head's words, then their symbols."""
+        word = self.ending.astype(np.uint16) + np.uint16(1 + HEAD)
+        if own.shape[1] and len(word):
             at = np.minimum(np.searchsorted(own[0], self.hashes), own.shape[1] - 1)
-            out = np.where(own[0][at] == self.hashes, own[1][at].astype(np.uint8), out)
-        end = np.zeros(1, np.uint8)
-        return [np.concatenate([out[a:b], end]) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
+            word = np.where(own[0][at] == self.hashes, own[1][at].astype(np.uint16), word)
+        bounds = np.concatenate([[0], np.cumsum(self.n_words + 1)])
+        out = np.zeros(int(bounds[-1]), np.uint16)
+        inside = np.ones(len(out), bool)
+        inside[bounds[1:] - 1] = False
+        out[inside] = word
+        return out, bounds
+
+
+class Lanes:
+    """Texts dealt to lanes of near equal length, longest first, and read a window at a time."""
+
+    def __init__(self, symbols: np.ndarray, bounds: np.ndarray, most: int):
+        sizes = np.diff(bounds)
+        order = np.argsort(-sizes, kind="stable").tolist()
+        heap = [(0, j) for j in range(min(most, len(sizes)))]
+        lanes: list[list[int]] = [[] for _ in heap]
+        for k in order:
+            size, j = heapq.heappop(heap)
+            lanes[j].append(k)
+            heapq.heappush(heap, (size + int(sizes[k]), j))
+        lanes.sort(key=lambda lane: -int(sizes[lane].sum()))
+        self.order = np.array([k for lane in lanes for k in lane], np.int64)
+        self.counts = np.array([len(lane) for lane in lanes])
+        own = sizes[self.order]
+        ends = np.cumsum(own)
+        # all lanes one after the other
+        place = np.arange(int(ends[-1]) if len(ends) else 0)
+        self.flat = symbols[place + np.repeat(bounds[self.order] - (ends - own), own)] if len(place) else symbols
+        lengths = np.array([int(sizes[lane].sum()) for lane in lanes], np.int64)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.doc_ends = ends
+        del place
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(lanes that still run, inputs, targets, valid places, places in the flat symbols), all (time, lane)."""
+        for t in range(0, int(self.lengths[0]) if len(self.lengths) else 0, WINDOW):
+            n = int(np.searchsorted(-self.lengths, -t, "left"))
+            at = self.starts[:n] + t + np.arange(min(WINDOW, int(self.lengths[0]) - t))[:, None]
+            live = at < self.starts[:n] + self.lengths[:n]
+            at = np.where(live, at, 0)
+            y = self.flat[at].astype(np.int64)
+            x = np.where(at > self.starts[:n], self.flat[at - 1], 0).astype(np.int64)  # the end stands before a text's first token
+            yield n, x, y, live, at
 
 
 class Gru:
-    """Class model: input class, gates, output softmax. All in float32."""
+    """Symbol embedding, gates, softmax over classes and over the places of a class. All in float32."""
 
-    def __init__(self, shares: np.ndarray):
+    def __init__(self, shares: np.ndarray, places: np.ndarray):
         draw = np.random.default_rng(7)
         s = 1 / HIDDEN**0.5
-        self.p = {
-            "x": draw.uniform(-s, s, (CLASSES + 1, 3 * HIDDEN)),  # the last row: before a document's first token
+        p = {
+            "x": draw.uniform(-s, s, (SYMBOLS, 3 * HIDDEN)),
             "h": draw.uniform(-s, s, (HIDDEN, 3 * HIDDEN)),
             "o": draw.uniform(-s, s, (HIDDEN, CLASSES)) * 0.1,
             "c": np.log(shares),
+            "q": draw.uniform(-s, s, (HIDDEN, STATE)),
+            "e": draw.uniform(-s, s, (GROUPS, PLACES, STATE)) * 0.1,
+            "b": np.log(places),
         }
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.p = {k: v.astype(np.float32) for k, v in p.items()}
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         self.steps = 0
 
-    def cell(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, u = self.p["x"][x], h @ self.p["h"]
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])))
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, u[:, 2 * HIDDEN :]
-
-    def log_softmax(self, h: np.ndarray) -> np.ndarray:
-        logits = h @ self.p["o"] + self.p["c"]
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits
-
-    def train_window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
-        """One truncated window: inputs, targets, starts of documents and valid places, all (time, lane)."""
-        kept = []
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> Gru:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+        return self
+
+    def states(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """The state after each place of a window; a text's first token is read from the zero state."""
+        out = np.empty((*x.shape, HIDDEN), np.float32)
         for t in range(len(x)):
-            before = np.where(fresh[t][:, None], np.float32(0), h)
-            h, z, r, n, u = self.cell(x[t], before)
-            kept.append((before, h, z, r, n, u))
-        hs = np.concatenate([k[1] for k in kept])
-        logs = self.log_softmax(hs)
-        at = y.ravel()
+            before = np.where((x[t] == 0)[:, None], np.float32(0), h)
+            a, u = self.p["x"][x[t]], before @ self.p["h"]
+            gates = a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r, inner = gates[:, :HIDDEN], gates[:, HIDDEN:], u[:, 2 * HIDDEN :]
+            n = np.tanh(a[:, 2 * HIDDEN :] + r * inner)
+            h = n + z * (before - n)
+            out[t] = h
+            if keep is not None:
+                keep.append((before, z, r, n, inner))
+        return out
+
+    def class_logs(self, h: np.ndarray) -> np.ndarray:
+        logs = h @ self.p["o"]
+        logs += self.p["c"]
+        logs -= logs.max(axis=1, keepdims=True)
+        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
+        return logs
+
+    def place_logs(self, q: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the places of each row's group, from the projected states."""
+        logs = np.einsum("mjk,mk->mj", self.p["e"][group], q)
+        logs += self.p["b"][group]
+        logs -= logs.max(axis=1, keepdims=True)
+        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
+        return logs
+
+    def token_logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """log P(class) of each target, with log P(word | class) where the word is the head's."""
+        logs = self.class_logs(h)
+        out = logs[np.arange(len(y)), _CLASS[y]]
+        head = np.flatnonzero((y > 0) & (y <= HEAD))
+        if len(head):
+            own = y[head] - 1
+            within = self.place_logs(h[head] @ self.p["q"], own // PLACES)
+            out[head] += within[np.arange(len(head)), own % PLACES]
+        return out
+
+    def train_window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+        """One truncated window, all (time, lane); the state after it and the loss."""
+        kept: list = []
+        states = self.states(x, h, kept)
+        hs, at = states.reshape(-1, HIDDEN), y.ravel()
         weight = live.ravel().astype(np.float32)
-        total = float(weight.sum())
-        loss = -float((logs[np.arange(len(at)), at] * weight).sum())
+        total = max(float(weight.sum()), 1.0)
+        logs = self.class_logs(hs)
+        rows = np.arange(len(at))
+        loss = -float((logs[rows, _CLASS[at]] * weight).sum())
         d = np.exp(logs)
-        d[np.arange(len(at)), at] -= 1
-        d *= (weight / max(total, 1))[:, None]
+        d[rows, _CLASS[at]] -= 1
+        d *= (weight / total)[:, None]
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         grad["o"], grad["c"] = hs.T @ d, d.sum(axis=0)
-        back = (d @ self.p["o"].T).reshape(len(x), -1, HIDDEN)
+        back = d @ self.p["o"].T
+        head = np.flatnonzero((at > 0) & (at <= HEAD) & (weight > 0))
+        if len(head):
+            head = head[np.argsort(at[head], kind="stable")]  # by group
+            own = at[head] - 1
+            group, place = own // PLACES, own % PLACES
+            q = hs[head] @ self.p["q"]
+            within = self.place_logs(q, group)
+            loss -= float(within[np.arange(len(head)), place].sum())
+            dw = np.exp(within)
+            dw[np.arange(len(head)), place] -= 1
+            dw /= total
+            dq = np.einsum("mj,mjk->mk", dw, self.p["e"][group])
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            bounds = np.append(first, len(group))
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                grad["e"][group[a]] = dw[a:b].T @ q[a:b]
+                grad["b"][group[a]] = dw[a:b].sum(axis=0)
+            grad["q"] = hs[head].T @ dq
+            back[head] += dq @ self.p["q"].T
+        back = back.reshape(states.shape)
         flow = np.zeros_like(h)
-        das = []
+        das = np.empty((*x.shape, 3 * HIDDEN), np.float32)
         for t in reversed(range(len(x))):
-            before, _, z, r, n, u = kept[t]
+            before, z, r, n, u = kept[t]
             flow = flow + back[t]
             dn = flow * (1 - z) * (1 - n * n)
-            dz = flow * (before - n) * z * (1 - z)
-            dr = dn * u * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
+            da, du = das[t], np.empty_like(das[t])
+            da[:, :HIDDEN] = flow * (before - n) * z * (1 - z)
+            da[:, HIDDEN : 2 * HIDDEN] = dn * u * r * (1 - r)
+            da[:, 2 * HIDDEN :] = dn
+            du[:, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
+            du[:, 2 * HIDDEN :] = dn * r
             grad["h"] += before.T @ du
             flow = flow * z + du @ self.p["h"].T
-            flow[fresh[t]] = 0
-            das.append(da)
-        da = np.concatenate(das[::-1])
-        one = np.zeros((CLASSES + 1, len(da)), np.float32)
-        one[x.ravel(), np.arange(len(da))] = 1
-        grad["x"] = one @ da
+            flow[x[t] == 0] = 0
+        das = das.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(x.ravel(), kind="stable")
+        read = x.ravel()[order]
+        first = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
+        grad["x"][read[first]] = np.add.reduceat(das[order], first)
+        self.update(grad, rate)
+        return states[-1], loss
+
+    def update(self, grad: dict, rate: float) -> None:
+        """Adam on gradients of bounded length."""
         self.steps += 1
         size = sum(float((g * g).sum()) for g in grad.values()) ** 0.5
+        shrink = np.float32(min(1.0, 1.0 / max(size, 1e-9)))
+        first, second = 1 - 0.9**self.steps, 1 - 0.99**self.steps
         for k, g in grad.items():
             m, v = self.moments[k]
-            g *= min(1.0, 1.0 / max(size, 1e-9))
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            step = (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.99**self.steps)) + 1e-6)
-            self.p[k] -= np.float32(rate) * step
-        return h, loss
-
-    def train(self, texts: list[np.ndarray], rate: float) -> tuple[float, int]:
-        """One pass over class sequences; the loss in nats and the tokens."""
+            g *= shrink
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * g
+            self.p[k] -= np.float32(rate / first) * m / (np.sqrt(v * np.float32(1 / second)) + np.float32(1e-6))
+
+    def train(self, symbols: np.ndarray, bounds: np.ndarray, rate: float) -> tuple[float, int]:
+        """One pass; the loss in nats and the tokens."""
         loss, tokens = 0.0, 0
-        lanes = _lanes(texts, LANES)
-        if not lanes:
-            return loss, tokens
-        lengths = [sum(len(texts[k]) for k in lane) for lane in lanes]
-        y = np.zeros((max(lengths), len(lanes)), np.uint8)
-        x = np.full(y.shape, CLASSES, np.uint8)
-        fresh, live = np.zeros(y.shape, bool), np.zeros(y.shape, bool)
-        for j, lane in enumerate(lanes):
-            at = 0
-            for k in lane:
-                y[at : at + len(texts[k]), j] = texts[k]
-                x[at + 1 : at + len(texts[k]), j] = texts[k][:-1]
-                fresh[at, j] = True
-                at += len(texts[k])
-            live[:at, j] = True
-        h = np.zeros((len(lanes), HIDDEN), np.float32)
-        for t in range(0, len(y), WINDOW):
-            n = int(live[t].sum())  # lanes by falling length: the first n still run
-            s = np.s_[t : t + WINDOW, :n]
-            h = h[:n]
-            h, own = self.train_window(x[s], y[s], fresh[s], live[s], h, rate)
-            loss, tokens = loss + own, tokens + int(live[s].sum())
+        lanes = Lanes(symbols, bounds, LANES)
+        h = np.zeros((len(lanes.lengths), HIDDEN), np.float32)
+        for n, x, y, live, _ in lanes.windows():
+            h, own = self.train_window(x, y, live, h[:n], rate)
+            loss, tokens = loss + own, tokens + int(live.sum())
         return loss, tokens
 
-    def log_probs(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 of the probability of each class sequence."""
-        out = np.zeros(len(texts))
-        lanes = _lanes(texts, 4 * LANES)
-        if not lanes:
-            return out
-        seqs = [np.concatenate([texts[k] for k in lane]) for lane in lanes]
-        lengths = np.array([len(s) for s in seqs])
-        y = np.zeros((lengths.max(), len(seqs)), np.uint8)
-        for j, s in enumerate(seqs):
-            y[: len(s), j] = s
-        h, x = np.zeros((len(seqs), HIDDEN), np.float32), np.full(len(seqs), CLASSES, np.uint8)
-        active = np.searchsorted(-lengths, -np.arange(len(y)), "left")
-        deal = np.array([k for lane in lanes for k in lane])
-        ends = np.cumsum([len(lane) for lane in lanes])
-        at = ends - [len(lane) for lane in lanes]  # the document that each lane is in
-        total = np.zeros(len(seqs))
-        for t in range(len(y)):
-            n = int(active[t])
-            h = self.cell(x[:n], h[:n])[0]
-            target = y[t, :n]
-            logits = h @ self.p["o"] + self.p["c"]
-            top = logits.max(axis=1)
-            total[:n] += logits[np.arange(n), target] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-            x = target
-            over = np.flatnonzero(target == 0)  # a document ends: the next begins afresh
-            if len(over):
-                out[deal[at[over]]] = total[over]
-                total[over], at[over] = 0, at[over] + 1
-                x = target.copy()
-                x[over] = CLASSES
-                h[over] = 0
-        left = at < ends  # without an end
-        out[deal[at[left]]] = total[left]
+    def log_probs(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The sum over each text of what `token_logs` gives, as log10."""
+        lanes = Lanes(symbols, bounds, 4 * LANES)
+        each = np.zeros(len(lanes.flat), np.float32)
+        h = np.zeros((len(lanes.lengths), HIDDEN), np.float32)
+        for n, x, y, live, at in lanes.windows():
+            states = self.states(x, h[:n])
+            h = states[-1]
+            valid = live.ravel()
+            each[at.ravel()[valid]] = self.token_logs(states.reshape(-1, HIDDEN), y.ravel())[valid]
+        out = np.zeros(len(bounds) - 1)
+        sums = np.concatenate([[0], np.cumsum(each, dtype=float)])
+        out[lanes.order] = np.diff(sums[np.concatenate([[0], lanes.doc_ends]).astype(np.int64)])
         return out / np.log(10)
 
 
-def _lanes(texts: list[np.ndarray], most: int) -> list[list[int]]:
-    """Documents dealt to lanes of near equal length, the longest lane first."""
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    heap = [(0, j) for j in range(min(most, len(texts)))]
-    lanes: list[list[int]] = [[] for _ in heap]
-    for k in order:
-        size, j = heapq.heappop(heap)
-        lanes[j].append(k)
-        heapq.heappush(heap, (size + len(texts[k]), j))
-    return sorted(lanes, key=lambda lane: -sum(len(texts[k]) for k in lane))
-
-
 class Counts:
     """What the corpus's counts give to the model; built from aggregates of bounded size."""
 
@@ -246,83 +321,85 @@ class Counts:
             if n > HEAD_WORDS:
                 least = row["level"] + 1
                 break
-        head = vocab.where(level >= least).select("h", "c").toArrow()  # HEAD_WORDS rows at most
-        hashes, times = (head.column(c).to_numpy().astype(np.int64) for c in ("h", "c"))
+        frequent = vocab.where(level >= least).select("h", "c").toArrow()  # HEAD_WORDS rows at most
+        hashes, times = (frequent.column(c).to_numpy().astype(np.int64) for c in ("h", "c"))
         order = np.argsort(hashes.view(np.uint64))
-        self.head, self.head_counts = hashes.view(np.uint64)[order], times[order]
-        own = vocab.where(F.col("s") > 0).orderBy(F.desc("c"), "h").limit(OWN).select("h", "s", "c").collect()
+        self.known, self.known_counts = hashes.view(np.uint64)[order], times[order]
+        own = vocab.where(F.col("s") >= 0).orderBy(F.desc("c"), "h").limit(HEAD).select("h", "s", "c").collect()
         sums = np.full(CLASSES, 0.5)
         self.end = 0
         for row in vocab.groupBy("s").agg(F.sum(F.col("c") + 0.5).alias("z"), F.sum("c").alias("c")).collect():
-            sums[row["s"]] += row["z"]
-            self.end += row["c"] if row["s"] == 0 else 0
+            if row["s"] < 0:
+                self.end = row["c"]
+            else:
+                sums[1 + GROUPS + row["s"]] += row["z"]
+        self.own_logs = np.zeros(SYMBOLS)  # log10 of c + 0.5 of the head's words
+        places = np.full(HEAD, 0.5)
         for k, row in enumerate(own):
-            sums[row["s"]] -= row["c"] + 0.5
-            sums[1 + k] = row["c"] + 0.5
-        sums[0] = max(sums[0] - 0.5, 0.5)
-        self.log_sums = np.log10(np.maximum(sums, 0.5))
-        self.shares = (np.maximum(sums, 0.5)) / np.maximum(sums, 0.5).sum()
+            sums[1 + GROUPS + row["s"]] -= row["c"] + 0.5
+            places[k] = row["c"] + 0.5
+            self.own_logs[1 + k] = np.log10(row["c"] + 0.5)
+        self.places = (places.reshape(GROUPS, PLACES).T / places.reshape(GROUPS, PLACES).sum(axis=1)).T
+        sums = np.maximum(sums, 0.5)
+        self.own_logs[0] = np.log10(self.end + 0.5)
+        self.own_logs[1 + HEAD :] = np.log10(sums[1 + GROUPS :])
+        sums[0], sums[1 : 1 + GROUPS] = self.end + 0.5, places.reshape(GROUPS, PLACES).sum(axis=1)
+        self.shares = sums / sums.sum()
         pairs = sorted((row["h"] & (2**64 - 1), 1 + k) for k, row in enumerate(own))
         self.own = np.array(pairs, np.uint64).reshape(-1, 2).T
 
+    def network(self) -> Gru:
+        return Gru(self.shares, self.places)
+
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(h, s, c): hash, ending class and count of every distinct token; the end has hash and class 0."""
+    """(h, s, c): hash, ending and count of every distinct token; the end has hash 0 and ending -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = Batch(batch.column("text"))
             h, first, c = np.unique(own.hashes, return_index=True, return_counts=True)
-            h, s, c = np.append(h, END), np.append(own.suffix[first], 0).astype(np.int32), np.append(c, len(own.n_words))
+            h, s, c = np.append(h, END), np.append(own.ending[first].astype(np.int32), np.int32(-1)), np.append(c, len(own.n_words))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s), pa.array(c.astype(np.int64))], ["h", "s", "c"])
 
     counted = arrow_map(docs.select(F.col("text").cast("string")), run, "h long, s int, c long")
     return counted.groupBy("h", "s").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-def _fit(docs: DataFrame, counts: Counts, start: dict | None, rate: float, epochs: int) -> Iterator[tuple[int, float, dict]]:
-    """Train a copy in every partition: (tokens, loss in nats, parameters) of each."""
-    shares, own = counts.shares, counts.own
+def _fit(docs: DataFrame, counts: Counts, start: np.ndarray | None, rate: float, epochs: int) -> np.ndarray | None:
+    """Train a copy in every partition; the copies' mean by tokens, None without a text."""
+    sent = docs.sparkSession.sparkContext.broadcast((counts.shares, counts.places, counts.own, start))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, loss, tokens = Gru(shares), 0.0, 0
-        if start:
-            model.p = {k: v.copy() for k, v in start.items()}
+        from pyspark import TaskContext
+
+        shares, places, own, start = sent.value
+        model, tokens = Gru(shares, places), 0
+        if start is not None:
+            model.load(start)
         for batch in batches:
-            texts = Batch(batch.column("text")).classes(own)
+            symbols, bounds = Batch(batch.column("text")).symbols(own)
             for k in range(epochs):
-                own_loss, n = model.train(texts, rate / (1 + 2 * k))
-                if k + 1 == epochs:
-                    loss, tokens = loss + own_loss, tokens + n
-        flat = np.concatenate([v.ravel() for v in model.p.values()])
-        yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([loss]), pa.array([flat.astype("<f4").tobytes()], pa.binary())], ["tokens", "loss", "flat"])
-
-    fitted = materialise(arrow_map(docs.select(F.col("text").cast("string")), run, "tokens long, loss double, flat binary"), "lm-copies")
-    shapes = {k: v.shape for k, v in Gru(shares).p.items()}
-    for row in fitted.where("tokens > 0").toLocalIterator():
-        flat, at, p = np.frombuffer(row["flat"], "<f4"), 0, {}
-        for k, shape in shapes.items():
-            p[k] = flat[at : at + int(np.prod(shape))].reshape(shape)
-            at += p[k].size
-        yield row["tokens"], row["loss"], p
-
-
-def train(docs: DataFrame, counts: Counts) -> dict:
+                tokens += model.train(symbols, bounds, rate / (1 + 2 * k))[1]
+        sums = np.append(tokens, tokens * model.flat().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["at", "sums"])
+
+    total = tree_sum(arrow_map(docs.select(F.col("text").cast("string")), run, "at long, sums binary"))
+    return None if total is None or not total[0] else total[1:] / total[0]
+
+
+def train(docs: DataFrame, counts: Counts) -> np.ndarray:
     """The network's parameters, from a bounded sample and then from all of `docs`."""
     n = docs.count()
-    # the sample: the share of documents whose text hash is lowest, about WARM_DOCS of them
+    # the sample: the documents whose text hash is lowest, about WARM_DOCS of them, found by all tasks
     share = min(1.0, WARM_DOCS / max(n, 1))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col("text"), F.lit(""))), 1, 8), 16, 10).cast("double") / 2**32
-    sample = docs.where(draw < share).coalesce(1)
-    model = Gru(counts.shares).p
-    for _, _, p in _fit(sample, counts, None, 0.02, WARM_EPOCHS):
-        model = p
-    total, sums = 0, {k: np.zeros(v.shape) for k, v in model.items()}
-    for tokens, _, p in _fit(docs, counts, model, 0.002, 1):
-        total += tokens
-        for k in sums:
-            sums[k] += tokens * p[k].astype(float)
-    return {k: (v / total).astype(np.float32) for k, v in sums.items()} if total else model
+    sample = materialise(docs.where(draw < share).select("text"), "lm-sample").coalesce(1)
+    model = _fit(sample, counts, None, 0.02, WARM_EPOCHS)
+    if model is None:
+        model = counts.network().flat()
+    fitted = _fit(docs, counts, model, 0.002, 1)
+    return model if fitted is None else fitted
 
 
 def score_documents(docs: DataFrame, held_out: int = 1) -> DataFrame:
@@ -334,25 +411,27 @@ def score_documents(docs: DataFrame, held_out: int = 1) -> DataFrame:
     training = docs.where(id_remainder(F.col("doc_id")) != held_out)
     vocab = materialise(count_words(training), "lm-counts")
     counts = Counts(vocab)
-    model = train(training, counts)
-    sent = docs.sparkSession.sparkContext.broadcast((model, counts))
+    return score_with(docs, vocab, counts, train(training, counts), held_out)
+
+
+def score_with(docs: DataFrame, vocab: DataFrame, counts: Counts, model: np.ndarray, held_out: int) -> DataFrame:
+    """The columns of `score_documents`, by the parameters `model` and the written count table `vocab`."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.astype(np.float32), counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        p, counts = sent.value
-        model = Gru(counts.shares)
-        model.p = p
+        flat, counts = sent.value
+        model = counts.network().load(flat)
         rid = TaskContext.get().partitionId() << 40
-        end_count = int(counts.head_counts[0]) if len(counts.head) and counts.head[0] == END else 0
         for batch in batches:
             own = Batch(batch.column("text"))
             n = len(own.n_words)
             rows = np.repeat(np.arange(n), own.n_words)
             c = np.zeros(len(own.hashes), np.int64)
-            if len(counts.head):
-                at = np.minimum(np.searchsorted(counts.head, own.hashes), len(counts.head) - 1)
-                c = np.where(counts.head[at] == own.hashes, counts.head_counts[at], 0)
+            if len(counts.known):
+                at = np.minimum(np.searchsorted(counts.known, own.hashes), len(counts.known) - 1)
+                c = np.where(counts.known[at] == own.hashes, counts.known_counts[at], 0)
             rare = c == 0
             rare_rows, rare_hashes = rows[rare], own.hashes[rare]
             order = np.lexsort((rare_hashes, rare_rows))
@@ -361,12 +440,13 @@ def score_documents(docs: DataFrame, held_out: int = 1) -> DataFrame:
             new[1:] = (rare_rows[1:] != rare_rows[:-1]) | (rare_hashes[1:] != rare_hashes[:-1])
             times = np.diff(np.append(np.flatnonzero(new), len(new)))
             logs = np.where(rare, 0, np.log10(c + 0.5))
-            texts = own.classes(counts.own)
-            gain = model.log_probs(texts) - np.array([counts.log_sums[t].sum() for t in texts])
+            symbols, bounds = own.symbols(counts.own)
+            # what the model gives beyond the counts, which the columns below add
+            gain = model.log_probs(symbols, bounds) - np.diff(np.concatenate([[0], np.cumsum(counts.own_logs[symbols])])[bounds])
             head_log = np.zeros(n)
             np.add.at(head_log, rows, logs)
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(rare_rows[new], minlength=n))]).astype(np.int32)
-            tail = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (rare_hashes[new].view(np.int64), times.astype(np.int32))]
+            at = np.concatenate([[0], np.cumsum(np.bincount(rare_rows[new], minlength=n))]).astype(np.int32)
+            tail = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (rare_hashes[new].view(np.int64), times.astype(np.int32))]
             cols = [pa.array(np.arange(rid, rid + n)), batch.column("doc_id"), pa.array(own.n_words + 1), pa.array(row_sums(~rare, rows, n) + (counts.end > 0))]
             cols += [pa.array(head_log + np.log10(counts.end + 0.5)), pa.array(gain), *tail]
             rid += n

@@ -7,11 +7,15 @@ probability that a further tree repeats independently. A node of at most `SMALL`
 compared exhaustively; a larger one is first linked through its centre, the
 document most alike to the others. If all its documents are
 then known to be connected it is done; if all but `SMALL` are, each of these few is compared to all
-others in blocks; else a node of at most `BLOCKED` documents is compared exhaustively in blocks, and
-the documents of larger ones go down new trees, `STEPS` levels deeper each time. At 1 / t branches a
-pair at the threshold is less and less likely to stay together in one tree, so the number of trees
-grows with the depth (`repetitions`): such a pair is left out with a probability below 1e-4 over the
-first level (`TREES` trees) and all later ones together, and a pair above the threshold with less.
+others in blocks; else its documents go down new trees, `STEPS` levels deeper each time, or, where
+that would make more rows, the node is dealt to runs of about `RUN_DOCS` documents and every run is
+compared with every run. At 1 / t branches a pair at the threshold is less and less likely to stay
+together in one tree, so the number of trees grows with the depth (`repetitions`): such a pair is
+left out with a probability below 1e-4 over the first level (`TREES` trees) and all later ones
+together, and a pair above the threshold with less. Documents that enough other nodes have settled
+(`still_open`) are left out of that. How often documents split follows from how much
+they are alike, so a node of documents barely less alike than the threshold is compared whole: n
+documents make n * n / `RUN_DOCS` rows then, and n * n comparisons of 128 bytes in the workers.
 
 Comparisons in a node use 8-bit sketches of the tokens and only nominate pairs, at a similarity four
 standard deviations below the threshold; every link is confirmed on the full sets. Pairs whose ends
@@ -36,12 +40,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bytesops import LOWER, mix, slices, span_hashes, words
-from .common import arrow_map, checked_join, hot_split_join, materialise
+from .common import arrow_map, checked_join, hot_split_join, materialise, scratch, text_hash, without
 from .components import components
 
 SIGNATURE = 128
@@ -53,14 +57,20 @@ SMALL = 200
 PROBES = 16
 #: Levels that the documents of large nodes go down before their nodes are counted again.
 STEPS = 3
-#: A node of at most so many documents that its links leave apart is compared exhaustively, in blocks.
-BLOCKED = 1000
+#: Documents, and shingles but for a longer document, of a run: a large node is compared run with run.
+RUN_DOCS, RUN_ITEMS = 1024, 250_000
 #: For all depths below the first level together, what TREES leave of 1e-4; each depth has half of what is left.
 MISS = 3e-5
+#: A document of undecided nodes is done if its other nodes miss a partner at the threshold with less than this probability.
+SETTLED = 1e-4
 #: A small node with more nominated pairs a row than this is settled at once, on its full sets.
 PAIRS_A_ROW = 1
+#: The comparison of a node of more documents than this ends as soon as it has too many pairs.
+BROKEN_OFF = 512
 #: Shingles that a node settled at once may hold, 8 bytes each; the pairs of longer ones are joined.
-NODE_ITEMS = 500_000
+NODE_ITEMS = 1_000_000
+#: Items of a membership matrix that are multiplied at once.
+COLUMNS = 2048
 #: Rows that a worker looks at together.
 ROWS = 512
 _NO_ID = -(2**63)
@@ -127,10 +137,11 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+            cols = [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n_shingles", "set_key", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return arrow_map(rows, run, "doc_id long, n_shingles long, set_key binary, sig binary")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
+    return arrow_map(rows, run, "doc_id long, text_hash long, n_shingles long, set_key binary, sig binary")
 
 
 def repetitions(threshold: float, depth: int, miss: float) -> int:
@@ -150,6 +161,11 @@ def repetitions(threshold: float, depth: int, miss: float) -> int:
     return trees
 
 
+def rows_below(threshold: float, depth: int) -> float:
+    """Rows that a document makes in nodes `depth` levels below the first, in all repetitions."""
+    return repetitions(threshold, depth, MISS / 2) * FIRST_BRANCHES * threshold**-depth
+
+
 def _nodes(column: str, dtype: str, trees: range, depth: int, threshold: float):
     """Nodes of the trees, `depth` levels below the first, from the tokens in `column`."""
 
@@ -170,7 +186,7 @@ def _nodes(column: str, dtype: str, trees: range, depth: int, threshold: float):
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         low = (fixed(batch.column("sig"), "<u4", SIGNATURE) & 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array([x.tobytes() for x in low], pa.binary())], ["set_key", "sketch"])
+        yield pa.RecordBatch.from_arrays([batch.column("set_key"), batch.column("n_shingles"), pa.array([x.tobytes() for x in low], pa.binary())], ["set_key", "size", "sketch"])
 
 
 def _ordered(a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
@@ -234,50 +250,81 @@ def _forest(root: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[int
     return kept
 
 
-def _nominate(least: int, per_row: int | None, forest: bool = False):
-    """Pairs (a, b) of small nodes that look similar and have different `root`s.
+def _nominate(least: int, percent: int, per_row: int | None, forest: bool = False):
+    """Pairs (a, b) of a node's documents that look similar, could be by their sizes, and have different `root`s.
 
+    Rows of side 0 and 1 are compared with the other side only, a node of one side within itself.
     With `forest` only a spanning forest of the roots is nominated. Else a node of more than
-    `per_row` pairs a row yields (set_key, root, node) of each row that is in a pair instead, so
-    that the rows made stay in proportion to those read; None: pairs in any case.
+    `per_row` pairs a row yields (set_key, root, node, side) of all its rows instead, so that the
+    rows made stay in proportion to those read; None: pairs in any case.
     """
 
+    def pairs_of(own: np.ndarray, size: np.ndarray, root: np.ndarray, side: np.ndarray, most: int | None) -> tuple[list[np.ndarray], ...]:
+        crossed = side.any() and not side.all()
+        other = np.flatnonzero(side == 1) if crossed else None
+        first, second, score, n = [], [], [], 0
+        for k in np.flatnonzero(side == 0).tolist() if crossed else range(len(own) - 1):
+            at = other if crossed else np.arange(k + 1, len(own))
+            near = (root[at] != root[k]) & (100 * np.minimum(size[at], size[k]) >= percent * np.maximum(size[at], size[k]))
+            at = at[near]
+            if not len(at):
+                continue
+            same = np.count_nonzero(own[at] == own[k], axis=1)
+            hit = at[same >= least]
+            if len(hit):
+                first.append(np.full(len(hit), k))
+                second.append(hit)
+                score.append(same[same >= least])
+                n += len(hit)
+                if most is not None and n > most and len(own) > BROKEN_OFF:
+                    break
+        return first, second, score
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for starts, rows in _blocks(batches):
             sketch = fixed(rows.column("sketch"), "u1", SIGNATURE)
+            size, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("size", "side"))
             keys, names = rows.column("set_key").to_pylist(), rows.column("root").to_pylist()
             nodes = rows.column("node").to_pylist()
             roots = np.unique(np.array(names, "S16"), return_inverse=True)[1]
-            sizes = np.diff(starts)
-            one = starts[:-1][sizes == 2]  # the bulk: two documents
-            near = one[(roots[one] != roots[one + 1]) & ((sketch[one] == sketch[one + 1]).sum(axis=1) >= least)]
+            counts = np.diff(starts)
+            one = starts[:-1][counts == 2]  # the bulk: two documents
+            fits = 100 * np.minimum(size[one], size[one + 1]) >= percent * np.maximum(size[one], size[one + 1])
+            near = one[fits & (roots[one] != roots[one + 1]) & ((sketch[one] == sketch[one + 1]).sum(axis=1) >= least)]
             left, right, marked = near.tolist(), (near + 1).tolist(), []
-            for a, n in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                own, root = sketch[a : a + n], roots[a : a + n]
+            for a, n in zip(starts[:-1][counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+                own, root = slice(a, a + n), roots[a : a + n]
                 if (root == root[0]).all():
                     continue
-                same = np.concatenate([(own[k + 1 :] == own[k]).sum(axis=1) for k in range(n - 1)])
-                first, second = np.triu_indices(n, 1)
-                at = np.flatnonzero((same >= least) & (root[first] != root[second]))
+                most = None if forest or per_row is None else per_row * n
+                first, second, score = pairs_of(sketch[own], size[own], root, side[own], most)
+                if not first:
+                    continue
+                first, second, score = (np.concatenate(x) for x in (first, second, score))
                 if forest:
-                    at = at[np.argsort(-same[at], kind="stable")]
-                    at = at[_forest(root, first[at], second[at])]
-                elif per_row is not None and len(at) > per_row * n:
-                    marked += (np.union1d(first[at], second[at]) + a).tolist()
+                    best = np.argsort(-score, kind="stable")
+                    first, second = first[best], second[best]
+                    kept = _forest(root, first, second)
+                    first, second = first[kept], second[kept]
+                elif most is not None and len(first) > most:
+                    marked += range(a, a + n) if n > BROKEN_OFF else (np.union1d(first, second) + a).tolist()
                     continue
-                left += (first[at] + a).tolist()
-                right += (second[at] + a).tolist()
+                left += (first + a).tolist()
+                right += (second + a).tolist()
             pairs = _ordered([keys[k] for k in left], [keys[k] for k in right])
-            yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(len(left), pa.int64())], ["a", "b", "node"])
+            yield pa.RecordBatch.from_arrays([*pairs.columns, pa.nulls(len(left), pa.int64()), pa.nulls(len(left), pa.int32())], ["a", "b", "node", "side"])
             if marked:
                 columns = [pa.array([keys[k] for k in marked], pa.binary()), pa.array([names[k] for k in marked], pa.binary()), pa.array([nodes[k] for k in marked], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "node"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(side[marked], pa.int32())], ["a", "b", "node", "side"])
 
     return run
 
 
-def shared_items(items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sizes of the intersections of all pairs of sets, set k being items[offsets[k] : offsets[k + 1]]."""
+def shared_items(items: np.ndarray, offsets: np.ndarray, split: int = 0) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, set k being items[offsets[k] : offsets[k + 1]].
+
+    With `split` of the sets before it with the others only.
+    """
     n = len(offsets) - 1
     row = np.repeat(np.arange(n), np.diff(offsets))
     _, place, count = np.unique(items, return_inverse=True, return_counts=True)
@@ -288,12 +335,12 @@ def shared_items(items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     row, place = row[place >= 0], place[place >= 0]
     order = np.argsort(place, kind="stable")
     row, place = row[order], place[order]
-    out = np.zeros((n, n), np.int64)
-    for lo in range(0, len(often), 8192):
-        a, b = np.searchsorted(place, [lo, lo + 8192])
-        has = np.zeros((n, min(8192, len(often) - lo)), np.float32)
+    out = np.zeros((split or n, n - split), np.int32)
+    for lo in range(0, len(often), COLUMNS):
+        a, b = np.searchsorted(place, [lo, lo + COLUMNS])
+        has = np.zeros((n, min(COLUMNS, len(often) - lo)), np.float32)
         has[row[a:b], place[a:b] - lo] = 1
-        out += (has @ has.T).astype(np.int64)
+        out += (has[: split or n] @ has[split:].T).astype(np.int32)
     return out
 
 
@@ -304,15 +351,18 @@ def _links_within(percent: int):
         for starts, rows in _blocks(batches):
             keys = rows.column("set_key").to_pylist()
             roots = np.unique(np.array(rows.column("root").to_pylist(), "S16"), return_inverse=True)[1]
-            items = rows.column("items")
+            items, side = rows.column("items"), rows.column("side").to_numpy(zero_copy_only=False)
             values, bounds = items.values.to_numpy(zero_copy_only=False), items.offsets.to_numpy()
             left, right = [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                at = bounds[a : b + 1]
-                shared = shared_items(values[at[0] : at[-1]], at - at[0])
-                size, root = np.diff(at).astype(np.int64), roots[a:b]
-                alike = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
-                first, second = np.nonzero(np.triu(alike & (root[:, None] != root[None, :]), 1))
+                at, root, size = bounds[a : b + 1], roots[a:b], np.diff(bounds[a : b + 1]).astype(np.int64)
+                split = int((side[a:b] == 0).sum()) % (b - a)  # sorted by side; one side: all with all
+                shared = shared_items(values[at[0] : at[-1]], at - at[0], split).astype(np.int64)
+                rows_of, others = slice(0, split or b - a), slice(split, b - a)
+                alike = 100 * shared >= percent * (size[rows_of, None] + size[None, others] - shared)
+                alike &= root[rows_of, None] != root[None, others]
+                first, second = np.nonzero(alike if split else np.triu(alike, 1))
+                second = second + split
                 kept = _forest(root, first, second)
                 left += (first[kept] + a).tolist()
                 right += (second[kept] + a).tolist()
@@ -330,11 +380,11 @@ class _Join:
         known = self.rows.where("set_key IS NOT NULL")
         grouped = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_rows"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
         self.sets = materialise(grouped, "near-sets")
-        self.sketches = materialise(arrow_map(self.sets.select("set_key", "sig"), _sketches, "set_key binary, sketch binary"), "near-sketches")
+        self.sketches = materialise(arrow_map(self.sets.select("set_key", "n_shingles", "sig"), _sketches, "set_key binary, size long, sketch binary"), "near-sketches")
 
     def live(self, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows of the nodes whose documents are not all connected, with the node's size, their roots and sketches."""
-        nodes = materialise(self.labelled(nodes.distinct(), labels), "near-nodes")
+        nodes = self.nodes = materialise(self.labelled(nodes.distinct(), labels), "near-nodes")
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("_lo"), F.max("root").alias("_hi"))
         sizes = materialise(sizes.where("_lo < _hi").select("node", "n"), "near-sizes")
         rows = nodes.join(sizes.hint("merge"), "node")
@@ -345,10 +395,11 @@ class _Join:
         order = W.Window.partitionBy("node").orderBy(F.xxhash64("set_key"), "set_key")
         probes = many.select("node", "set_key", "sketch").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= PROBES)
         probes = materialise(probes.groupBy("node").agg(F.collect_list("sketch").alias("probes")), "near-probes")
-        alike = checked_join(many, probes, ["node"]).select("node", "set_key", "sketch", "root", "probes")
+        alike = checked_join(many, probes, ["node"], row_bytes=PROBES * SIGNATURE + 400).select("node", "set_key", "sketch", "root", "probes")
         alike = arrow_map(alike, _alike, "node long, set_key binary, sketch binary, root binary, alike long")
         best = alike.groupBy("node").agg(F.max(F.struct("alike", "set_key", "sketch", "root")).alias("_b"))
-        return best.select("node", F.col("_b.set_key").alias("centre"), F.col("_b.sketch").alias("centre_sketch"), F.col("_b.root").alias("centre_root"))
+        share = F.col("_b.alike") / F.lit(float(PROBES * SIGNATURE))
+        return best.select("node", share.alias("alike"), F.col("_b.set_key").alias("centre"), F.col("_b.sketch").alias("centre_sketch"), F.col("_b.root").alias("centre_root"))
 
     def items(self, keys: DataFrame) -> DataFrame:
         """set_key and items of the wanted keys (and perhaps some others), from the texts."""
@@ -399,14 +450,47 @@ class _Join:
         fresh = moved.join(labels.select("key").hint("merge"), "key", "left_anti").select("key", "root")
         return materialise(old.unionByName(fresh), "near-labels")
 
+    def still_open(self, rest: DataFrame) -> DataFrame:
+        """Of the rows of undecided first-level nodes those of documents that their other nodes have not settled.
+
+        Every node of a document holds a partner at the threshold t with probability t; given that
+        a share h of its nodes is undecided, each of its m decided ones does with (t - h) / (1 - h)
+        at least, even if all the undecided ones hold it. So the partner is in none of them with
+        probability ((1 - t) / (1 - h)) ** m. Where that is below SETTLED, the document need not be
+        compared again; a pair of which one end is settled is found in that end's nodes. Documents
+        that have one phrase in common with thousands are settled, those of a template are not.
+        """
+        t = self.percent / 100
+        held = materialise(rest.groupBy("set_key").agg(F.count(F.lit(1)).alias("u")), "near-held")
+        met = checked_join(self.nodes.select("set_key"), held.select("set_key"), ["set_key"], "left_semi").groupBy("set_key").agg(F.count(F.lit(1)).alias("k"))
+        share = (F.col("u") + 1) / (F.col("k") + 2)
+        lost = F.when(share < t, F.pow((1 - t) / (1 - share), F.col("k") - F.col("u"))).otherwise(1.0)
+        unsettled = materialise(held.join(met.hint("merge"), "set_key").where(lost > SETTLED).select("set_key"), "near-open")
+        return materialise(checked_join(rest, unsettled, ["set_key"], "left_semi"), "near-rest")
+
+    def goes_down(self, depth: int) -> Column:
+        """Whether a node of `_runs` runs, whose documents agree with the centre in `alike` of the places, is split by new trees.
+
+        They must go so deep that its nodes fit in a run; that makes a known number of rows a
+        document, against `_runs` if the node is compared whole. Documents almost as alike as the
+        threshold never get there: no hash tells them apart at less cost than looking.
+        """
+        t = self.percent / 100
+        costs = F.array(*[F.lit(rows_below(t, d)) for d in range(depth + 1, depth + 31)])
+        alike = F.least(F.greatest(F.col("alike"), F.lit(0.01)), F.lit(0.999))
+        needed = F.ceil(F.log(F.col("_runs").cast("double")) / -F.log(alike)).cast("int")
+        return F.col("_runs") > F.coalesce(F.get(costs, F.greatest(needed, F.lit(STEPS)) - 1), F.lit(float("inf")))
+
     def links(self) -> DataFrame:
         """All confirmed links that connect what is connected."""
-        pair, found_as = "a binary, b binary", "a binary, b binary, node long"
+        pair, found_as = "a binary, b binary", "a binary, b binary, node long, side int"
         node = "node long, set_key binary"
+        own = ["set_key", "size", "sketch"]
         nodes = arrow_map(self.sets.select("set_key", "sig"), _nodes("sig", "<u4", range(TREES), 0, self.percent / 100), node)
         found, tried, labels, small = [], [], None, []
         depth, grown, miss = 0, TREES, MISS
         union = lambda frames: reduce(DataFrame.unionByName, frames)
+        by_node = lambda rows: rows.repartition("node").sortWithinPartitions("node", "side")
 
         def confirm(pairs: DataFrame) -> None:
             nonlocal labels
@@ -420,82 +504,102 @@ class _Join:
 
         while True:
             live = self.live(nodes, labels)
-            few = live.where(F.col("n") <= SMALL).select("node", "set_key", "sketch", "root")
+            few = live.where(F.col("n") <= SMALL).select("node", *own, "root", F.lit(0).alias("side"))
             small.append(few.drop("root"))
             many = live.where(F.col("n") > SMALL)
             centres = materialise(self.centres(many), "near-centres")
-            pairs = arrow_map(few.repartition("node").sortWithinPartitions("node"), _nominate(self.least, None, forest=True), found_as).select("a", "b")
+            pairs = arrow_map(by_node(few), _nominate(self.least, self.percent, None, forest=True), found_as).select("a", "b")
             if centres.isEmpty():
                 confirm(pairs)
                 break
-            star = checked_join(many, centres, ["node"]).where("set_key <> centre AND root <> centre_root")
+            star = checked_join(many, centres, ["node"], row_bytes=400).where("set_key <> centre AND root <> centre_root")
             star = arrow_map(star.select("set_key", "sketch", "centre", "centre_sketch"), _to_centre(self.least), pair)
             confirm(pairs.unionByName(star))
-            named = materialise(self.labelled(many.select("node", "n", "set_key", "sketch"), labels), "near-large")
-            parts = named.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("node")
-            parts = parts.agg(F.max(F.struct("c", "root")).alias("_m"), F.sum("c").alias("_n"))
-            parts = materialise(parts.select("node", F.col("_m.root").alias("most"), (F.col("_n") - F.col("_m.c")).alias("others")).where("others > 0"), "near-parts")
-            rows = materialise(checked_join(named, parts, ["node"]), "near-mixed")
+            named = materialise(self.labelled(many.select("node", "n", *own), labels), "near-large")
+            parts = named.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w")).groupBy("node")
+            parts = parts.agg(F.max(F.struct("c", "root")).alias("_m"), F.sum("c").alias("_n"), F.sum("w").alias("weight"))
+            parts = parts.select("node", F.col("_m.root").alias("most"), (F.col("_n") - F.col("_m.c")).alias("others"), "weight").where("others > 0")
+            parts = materialise(parts.join(centres.select("node", "alike").hint("merge"), "node"), "near-parts")
+            rows = materialise(checked_join(named, parts, ["node"], row_bytes=120), "near-mixed")
             # a few beside one component: each of the few meets all, in blocks
             blocks = F.ceil(F.col("n") / SMALL).cast("int")
             near = rows.where(F.col("others") <= SMALL)
             block = F.when(F.col("root") == F.col("most"), F.array(F.pmod(F.xxhash64("set_key"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))
-            near = near.withColumn("_b", F.explode(block)).select(F.xxhash64("node", "_b").alias("node"), "set_key", "sketch")
+            near = near.withColumn("_b", F.explode(block)).select(F.xxhash64("node", "_b").alias("node"), *own, F.lit(0).alias("side"))
             small.append(near)
-            rest = rows.where(F.col("others") > SMALL)
-            # all with all: each pair of runs of about SMALL / 2 documents is a small node
-            runs = F.ceil(F.col("n") / (SMALL / 2)).cast("int")
-            whole = rest.where(F.col("n") <= BLOCKED).withColumn("_i", F.pmod(F.xxhash64("set_key"), runs).cast("int"))
-            whole = whole.withColumn("_j", F.explode(F.sequence(F.lit(0), runs - 1)))
-            small.append(whole.select(F.xxhash64("node", F.least("_i", "_j"), F.greatest("_i", "_j"), F.lit("runs")).alias("node"), "set_key", "sketch"))
-            deep = rest.where(F.col("n") > BLOCKED)
+            # the others: run with run, unless going down makes fewer rows
+            rest = rows.where(F.col("others") > SMALL).select("node", *own, "alike")
+            if not depth:
+                rest = self.still_open(rest)
+            sizes = materialise(rest.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).where("n > 1"), "near-sizes")
+            runs = F.greatest(F.ceil(F.col("n") / RUN_DOCS), F.ceil(F.col("weight") / RUN_ITEMS)).cast("int")
+            rest = checked_join(rest, sizes, ["node"]).withColumn("_runs", runs)
+            whole = rest.where(~self.goes_down(depth)).withColumn("_i", F.pmod(F.xxhash64("set_key"), F.col("_runs")).cast("int"))
+            whole = whole.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_runs") - 1)))
+            small.append(whole.select(F.xxhash64("node", F.least("_i", "_j"), F.greatest("_i", "_j"), F.lit("runs")).alias("node"), *own, (F.col("_i") > F.col("_j")).cast("int").alias("side")))
+            deep = materialise(rest.where(self.goes_down(depth)).select("set_key", "sketch").dropDuplicates(["set_key"]), "near-deep")
             if deep.isEmpty():
                 break
             depth, miss = depth + STEPS, miss / 2
             trees = range(grown, grown + repetitions(self.percent / 100, depth, miss))
             grown = trees.stop
-            deep = materialise(deep.select("set_key", "sketch").dropDuplicates(["set_key"]), "near-deep")
             nodes = arrow_map(deep, _nodes("sketch", "u1", trees, depth, self.percent / 100), node)
-        apart = self.labelled(union(small), labels)
-        nominated = arrow_map(apart.repartition("node").sortWithinPartitions("node"), _nominate(self.least, PAIRS_A_ROW), found_as)
-        nominated = materialise(nominated, "near-nominated")
+        apart = materialise(self.labelled(union(small), labels), "near-apart")
+        nominated = materialise(arrow_map(by_node(apart), _nominate(self.least, self.percent, PAIRS_A_ROW), found_as), "near-nominated")
         pairs = nominated.where("node IS NULL").select("a", "b")
-        dense = nominated.where("node IS NOT NULL").select(F.col("a").alias("set_key"), F.col("b").alias("root"), "node")
+        dense = nominated.where("node IS NOT NULL").select(F.col("a").alias("set_key"), F.col("b").alias("root"), "node", "side")
         weights = dense.join(self.sets.select("set_key", "n_shingles").hint("merge"), "set_key").groupBy("node").agg(F.sum("n_shingles").alias("_w"))
         heavy = materialise(weights.where(F.col("_w") > NODE_ITEMS).select("node"), "near-heavy")
-        if not heavy.isEmpty():  # too long to be held at once
-            held = checked_join(apart, heavy, ["node"], "left_semi").select("node", "set_key", "sketch", "root")
-            held = arrow_map(held.repartition("node").sortWithinPartitions("node"), _nominate(self.least, None), found_as)
+        if not heavy.isEmpty():  # too long to be held at once: few documents, or many of very unlike sizes
+            held = checked_join(apart, heavy, ["node"], "left_semi").select("node", *own, "root", "side")
+            held = arrow_map(by_node(held), _nominate(self.least, self.percent, None), found_as)
             pairs = pairs.unionByName(held.select("a", "b"))
             dense = checked_join(dense, heavy, ["node"], "left_anti")
         confirm(pairs)
-        dense = self.labelled(dense.select("set_key", "node"), labels)
+        dense = materialise(self.labelled(dense.select("set_key", "node", "side"), labels), "near-dense")
         if not dense.isEmpty():
             sets = self.items(dense.select("set_key").distinct())
-            whole = dense.join(sets.hint("merge"), "set_key").select("node", "set_key", "root", "items")
-            links = arrow_map(whole.repartition("node").sortWithinPartitions("node"), _links_within(self.percent), pair)
+            whole = dense.join(sets.hint("merge"), "set_key").select("node", "set_key", "root", "side", "items")
+            links = arrow_map(by_node(whole), _links_within(self.percent), pair)
             found.append(materialise(links.distinct(), "near-links"))
             labels = self.merged(labels, found[-1])
         self.labels = labels
         return union(found)
 
 
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and class (null: no words) of every row, as a written table."""
+    with scratch(docs.sparkSession) as keep:
+        join = _Join(docs, width, percent)
+        join.links()
+        named = materialise(join.labelled(join.sets.select("set_key", "doc_id", "n_rows"), join.labels), "near-named")
+        least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_sets")), "near-least")
+        sets = hot_split_join(named.select("set_key", "root", "n_rows"), least, "root", "n_sets")
+        sets = materialise(sets.select("set_key", "component_id", F.col("root").alias("class"), "n_rows"), "near-classes")
+        rows = join.rows.select("doc_id", "text_hash", "n_shingles", "set_key")
+        shape = ["doc_id", "text_hash", "n_shingles", "component_id", "class"]
+        linked = hot_split_join(rows.where("set_key IS NOT NULL"), sets, "set_key", "n_rows").select(*shape)
+        alone = rows.where("set_key IS NULL").withColumn("component_id", F.col("doc_id")).withColumn("class", F.lit(None).cast("binary"))
+        return keep(linked.unionByName(alone.select(*shape)), "near-result")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest connected id) and kept of every row."""
-    join = _Join(docs, width, percent)
-    join.links()
-    labels = join.labels
-    named = materialise(join.labelled(join.sets.select("set_key", "doc_id", "n_rows"), labels), "near-named")
-    least = materialise(named.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n_sets")), "near-least")
-    sets = hot_split_join(named.select("set_key", "root", "n_rows"), least, "root", "n_sets")
-    sets = materialise(sets.select("set_key", "component_id", "n_rows"), "near-classes")
-    rows = join.rows.select("doc_id", "n_shingles", "set_key")
-    linked = hot_split_join(rows.where("set_key IS NOT NULL"), sets, "set_key", "n_rows").select("doc_id", "n_shingles", "component_id")
-    alone = rows.where("set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _classes(docs, width, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` but for those near a smaller id, with their columns; rows without an id always stay."""
-    gone = materialise(near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    return checked_join(docs, gone, ["doc_id"], "left_anti")
+    """One row of each class of near duplicates, of the smallest id, with its columns; rows without words all stay.
+
+    A row is decided by its own text: of several texts under the class's smallest id that of the
+    least hash stays, of rows that repeat id and text any one.
+    """
+    rows = _classes(docs, width, percent).where("class IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = rows.groupBy("class").agg(F.min(order).alias("_f"), F.count(F.lit(1)).alias("n"))
+    first = materialise(first.select("class", F.col("_f.doc_id").alias("first_id"), F.col("_f.text_hash").alias("first_hash"), "n"), "near-first")
+    marked = hot_split_join(rows.select("class", "doc_id", "text_hash"), first, "class", "n")
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))
+    gone = materialise(marked.where(~stays).select("doc_id", "text_hash").distinct(), "near-gone")
+    again = marked.where(stays).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_hash")
+    return without(docs, gone, materialise(again, "near-again"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytesops import doc_starts, row_sums, slices, span_hashes, words
-from .common import arrow_map, checked_join, id_remainder, materialise
+from .common import arrow_map, id_remainder, materialise, text_hash, tree_sum, without
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "long_words", "short_words", "upper", "digits", "punctuation", "symbols", "bangs",
@@ -33,8 +33,6 @@ FEATURES = 256
 WIDTH = 4.0
 RIDGE = 1e-3
 BINS = 2000
-#: Partial sums met in one task.
-FAN_IN = 32
 
 _CLASS = np.zeros(256, np.uint8)  # 1 upper, 2 digit, 3 common punctuation, 4 other ASCII symbol
 _CLASS[65:91] = 1
@@ -98,10 +96,10 @@ def _statistics_of(docs: DataFrame) -> DataFrame:
         for batch in batches:
             values = statistics(batch.column("text"))
             cols = [pa.array(values[:, k]) for k in range(len(STATISTICS))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *cols], ["doc_id", "text_hash", *STATISTICS])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return arrow_map(rows, run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("text_hash"), F.col("text").cast("string"))
+    return arrow_map(rows, run, "doc_id long, text_hash long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 class Kernel:
@@ -123,7 +121,7 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over all rows: partial sums by partition, added FAN_IN at a time."""
+    """Z'Z and Z'y over all rows: partial sums by partition, added in a tree."""
     side = FEATURES + 1
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,19 +133,8 @@ def normal_equations(rows: DataFrame, kernel: Kernel) -> tuple[np.ndarray, np.nd
             total += z.T @ np.hstack([z, y[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["at", "sums"])
 
-    def added(key, group):
-        import pandas as pd
-
-        total = sum(np.frombuffer(x) for x in group.sort_values("at")["sums"])
-        return pd.DataFrame({"at": [key[0]], "sums": [total.tobytes()]})
-
-    sums = materialise(arrow_map(rows, partial, "at long, sums binary"), "quality-sums")
-    n = sums.count()
-    while n > FAN_IN:
-        up = sums.withColumn("up", F.expr(f"at div {FAN_IN}L")).groupBy("up").applyInPandas(added, "at long, sums binary")
-        sums = materialise(up, "quality-sums")
-        n = -(-n // FAN_IN)
-    total = sum((np.frombuffer(r["sums"]) for r in sums.orderBy("at").toLocalIterator()), np.zeros(side * (side + 1))).reshape(side, side + 1)
+    total = tree_sum(arrow_map(rows, partial, "at long, sums binary"))
+    total = np.zeros((side, side + 1)) if total is None else total.reshape(side, side + 1)
     return total[:, :side], total[:, side]
 
 
@@ -165,6 +152,10 @@ def isotonic(x: np.ndarray, positive: np.ndarray, count: np.ndarray) -> tuple[np
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; learns from rows that are not held out."""
+    return _scored(docs, labels, threshold).drop("text_hash")
+
+
+def _scored(docs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     stats = materialise(_statistics_of(docs), "quality-statistics")
     known = labels.where("quality IN (0, 1)").select("doc_id", F.col("quality").cast("double"))
     rest = id_remainder(F.col("doc_id"))
@@ -186,8 +177,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
         curve = isotonic(*(np.array([r[k] for r in table], float) for k in (1, 2, 3)))
         scored = _raw_scores(stats, kernel, weights, None, curve)
     else:
-        scored = stats.select("doc_id", F.lit(0.5 if prior is None else float(prior)).alias("raw"))
-    return scored.select("doc_id", (rest == 0).alias("held_out"), F.col("raw").alias("score"), (F.col("raw") >= threshold).cast("int").alias("predicted"))
+        scored = stats.select("doc_id", "text_hash", F.lit(0.5 if prior is None else float(prior)).alias("raw"))
+    return scored.select("doc_id", "text_hash", (rest == 0).alias("held_out"), F.col("raw").alias("score"), (F.col("raw") >= threshold).cast("int").alias("predicted"))
 
 
 def _raw_scores(rows: DataFrame, kernel: Kernel, weights: np.ndarray, carry: str | None, curve: tuple | None = None) -> DataFrame:
@@ -200,12 +191,12 @@ def _raw_scores(rows: DataFrame, kernel: Kernel, weights: np.ndarray, carry: str
             if curve is not None:
                 # within a flat stretch the raw score still orders
                 raw = 0.999 * np.interp(raw, *curve) + 0.001 * np.clip(raw, 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw), *[batch.column(c) for c in kept]], ["doc_id", "raw", *kept])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(raw), *[batch.column(c) for c in kept]], ["doc_id", "text_hash", "raw", *kept])
 
-    return arrow_map(rows, run, "doc_id long, raw double" + (f", {carry}" if carry else ""))
+    return arrow_map(rows, run, "doc_id long, text_hash long, raw double" + (f", {carry}" if carry else ""))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` that are not predicted bad, with their columns; rows without an id always stay."""
-    gone = materialise(score_quality(docs, labels, threshold).where("predicted = 0").select("doc_id").distinct(), "quality-gone")
-    return checked_join(docs, gone, ["doc_id"], "left_anti")
+    """The rows of `docs` that are not predicted bad, with their columns; a row is decided by its own text, whatever else has its id."""
+    gone = materialise(_scored(docs, labels, threshold).where("predicted = 0").select("doc_id", "text_hash").distinct(), "quality-gone")
+    return without(docs, gone)

@@ -1,11 +1,13 @@
 """Token counts of whole texts, exactly as the vocabulary's library gives them.
 
-Texts up to `chunk_bytes` are counted as they are; longer ones are cut into units in
-overlapping chunks that end after white space, and overlaps widen where there is none (see
-wordbpe.WordBpe.stable_pieces); a unit table replaces splicing encoded overlaps by offsets. The scan's rows are counted where they are read: no shuffle.
+Texts up to `chunk_chars` characters are encoded whole, many in a call. Longer ones are encoded in
+overlapping chunks with offsets, which are spliced at boundaries that both chunks have and that no
+token can cross; overlaps widen where there is none (see wordbpe.WordBpe.spliced), for texts with
+special strings too. The scan's rows are counted where they are read: no shuffle.
 
 Defined cases: a null text has no bytes and no tokens; a null id and repeated rows are kept as they
-are; an empty table gives no rows; further columns are ignored.
+are; a text without white space is one chunk; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,50 +19,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesops import row_sums, slices
 from .common import arrow_map
 from .wordbpe import WordBpe
 
+#: Characters that one call of the library gets.
+CALL_CHARS = 1 << 18
 
-def count_column(column: pa.Array, bpe: WordBpe, chunk_bytes: int, overlap_bytes: int) -> np.ndarray:
+
+def count_column(column: pa.Array, bpe: WordBpe, chunk_chars: int, overlap_chars: int) -> np.ndarray:
     """Tokens of each text of the column."""
     counts = np.zeros(len(column), np.int64)
-    for lo, hi, data, offsets in slices(column):
-        raw = data.tobytes()
-        if b"<|" in raw:  # may hold special strings
-            for k in range(lo, hi):
-                text = raw[offsets[k - lo] : offsets[k - lo + 1]]
-                counts[k] = len(bpe.whole(text.decode())) if b"<|" in text else _count(np.frombuffer(text, np.uint8), np.array([0, len(text)]), bpe, chunk_bytes, overlap_bytes)[0]
-        else:
-            counts[lo:hi] = _count(data, offsets, bpe, chunk_bytes, overlap_bytes)
-    return counts
+    rows: list[int] = []
+    texts: list[str] = []
+    size = 0
 
+    def flush() -> None:
+        nonlocal size
+        if rows:
+            counts[rows] = bpe.counts(texts)
+        rows.clear()
+        texts.clear()
+        size = 0
 
-def _count(data: np.ndarray, offsets: np.ndarray, bpe: WordBpe, chunk_bytes: int, overlap_bytes: int) -> np.ndarray:
-    sizes = np.diff(offsets)
-    counts = np.zeros(len(sizes), np.int64)
-    long = sizes > chunk_bytes
-    for k in np.flatnonzero(long):
-        for _, _, entries in bpe.stable_pieces(data[offsets[k] : offsets[k + 1]], chunk_bytes, overlap_bytes):
-            counts[k] += int(bpe.table.size[entries].sum())
-    if not long.all():
-        if long.any():
-            data = data[np.repeat(~long, sizes)]
-            offsets = np.concatenate([[0], np.cumsum(sizes[~long])])
-        starts, ends = bpe.units(data, offsets)
-        rows = np.searchsorted(offsets, starts, "right") - 1
-        entries = bpe.entries(data, starts, ends)
-        counts[~long] = row_sums(bpe.table.size[entries], rows, int((~long).sum()))
+    for k, value in enumerate(column):
+        text = value.as_py() or ""
+        if len(text) > chunk_chars:
+            counts[k] = sum(len(ids) for ids in bpe.spliced(text, chunk_chars, overlap_chars))
+        elif text:
+            rows.append(k)
+            texts.append(text)
+            size += len(text)
+            if size > CALL_CHARS:
+                flush()
+    flush()
     return counts
 
 
-def token_counts(docs: DataFrame, vocab: str, limit: int = 2048, chunk_bytes: int = 32 << 10, overlap_bytes: int = 1 << 10) -> DataFrame:
+def token_counts(docs: DataFrame, vocab: str, limit: int = 2048, chunk_chars: int = 64 << 10, overlap_chars: int = 1 << 10) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(vocab)
         for batch in batches:
-            counts = count_column(batch.column("text"), bpe, chunk_bytes, overlap_bytes)
+            counts = count_column(batch.column("text"), bpe, chunk_chars, overlap_chars)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
     n_bytes = F.coalesce(F.octet_length(F.col("text")), F.lit(0)).cast("long")

@@ -1,10 +1,14 @@
-"""A word-level BPE vocabulary of the tokenizers library over whole text columns.
+"""A word-level BPE vocabulary of the tokenizers library over texts of any length.
 
-The vocabulary's pre-tokeniser drops white space, so no token crosses it, and an ASCII letter next
-to ASCII punctuation (but the apostrophe of a contraction) is also always a boundary. Text is cut
-there, and the library encodes each distinct unit once for a worker. Lower-casing A-Z first changes
-nothing, as the vocabulary lower-cases. Texts with `<|`, which may hold special strings, go to the
-library as they are.
+Two ways to its ids, both exactly the library's:
+
+* `spliced`: a huge text is encoded by the library in overlapping chunks with offsets, and two
+  neighbours are spliced at a common boundary that is proven to be stable.
+* `entries`: short texts are cut into units that no token crosses, and the library encodes each
+  distinct unit once for a worker. The vocabulary's pre-tokeniser drops white space, so no token
+  crosses it, and an ASCII letter next to ASCII punctuation (but the apostrophe of a contraction)
+  is also always a boundary. Lower-casing A-Z first changes nothing, as the vocabulary lower-cases.
+  Texts with `<|`, which may hold special strings, are not cut so.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ KIND = np.full(256, 3, np.uint8)
 KIND[SPACE] = 0
 KIND[97:123] = KIND[65:91] = 1
 KIND[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = 2
+_WHITE = " \t\n\r\x0b\x0c"
 
 
 class WordBpe:
@@ -31,9 +36,16 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(vocab)
+        self.library.no_truncation()
+        self.library.no_padding()
         size = self.library.get_vocab_size()
         self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.table = UnitTable(self._encode)
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        self.table = UnitTable(self._encode, dtype=self.dtype)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: White space is dropped and parts what stands around it, but within these special strings.
+        self.apart = self.whole("a b") == self.whole("a") + self.whole("b")
+        self.spaced = [t for t in self.special if any(c.isspace() for c in t)]
 
     @classmethod
     def load(cls, vocab: str) -> WordBpe:
@@ -45,6 +57,62 @@ class WordBpe:
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text, each encoded whole."""
+        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk(self, text: str, start: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and places (in the text) of the tokens of text[start : start + size]."""
+        done = self.library.encode(text[start : start + size], add_special_tokens=False)
+        return np.array(done.ids, np.int64), np.array([a for a, _ in done.offsets], np.int64) + start
+
+    def _boundary(self, text: str, left: tuple, right: tuple, since: int) -> int | None:
+        """A place where both chunks have a token that follows white space, and from which on both agree.
+
+        Left of it the left chunk is right, as its end is far; right of it the right one. The
+        last such place but the one nearest the left chunk's end, whose word may be cut there.
+        """
+        (ids, at), (others, there) = left, right
+        common = np.intersect1d(at, there)
+        common = [p for p in common.tolist() if p > since and text[p - 1] in _WHITE and not self._inside(text, p)]
+        for p, last in zip(reversed(common[:-1]), reversed(common[1:]), strict=True):
+            one = ids[(at >= p) & (at < last)]
+            if np.array_equal(one, others[(there >= p) & (there < last)]):
+                return p
+        return None
+
+    def _inside(self, text: str, place: int) -> bool:
+        """Whether a special string that holds white space stands around the place."""
+        return any(t in text[max(0, place - len(t) + 1) : place + len(t) - 1] for t in self.spaced)
+
+    def spliced(self, text: str, chunk: int, overlap: int) -> Iterator[np.ndarray]:
+        """The ids of a text, encoded in chunks of `chunk` characters that overlap by `overlap`.
+
+        Where no stable boundary lies in an overlap, both chunks are encoded again with twice the
+        overlap, at last to the text's end.
+        """
+        if not self.apart:
+            yield np.array(self.whole(text), np.int64)
+            return
+        start, since, wide = 0, 0, overlap
+        left = self._chunk(text, 0, chunk + wide)
+        while start + chunk + wide < len(text):
+            right = self._chunk(text, start + chunk, chunk + overlap)
+            place = self._boundary(text, left, right, since)
+            if place is None:
+                wide *= 2
+                left = self._chunk(text, start, chunk + wide)
+                if wide > overlap + chunk:  # the neighbour must reach as far as the overlap
+                    right = self._chunk(text, start + chunk, chunk + wide)
+                    place = self._boundary(text, left, right, since)
+                    if place is not None and start + chunk + wide < len(text):
+                        yield left[0][(left[1] >= since) & (left[1] < place)]
+                        start, since, left = start + chunk, place, right
+                continue
+            yield left[0][(left[1] >= since) & (left[1] < place)]
+            start, since, left, wide = start + chunk, place, right, overlap
+        yield left[0][left[1] >= since]
+
     def _encode(self, units: list[bytes]) -> tuple[list[list[int]], bool]:
         out: list[list[int]] = [[]] * len(units)
         texts = [u.decode() for u in units]
@@ -79,33 +147,3 @@ class WordBpe:
 
     def entries(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return self.table.entries(LOWER[data], starts, ends)
-
-    def stable_pieces(self, data: np.ndarray, chunk: int, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Cut one long text at proven boundaries: (piece, unit starts, entries) in order.
-
-        Neighbouring chunks overlap and both are cut into units; they are spliced at the last unit
-        start that both have and that follows white space, over which no token reaches. Without
-        one the overlap is doubled, at last to the end of the text.
-        """
-        at = 0
-        while at < len(data):
-            wide = overlap
-            while True:
-                piece = data[at : at + chunk + wide]
-                starts, ends = self.units(piece, np.array([0, len(piece)]))
-                if at + len(piece) >= len(data):
-                    cut = len(piece)
-                    break
-                after = data[at + chunk : at + chunk + wide]
-                theirs = self.units(after, np.array([0, len(after)]))[0] + chunk
-                common = np.intersect1d(starts, theirs[1:], assume_unique=True)
-                common = common[SPACE[piece[common - 1]]]
-                if len(common):
-                    cut = int(common[-1])
-                    break
-                wide *= 2
-            keep = starts < cut
-            starts, ends = starts[keep], ends[keep]
-            piece = piece[:cut]
-            yield piece, starts, self.entries(piece, starts, ends)
-            at += cut

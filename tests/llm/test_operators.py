@@ -97,7 +97,8 @@ def test_units_are_the_librarys():
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + [None, "", "<|endoftext|> x", "<|ENDOFTEXT|>y", "a" * 5000 + " b"]
     column, bpe = pa.array(texts), WordBpe.load(vocabulary("word_bpe_49k.json"))
     want = [bpe.whole(t or "") for t in texts]
-    assert token_counts.count_column(column, bpe, 64, 8).tolist() == [len(w) for w in want]
+    for chunk, overlap in ((64, 8), (16, 2), (1 << 16, 8)):
+        assert token_counts.count_column(column, bpe, chunk, overlap).tolist() == [len(w) for w in want]
     got = []
     for _, _, ids, counts in token_store.encode_rows(column, bpe, 1):
         ends = np.cumsum(counts)
@@ -105,7 +106,9 @@ def test_units_are_the_librarys():
     assert got == [[*w, 1] for w in want]
     flat = np.concatenate([np.array(g) for g in got])
     code = token_store.Dac.encode(flat)
-    assert (code.decode() == flat).all() and all(code[i] == flat[i] for i in range(0, len(flat), 5))
+    assert (code.decode() == flat).all() and all(code[i] == flat[i] for i in range(0, len(flat), 500))
+    at = np.random.default_rng(1).integers(0, len(flat), 9000)
+    assert (code.take(at) == flat[at]).all()
     big = rng.sample(range(1 << 24), 999)
     code = token_store.Dac.encode(np.array(big))
     assert len(code.levels) == 3 and [code[i] for i in range(999)] == big
@@ -115,16 +118,68 @@ def test_units_are_the_librarys():
         assert ids.tolist() == ref and text.decode() == words.library.decode(ref)
 
 
-def test_store_reads_back(spark, docs):
+def test_overlaps_widen():
+    """A stretch without white space that is longer than chunk and overlap, and special strings with `<|` on every side."""
     bpe = WordBpe.load(vocabulary("word_bpe_49k.json"))
-    order = sorted(((r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "") for r in ROWS))
-    want, at = [], 0
-    for known, doc_id, _, text in order:
-        ids = np.array([*bpe.whole(text), 1], "<u4")
-        want.append((doc_id if known else None, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    got = sorted(token_store.store_and_read(docs, vocabulary("word_bpe_49k.json")).collect(), key=lambda r: r.start)
-    assert [tuple(r) for r in got] == want
+    calls = []
+    whole = bpe._chunk
+    bpe._chunk = lambda text, start, size: calls.append(size) or whole(text, start, size)
+    try:
+        for text in ("a b " * 40 + "x" * 900 + " c d" * 60, ("<|endoftext|> one " * 50), "y" * 700, prose(3000)):
+            calls.clear()
+            assert np.concatenate(list(bpe.spliced(text, 100, 10))).tolist() == bpe.whole(text)
+            assert "xxx" not in text or max(calls) > 900
+    finally:
+        del bpe._chunk
+
+
+def stored_order(rows, bpe):
+    """Per id, in ascending order (null first), the ids of its rows in any order."""
+    out = defaultdict(list)
+    for r in rows:
+        out[r[0]].append([*bpe.whole(r[1] or ""), 1])
+    return out
+
+
+def test_store_reads_back(spark, docs, monkeypatch):
+    bpe = WordBpe.load(vocabulary("word_bpe_49k.json"))
+    path = token_store.work_dir(spark, "store")
+    token_store.write_store(docs, path, vocabulary("word_bpe_49k.json"), segment_tokens=200)
+    got = sorted(token_store.read_store(spark, path).collect(), key=lambda r: r.start)
+    want, flat = stored_order(ROWS, bpe), []
+    assert [r.doc_id for r in got] == sorted((r[0] for r in ROWS), key=lambda i: (i is not None, i or 0))
+    for r in got:
+        ids = next(x for x in want[r.doc_id] if zlib.crc32(np.array(x, "<u4").tobytes()) == r.ids_crc32 and len(x) == r.n_tokens)
+        want[r.doc_id].remove(ids)
+        assert r.start == len(flat)
+        flat += ids
+    assert not any(want.values())
+    for start, n in ((0, 1), (0, 500), (199, 2), (len(flat) - 3, 50), (len(flat) + 5, 2), (777, 4000)):
+        assert token_store.tokens(spark, path, start, n).tolist() == flat[start : start + n]
+    assert token_store.directory(spark, path).count() > 3
+    # a vocabulary of over 65536 ids
+    monkeypatch.setattr(bpe, "dtype", np.uint32)
+    assert sorted(tuple(r) for r in token_store.store_and_read(docs, vocabulary("word_bpe_49k.json")).collect() if r.doc_id == 9) == [tuple(r) for r in got if r.doc_id == 9]
+
+
+def test_queries_of_tokens_are_the_librarys(spark, tmp_path):
+    """op2, op8 and op10 as registered, against the libraries, on awkward rows."""
+    from ledgerloom.llm import queries
+
+    table(spark, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    bpe, pieces = WordBpe.load(vocabulary("word_bpe_49k.json")), sp_codec.MarkedWords.load(vocabulary("piece_bpe_32k.model")).library
+    texts = [(i, t or "") for i, t, *_ in ROWS]
+    counted = Counter((i, len(t.encode()), n := len(bpe.whole(t)), n > 2048) for i, t in texts)
+    assert Counter(tuple(r) for r in queries.op2_token_counts(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()) == counted
+
+    def digests(t):
+        ids = pieces.encode(t, add_bos=True, add_eos=True)
+        return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(pieces.decode(ids).encode()).hexdigest()
+
+    got = queries.op8_sentencepiece(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert Counter(tuple(r) for r in got) == Counter((i, *digests(t)) for i, t in texts)
+    got = queries.op10_token_store(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_crc32").collect()
+    assert Counter(tuple(r) for r in got) == Counter((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in texts for ids in [[*bpe.whole(t), 1]])
 
 
 def test_exact_index_grows(spark, tmp_path):
@@ -138,6 +193,32 @@ def test_exact_index_grows(spark, tmp_path):
     assert first[3].text_sha256 == hashlib.sha256(b"a b").hexdigest()
 
 
+def test_index_reopened_with_other_settings(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    rows = table(spark, [(k, f"text {k}") for k in range(200)])
+    index = exact_dedup.DigestIndex(spark, path, buckets=8)
+    assert all(r.kept for r in exact_dedup.exact_dedup(rows, index).collect())
+    index.close()  # as in a new session: the catalogue has no such table
+    again = exact_dedup.DigestIndex(spark, path, buckets=4)
+    later = table(spark, [(1000 + k, f"text  {k}") for k in range(200)] + [(5000, "unseen")])
+    got = {r.doc_id: r for r in exact_dedup.exact_dedup(later, again).collect()}
+    assert again.buckets == 8 and [i for i, r in got.items() if r.kept] == [5000]
+    assert all(got[1000 + k].keep_id == k for k in range(200)) and again.rows().count() == 201
+    exact_dedup.exact_dedup(later, again).count()  # a repeated append
+    assert again.rows().count() == 201
+    again.close()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/part.parquet").write_bytes(b"")
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}/other")
+
+
+def test_without_an_index_nothing_stays_in_the_catalogue(spark):
+    before = len(spark.catalog.listTables())
+    exact_dedup.exact_dedup(table(spark, [(1, "a")])).count()
+    assert len(spark.catalog.listTables()) == before
+
+
 def test_keep_first_leaves_one_of_repeated_rows(spark, docs):
     kept = exact_dedup.keep_first(docs).collect()
     texts = [re.sub(r"[ \t-\r]+", " ", r.text or "") for r in kept]
@@ -145,6 +226,21 @@ def test_keep_first_leaves_one_of_repeated_rows(spark, docs):
     assert kept[0].__fields__ == docs.columns
 
 
+def test_rows_are_decided_by_their_own_text(spark):
+    """An id that stands for two texts, null ids, and columns named as the operators' own."""
+    schema = "doc_id long, text string, _digest string, _DIGEST_ string, _id int, text_hash string"
+    a, b = prose(40), prose(40)
+    rows = [(1, a), (2, a), (2, b), (3, b), (None, a), (None, "alone"), (None, "alone"), (7, None), (8, "")]
+    got = sorted(((r.doc_id or -1, r.text) for r in exact_dedup.keep_first(table(spark, rows, schema)).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (-1, "alone"), (7, None)], key=str)
+    near = near_dedup.keep_one(table(spark, rows, schema)).collect()
+    assert Counter((r.doc_id, r.text) for r in near) == Counter([(1, a), (2, b), (None, "alone"), (7, None), (8, "")])
+    items = spark.createDataFrame([(1, a)], ITEMS)
+    clean = decontaminate.keep_clean(table(spark, rows, schema), items).collect()
+    assert Counter((r.doc_id, r.text) for r in clean) == Counter([(2, b), (3, b), (None, "alone"), (None, "alone"), (7, None), (8, "")])
+    assert clean[0].__fields__ == ["doc_id", "text", "_digest", "_DIGEST_", "_id", "text_hash"]
+
+
 def shingles(text, width):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
@@ -184,8 +280,9 @@ def test_near_duplicates(spark):
 
 
 def test_large_nodes(spark, monkeypatch):
-    """With tiny nodes the tree branches, links through centres and settles in blocks."""
+    """With tiny nodes and runs the tree branches, links through centres and settles run with run."""
     monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "RUN_DOCS", 3)
     base = prose(150).split()
     rows = [(k, " ".join(word() if rng.random() < 0.01 else w for w in base)) for k in range(40)]
     rows += [(100 + k, " ".join(base[:100]) + " " + prose(45)) for k in range(15)]
@@ -213,6 +310,7 @@ def test_shared_items_counts_intersections():
     for i, a in enumerate(sets):
         for j, b in enumerate(sets):
             assert i == j or got[i, j] == len(np.intersect1d(a, b))
+    assert (near_dedup.shared_items(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 2) == got[:2, 2:]).all()
 
 
 def edit_distance_within(item, text):
@@ -288,20 +386,180 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_probabilities_sum_to_one_and_windows_carry_the_state():
-    model = gru_lm.Gru(np.full(gru_lm.CLASSES, 1 / gru_lm.CLASSES))
-    begun = np.array([5, 80, 3], np.uint8)
-    total = sum(10 ** model.log_probs([np.append(begun, k).astype(np.uint8)])[0] for k in range(gru_lm.CLASSES))
-    assert total == pytest.approx(10 ** model.log_probs([begun])[0], rel=1e-4)
-    texts = [np.append(np.random.default_rng(k).integers(1, gru_lm.CLASSES, 30 + 7 * k), 0).astype(np.uint8) for k in range(40)]
-    together, alone = model.log_probs(texts), np.array([model.log_probs([t])[0] for t in texts])
-    assert together == pytest.approx(alone, rel=1e-5)
-    first = model.train(texts, 0.02)[0]
+def plain_log_probability(model, symbols):
+    """The recurrence token by token, with nothing shared with the operator but the parameters."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    n, total, last, h = gru_lm.HIDDEN, 0.0, 0, np.zeros(gru_lm.HIDDEN)
+    for s in symbols:
+        a, u = p["x"][last], h @ p["h"]
+        z, r = sigmoid(a[:n] + u[:n]), sigmoid(a[n : 2 * n] + u[n : 2 * n])
+        new = np.tanh(a[2 * n :] + r * u[2 * n :])
+        h = z * h + (1 - z) * new
+        logits = h @ p["o"] + p["c"]
+        kind = 0 if s == 0 else 1 + (s - 1) // gru_lm.PLACES if s <= gru_lm.HEAD else 1 + gru_lm.GROUPS + s - 1 - gru_lm.HEAD
+        total += logits[kind] - np.log(np.exp(logits).sum())
+        if 0 < s <= gru_lm.HEAD:
+            group, place = divmod(s - 1, gru_lm.PLACES)
+            within = p["e"][group] @ (h @ p["q"]) + p["b"][group]
+            total += within[place] - np.log(np.exp(within).sum())
+        last = int(s)
+    return total / np.log(10)
+
+
+def random_network(seed=3):
+    draw = np.random.default_rng(seed)
+    shares, places = draw.uniform(0.1, 1, gru_lm.CLASSES), draw.uniform(0.1, 1, (gru_lm.GROUPS, gru_lm.PLACES))
+    model = gru_lm.Gru(shares / shares.sum(), (places.T / places.sum(axis=1)).T)
+    model.p["e"] = draw.normal(0, 1, model.p["e"].shape).astype(np.float32)
+    return model
+
+
+def ended(texts):
+    return np.concatenate([np.append(t, 0) for t in texts]).astype(np.uint16), np.cumsum([0, *(len(t) + 1 for t in texts)])
+
+
+def test_network_against_plain_recurrence():
+    draw, model = np.random.default_rng(5), random_network()
+    texts = [draw.integers(1, gru_lm.SYMBOLS, n) for n in (0, 1, 7, 40, 200, 16, 17, 15)]
+    symbols, bounds = ended(texts)
+    got = model.log_probs(symbols, bounds)
+    assert got == pytest.approx([plain_log_probability(model, np.append(t, 0)) for t in texts], rel=1e-4)
+    first = model.train(symbols, bounds, 0.02)[0]
     for _ in range(8):
-        last = model.train(texts, 0.02)[0]
+        last = model.train(symbols, bounds, 0.02)[0]
     assert last < first
 
 
+def test_factors_sum_to_one():
+    model = random_network()
+    h = np.random.default_rng(1).normal(0, 0.5, (6, gru_lm.HIDDEN)).astype(np.float32)
+    assert np.exp(model.class_logs(h)).sum(axis=1) == pytest.approx(1, rel=1e-4)
+    assert np.exp(model.place_logs(h @ model.p["q"], np.arange(6))).sum(axis=1) == pytest.approx(1, rel=1e-4)
+    of_group = model.place_logs(h @ model.p["q"], np.full(6, 2))
+    assert np.ptp(of_group, axis=0).max() > 0.1  # the word's factor depends on the state
+
+
+def test_gradients():
+    """Against finite differences."""
+    draw, model = np.random.default_rng(2), random_network()
+    x, y = draw.integers(0, gru_lm.SYMBOLS, (5, 3)), draw.integers(0, gru_lm.SYMBOLS, (5, 3))
+    x[0] = 0
+    live, h = np.ones((5, 3), bool), np.zeros((3, gru_lm.HIDDEN), np.float32)
+    model.p = {k: v.astype(float) for k, v in model.p.items()}
+    seen = {}
+    model.update = lambda grad, rate: seen.update(grad)
+
+    def loss():
+        return model.train_window(x, y, live, h, 0)[1] / 15
+
+    loss()
+    grad = dict(seen)
+    for k, v in model.p.items():
+        flat = np.flatnonzero(np.abs(grad[k]).ravel() > 1e-4)
+        for i in draw.choice(flat, min(5, len(flat)), replace=False):
+            at, old = np.unravel_index(i, v.shape), v.flat[i]
+            v[at] = old + 1e-2
+            up = loss()
+            v[at] = old - 1e-2
+            down = loss()
+            v[at] = old
+            assert (up - down) / 2e-2 == pytest.approx(grad[k][at], rel=0.05, abs=2e-5), k
+
+
+def test_score_against_plain_recomputation(spark):
+    common = [word() for _ in range(40)]
+    rows = [(k, " ".join(common[(j + k) % 40] if j % 5 else word() for j in range(rng.randint(0, 60)))) for k in range(120)]
+    docs = table(spark, rows)
+    vocab = gru_lm.materialise(gru_lm.count_words(docs.where(gru_lm.id_remainder(docs.doc_id) != 1)), "counts")
+    counts = gru_lm.Counts(vocab)
+    model = gru_lm.train(docs.where(gru_lm.id_remainder(docs.doc_id) != 1), counts)
+    network = counts.network().load(model.astype(np.float32))
+    times = Counter(w for k, t in rows if zlib.crc32(str(k).encode()) % 5 != 1 for w in t.split())
+    order = {h: int(s) for h, s in zip(counts.own[0].tolist(), counts.own[1].tolist())}
+
+    def symbol(w):
+        batch = gru_lm.Batch(pa.array([w]))
+        return order.get(int(batch.hashes[0]), 1 + gru_lm.HEAD + int(batch.ending[0]))
+
+    total = defaultdict(lambda: 0.5)  # of each ending: its rare words and the unknown one
+    for w, c in times.items():
+        if symbol(w) > gru_lm.HEAD:
+            total[symbol(w)] += c + 0.5
+    got = {r.doc_id: r.score for r in gru_lm.score_with(docs, vocab, counts, model, 1).collect()}
+    for k, t in rows:
+        seq = [symbol(w) for w in t.split()]
+        want = plain_log_probability(network, [*seq, 0])
+        want += sum(math.log10((times[w] + 0.5) / total[s]) for w, s in zip(t.split(), seq) if s > gru_lm.HEAD)
+        assert got[k] == pytest.approx(want, rel=1e-4), k
+
+
+def test_long_text_beside_short_ones():
+    """A batch's memory is that of its symbols and one window, however long a text is."""
+    import tracemalloc
+
+    texts = [np.full(1_000_000, 5, np.uint16)] + [np.full(20, 7, np.uint16)] * 1200
+    symbols, bounds = ended(texts)
+    lanes = gru_lm.Lanes(symbols, bounds, 1024)
+    tracemalloc.start()
+    seen = 0
+    for k, (n, x, y, live, at) in enumerate(lanes.windows()):
+        seen += int(live.sum())
+        assert x.shape[0] <= gru_lm.WINDOW and (k < 10 or n == 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(symbols) and peak < 8 << 20
+
+
+def test_quality_against_plain_recomputation(spark):
+    """Statistics, features, ridge and the isotonic curve written out once more, without partitions or slices."""
+    rows, labels = [], []
+    for k in range(240):
+        good = rng.random() < 0.6
+        rows.append((k, prose(40).capitalize() + ".\nAnd then.\n" if good else rng.choice([" ".join([word()] * 30), prose(20).upper() + "!!", "### " + prose(15).replace(" ", " | "), "", None])))
+        labels.append((k, int(good), 0))
+    got = {r.doc_id: r.score for r in quality.score_quality(table(spark, rows), spark.createDataFrame(labels, LABELS)).collect()}
+
+    def stats(text):
+        raw = (text or "").encode()
+        ws = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+        lines = [x for x in re.split(rb"(?<=\n)", raw) if x]
+        n, m, b = len(ws), len(raw), max(len(raw), 1)
+        upper = lambda w: sum(65 <= c <= 90 for c in w)
+        odd = lambda w: sum(33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?!'\"()-" for c in w)
+        share = lambda k: k / max(n, 1)
+        count = lambda f: sum(map(f, raw)) / b
+        return [
+            math.log1p(m), math.log1p(n), share(sum(map(len, ws))), share(sum(len(w) > 12 for w in ws)), share(sum(len(w) < 4 for w in ws)),
+            upper(raw) / b, count(lambda c: 48 <= c <= 57), count(lambda c: chr(c) in ".,;:?!'\"()-"), odd(raw) / b, count(lambda c: c == 33),
+            count(lambda c: c == 124), count(lambda c: c > 127), count(lambda c: c == 10), share(len(set(ws))), share(sum(x == y for x, y in zip(ws, ws[1:]))),
+            share(sum(odd(w) + w.count(b"!") > 1 for w in ws)), share(sum(upper(w) > 1 and 2 * upper(w) >= len(w) for w in ws)), len(set(lines)) / max(len(lines), 1), count(lambda c: c == 46),
+        ]
+
+    values = np.array([stats(t) for _, t in rows])
+    fold = np.array([zlib.crc32(str(k).encode()) % 5 for k, _ in rows])
+    y = np.array([q for _, q, _ in labels], float)
+    known = fold != 0
+    kernel = quality.Kernel(values[known].mean(axis=0), np.maximum(values[known].std(axis=0), 1e-3))
+    z = kernel.features(values)
+    fit = known & (fold != 1)
+    a, side = z[fit].T @ z[fit], z.shape[1]
+    raw = z @ np.linalg.solve(a + quality.RIDGE * max(a[-1, -1], 1) * np.eye(side) / quality.FEATURES, z[fit].T @ y[fit])
+    own = fold == 1
+    bins = np.floor((np.clip(raw[own], -0.5, 1.5) + 0.5) * (quality.BINS / 2))
+    each = sorted(set(bins))
+    x = [raw[own][bins == b].mean() for b in each]
+    s, n = np.array([y[own][bins == b].sum() for b in each]), np.array([(bins == b).sum() for b in each], float)
+    # least squares under order, by the minimum of maxima of means over stretches
+    mean = lambda i, j, v: (v[i : j + 1]).sum() / n[i : j + 1].sum()
+    level = [max(min(mean(i, j, s) for j in range(k, len(each))) for i in range(k + 1)) for k in range(len(each))]
+    blocks = [[k for k in range(len(each)) if abs(level[k] - v) < 1e-12] for v in sorted(set(np.round(level, 12)))]
+    blocks = [[k for k in range(len(each)) if abs(level[k] - v) < 1e-9] for v in sorted({round(v, 9) for v in level})]
+    at = [mean(b[0], b[-1], np.array(x) * n) for b in blocks]
+    want = 0.999 * np.interp(raw, at, [level[b[0]] for b in blocks]) + 0.001 * np.clip(raw, 0, 1)
+    assert [got[k] for k, _ in rows] == pytest.approx(want.tolist(), abs=2e-3)
+
+
 def test_chats(spark):
     turns = "conv_id long, turn long, role string, text string, pos int, rank int"
     rows = [
@@ -317,10 +575,10 @@ def test_chats(spark):
     assert chat_format.format_chats(table(spark, [], turns)).count() == 0
 
 
-@pytest.mark.parametrize("blocked", [1000, 150])
-def test_near_duplicates_templated(spark, monkeypatch, blocked):
-    """Pairs just above the threshold in a group of which all other pairs are far below it, in nodes of hundreds."""
-    monkeypatch.setattr(near_dedup, "BLOCKED", blocked, raising=False)
+@pytest.mark.parametrize("run_docs", [1024, 40, 2])
+def test_near_duplicates_templated(spark, monkeypatch, run_docs):
+    """Pairs just above the threshold in a group of which all other pairs are far below it, in nodes of hundreds; tiny runs make nodes go down."""
+    monkeypatch.setattr(near_dedup, "RUN_DOCS", run_docs)
     own = random.Random(5)
     template, rows = [f"w{own.getrandbits(40)}" for _ in range(804)], []
     for pair in range(300):
@@ -335,3 +593,53 @@ def test_near_duplicates_templated(spark, monkeypatch, blocked):
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
     missed = [p for p in range(300) if got[2 * p + 1] != 2 * p]
     assert missed == [] and len(set(got.values())) == 300
+
+
+def templated(n, alike, own):
+    """n texts of which each pair shares about `alike` of its shingles of four words."""
+    words, rows = [f"w{own.getrandbits(40)}" for _ in range(400)], []
+    edits = round(400 * (1 - alike) / (1 + alike) / 8)  # an edit changes four shingles of each of the two
+    for k in range(n):
+        text = list(words)
+        for at in own.sample(range(4, 396, 5), edits):
+            text[at] = f"d{k}x{at}"
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("alike", [0.7, 0.84])
+def test_rows_of_large_groups(spark, monkeypatch, alike):
+    """In groups just below and above the threshold the rows in nodes grow as the group while it fits in a run, and nothing is lost."""
+    made = defaultdict(int)
+    whole = near_dedup.materialise
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name in ("near-nodes", "near-apart", "near-nominated"):
+            made[n] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    for n in (250, 1000):
+        rows = templated(n, alike, random.Random(4))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, rows), 4).collect()}
+        assert n > 250 or got == classes(rows, 4)
+        assert (len({c for _, c in got.values()}) == 1) == (alike > 0.8)
+    assert made[1000] < 6 * made[250]
+
+
+def test_common_passages_hide_no_pair(spark):
+    """Texts of which a third is one passage, so that all meet in nodes of hundreds; pairs of them just above the threshold."""
+    own, rows = random.Random(8), []
+    passage = [f"c{own.getrandbits(30)}" for _ in range(60)]
+    for pair in range(250):
+        rest = [f"p{own.getrandbits(40)}" for _ in range(130)]
+        for k in (0, 1):
+            text = list(rest)
+            for at in own.sample(range(3, 127, 5), 2):
+                text[at] = f"d{pair}x{k}x{at}"
+            rows.append((2 * pair + k, " ".join(passage + text)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows), 4).collect()}
+    want = {doc: least for doc, (_, least) in classes([r for r in rows if r[0] < 60], 4).items()}
+    assert {k: got[k] for k in want} == want
+    assert all(got[2 * p + 1] == 2 * p for p in range(250) if len(shingles(rows[2 * p][1], 4) & shingles(rows[2 * p + 1][1], 4)) >= 0.8 * len(shingles(rows[2 * p][1], 4) | shingles(rows[2 * p + 1][1], 4)))
