@@ -26,12 +26,6 @@ def parse_number_uk(text: Column, sign: Column, nil: Column) -> Column:
     return F.when(nil | bare.rlike("^[-–—]*$"), None).when(negative, -F.abs(value)).otherwise(value).cast(EXACT)
 
 
-def scaled(value: Column, sign: Column, scale: Column) -> Column:
-    """Sign `-` negates; the scale is a power of ten, left out if it is not an integer."""
-    power = F.pow(F.lit(10.0), F.coalesce(scale.try_cast("int"), F.lit(0))).cast("decimal(30,12)")
-    return (F.when(sign == "-", -value).otherwise(value) * power).cast(EXACT)
-
-
 def canonical_decimal(value: Column) -> Column:
     """Without trailing zeros or point; zero is 0."""
     text = value.cast("string")

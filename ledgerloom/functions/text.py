@@ -23,6 +23,7 @@ def supports(evidence: Column, claim: Column) -> Column:
 
 def mask_numbers(text: Column) -> Column:
     """Numbers that touch no ASCII letter as <NUM>: grouped thousands with a currency sign, decimals, integers."""
+    # The three forms of a number.
     grouped = r"(?<![A-Za-z])[$€£]?\s*\d{1,3}(?:,\d{3})+(?:\.\d+)?(?![A-Za-z])"
     return F.regexp_replace(text, grouped + r"|(?<![A-Za-z])\d+\.\d+(?![A-Za-z])|(?<![A-Za-z])\d+(?![A-Za-z])", "<NUM>")
 
@@ -48,16 +49,6 @@ def local_concept(concept: Column) -> Column:
     return F.regexp_replace(F.lower(F.element_at(F.split(concept, ":"), -1)), "[^a-z0-9]", "")
 
 
-# Company suffixes.
-_SUFFIX = r"\b(plc|limited|ltd|inc|incorporated|corp|corporation|company|co|group|holdings)\b"
-
-
-def company_key(name: Column) -> Column:
-    """Lower case without punctuation and company suffixes."""
-    bare = F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, _SUFFIX, " "), " +", " "))
-
-
 #: Patterns of instructions and secrets in text, by class; RE2-compatible.
 INJECTION = {
     "ignore_rules": r"(?i)ignore (all|any|previous|prior) (instructions|rules)",

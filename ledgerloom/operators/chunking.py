@@ -1,20 +1,9 @@
-"""Paragraphs packed into overlapping chunks with half-open character offsets."""
+"""Spans packed into overlapping runs."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def paragraphs(text: str, breaks: str = r"\n+") -> list[tuple[int, int]]:
-    """Spans of the text between breaks, blank ones left out."""
-    edges = [0, *(e for m in re.finditer(breaks, text) for e in m.span()), len(text)]
-    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if text[a:b].strip()]
-
 
 def pack(spans: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of spans no longer than `size` (one span at least), each beginning up to `overlap` characters back.
@@ -32,20 +21,3 @@ def pack(spans: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tupl
             k -= 1
             back += spans[k][1] - spans[k][0]
         i = max(i + 1, k)
-
-
-def chunks(docs: DataFrame, key: str, size: int = 1200, overlap: int = 150) -> DataFrame:
-    """key, chunk, char_start, char_end and text of every chunk; a document is packed where it is read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                spans = paragraphs(text or "")
-                for n, (i, j) in enumerate(pack(spans, size, overlap)):
-                    for column, v in zip(out, (k, n, spans[i][0], spans[j - 1][1], "\n\n".join(text[a:b].strip() for a, b in spans[i:j])), strict=True):
-                        column.append(v)
-            cols = [batch.column(key).take(pa.array(out[0], pa.int64())), *(pa.array(v, pa.int64()) for v in out[1:4]), pa.array(out[4], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, [key, "chunk", "char_start", "char_end", "text"])
-
-    return docs.select(F.col(key).cast("long"), F.col("text").cast("string")).mapInArrow(run, f"{key} long, chunk long, char_start long, char_end long, text string")

@@ -48,7 +48,10 @@ def canonical_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def findings(facts: DataFrame, best: DataFrame) -> DataFrame:
-    """filing_id, code, entity_key of every data-quality finding, once each."""
+    """filing_id, code, entity_key of every data-quality finding, once each.
+
+    Values differ if they differ as numbers: 100 and 100.0 are one (as text they would be two).
+    """
     ref = F.coalesce("source_anchor", F.concat(F.col("source_file"), F.lit("::ord="), F.lpad(F.col("fact_ordinal").cast("string"), 6, "0")))
     none = F.coalesce("unit_canon", F.lit("none"))
     group = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("concept_norm", "value_type", "period_key", "unit_canon")])
@@ -68,9 +71,14 @@ def findings(facts: DataFrame, best: DataFrame) -> DataFrame:
 def nearest_asof_join(left: DataFrame, right: DataFrame, on: list[str], left_date: str, right_date: str, days: int) -> DataFrame:
     """Pairs of rows at most `days` apart, in either direction, with `day_delta`.
 
-    The left date is spread over the 2 * days + 1 days it reaches, so the join stays an equi join.
+    Dates are dealt to stretches of 2 * days + 1 days. What a left row reaches lies in two of them at
+    most, so it is doubled and the join stays an equi join.
     """
-    spread = left.withColumn("_day", F.explode(F.expr(f"sequence(date_add({left_date}, -{days}), date_add({left_date}, {days}))")))
-    other = right.withColumnRenamed(right_date, "_day") if right_date not in left.columns else right.withColumn("_day", F.col(right_date))
-    paired = spread.join(other, [*on, "_day"])
-    return paired.withColumn("day_delta", F.abs(F.datediff(F.col("_day"), F.col(left_date)))).withColumnRenamed("_day", "matched_date")
+    width = 2 * days + 1
+    stretch = lambda day: F.floor(day / F.lit(width))
+    at = F.unix_date(F.col(left_date))
+    reach = F.sequence(stretch(at - days), stretch(at + days))
+    spread = left.withColumn("_stretch", F.explode(reach))
+    other = right.withColumnRenamed(right_date, "matched_date") if right_date not in left.columns else right.withColumn("matched_date", F.col(right_date))
+    paired = spread.join(other.withColumn("_stretch", stretch(F.unix_date("matched_date"))), [*on, "_stretch"]).drop("_stretch")
+    return paired.withColumn("day_delta", F.abs(F.datediff(F.col("matched_date"), F.col(left_date)))).where(F.col("day_delta") <= days)

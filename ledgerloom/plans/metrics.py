@@ -176,8 +176,8 @@ class Term:
         self.value, self.unit, self.code, self.evidence = value, unit, code, evidence
 
 
-def compile_formula(formula: str | tuple, inputs: dict[str, Column]) -> Term:
-    """The formula over resolved inputs as columns; `multiply` and numbers are extensions."""
+def compile_formula(formula: str | tuple, inputs: dict[str, Column], units_in_divide: bool = False) -> Term:
+    """The formula over resolved inputs as columns; `multiply` and numbers are extensions. `units_in_divide`: both sides need one unit."""
     none = F.lit(None).cast("string")
     if isinstance(formula, (int, float)):
         return Term(F.lit(formula).cast(_EXACT), none, none, F.array().cast("array<string>"))
@@ -187,7 +187,7 @@ def compile_formula(formula: str | tuple, inputs: dict[str, Column]) -> Term:
     op, args = formula[0], formula[1:]
     if op == "rollup":
         args = args[1:]
-    terms = [compile_formula(a, inputs) for a in args]
+    terms = [compile_formula(a, inputs, units_in_divide) for a in args]
     code = F.coalesce(*[t.code for t in terms]) if len(terms) > 1 else terms[0].code
     evidence = F.concat(*[t.evidence for t in terms])
     first = terms[0]
@@ -195,7 +195,8 @@ def compile_formula(formula: str | tuple, inputs: dict[str, Column]) -> Term:
         return Term(F.abs(first.value), first.unit, code, evidence)
     if op == "divide":
         a, b = (t.value.cast("double") for t in terms)
-        return Term(F.try_divide(a, b), F.lit("pure"), F.coalesce(code, F.when(terms[1].value == 0, ZERO)), evidence)
+        other = F.when(~terms[0].unit.eqNullSafe(terms[1].unit), UNITS) if units_in_divide else F.lit(None).cast("string")
+        return Term(F.try_divide(a, b), F.lit("pure"), F.coalesce(code, other, F.when(terms[1].value == 0, ZERO)), evidence)
     if op == "multiply":
         return Term(terms[0].value * terms[1].value, first.unit, code, evidence)
     apart = reduce(lambda x, y: x | y, [~first.unit.eqNullSafe(t.unit) for t in terms[1:]], F.lit(False))
