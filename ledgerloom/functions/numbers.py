@@ -21,7 +21,7 @@ def parse_number(text: Column) -> Column:
 def parse_number_uk(text: Column, sign: Column, nil: Column) -> Column:
     """As above, but a dash or nil is null, and a sign or parentheses make the value negative."""
     bare = F.trim(text)
-    value = parse_number(text)
+    value = parse_number(text)  # `text` should be a plain column: it is used several times
     negative = sign.eqNullSafe(F.lit("-")) | bare.rlike(r"^\(.*\)$")
     return F.when(nil | bare.rlike("^[-–—]*$"), None).when(negative, -F.abs(value)).otherwise(value).cast(EXACT)
 

@@ -44,22 +44,28 @@ def uk_date(text: Column) -> Column:
     """The date of an ISO or display text: ordinals and commas dropped, then the first of fifteen forms that fits; two-digit years 69 to 99 are of the last century."""
     bare = collapse(F.replace(F.regexp_replace(collapse(text), r"(?i)(?<=\d)(?:st|nd|rd|th)\b", ""), F.lit(","), F.lit(" ")))
     iso = F.regexp_extract(bare, r"^(\d{4}-\d{2}-\d{2})(?:[T ].*)?$", 1)
-    # the month as English prints it
-    titled = F.initcap(bare)
-    found = []
-    for form in DATE_FORMS:
-        shape = "".join({"d": r"\d{1,2}", "M": r"\d{1,2}", "y": "Y"}.get(c, "\\" + c if c in "/.-" else c) for c in _letters(form))
-        pattern = "^" + shape.replace("YYYY", r"\d{4}").replace("YY", r"\d{2}").replace("L", "[A-Za-z]+") + "$"
-        pattern = {"yyyyMMdd": r"^\d{8}$", "ddMMyyyy": r"^\d{8}$", "ddMMyy": r"^\d{6}$"}.get(form, pattern)
-        day = F.to_date(F.try_to_timestamp(titled, F.lit(form)))
-        if "yyyy" not in form:  # 2000 to 2099 as read: the later ones are of the century before
-            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
-        found.append(F.when(titled.rlike(pattern), day))
-    return F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).otherwise(F.coalesce(*found))
+
+    def of(titled: Column) -> Column:
+        return F.coalesce(*[_as_form(titled, form) for form in DATE_FORMS])
+
+    named = F.get(F.transform(F.array(F.initcap(bare)), of), 0)  # months as English prints them; the text is worked out once
+    return F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).otherwise(named)
+
+
+def _as_form(titled: Column, form: str) -> Column:
+    """The date if the text has the form."""
+    shape = "".join({"d": r"\d{1,2}", "M": r"\d{1,2}", "y": "Y"}.get(c, "\\" + c if c in "/.-" else c) for c in _letters(form))
+    pattern = "^" + shape.replace("YYYY", r"\d{4}").replace("YY", r"\d{2}").replace("L", "[A-Za-z]+") + "$"
+    pattern = {"yyyyMMdd": r"^\d{8}$", "ddMMyyyy": r"^\d{8}$", "ddMMyy": r"^\d{6}$"}.get(form, pattern)
+    day = F.to_date(F.try_to_timestamp(titled, F.lit(form)))
+    if "yyyy" not in form:  # 2000 to 2099 as read: the later ones are of the century before
+        day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+    return F.when(titled.rlike(pattern), day)
 
 
 def _letters(form: str) -> str:
-    return form.replace("MMMM", "L").replace("MMM", "L").replace("yyyy", "yyyy")
+    """With L for a month's name."""
+    return form.replace("MMMM", "L").replace("MMM", "L")
 
 
 def uk_transform(fmt: Column, text: Column) -> tuple[Column, Column]:

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number_uk
 from ..operators import uk
+from ..sources.filings import read_packages, uk_facts
 from ..sources.views import sql as run_sql
 from ..sources.views import table
+from ..storage import materialise
 
 #: Each order is a filing, each line a fact; `how` spoils some of its properties.
 FACTS_SQL = """SELECT CAST(l_orderkey AS VARCHAR(20)) AS filing_id, CAST(l_linenumber AS INT) AS ordinal, concat('e', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9))) AS fact_evidence_id,
   CASE CAST(l_linenumber AS INT) % 3 WHEN 0 THEN 'creditors' WHEN 1 THEN 'currentassets' ELSE 'currentliabilities' END AS concept_local,
   CASE WHEN l_suppkey % 7 = 0 THEN '2023-12-31' ELSE '2024-12-31' END AS instant, CASE WHEN l_partkey % 13 = 0 THEN 'other' ELSE ' 0012 34' END AS entity_identifier,
   CASE WHEN CAST(l_linenumber AS INT) % 3 = 0 THEN CAST(l_partkey % 3 AS INT) ELSE 0 END AS dim, l_suppkey % 11 = 0 AS has_segment, l_partkey % 17 = 0 AS has_scenario,
-  CASE WHEN l_suppkey % 19 = 0 THEN NULL WHEN l_partkey % 23 = 0 THEN CAST(0 AS DECIMAL(38,6)) ELSE CAST(-l_quantity AS DECIMAL(38,6)) END AS value_num, CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 'EUR' ELSE 'GBP' END AS unit_canon,
+  CASE WHEN l_suppkey % 19 = 0 THEN NULL WHEN l_partkey % 23 = 0 THEN CAST(0 AS DECIMAL(38,6)) ELSE CAST(-l_quantity AS DECIMAL(38,6)) END AS value_num, CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN 'eur' ELSE 'gbp' END AS unit_canon,
   CASE WHEN l_orderkey % 29 = 0 THEN 'pure' ELSE 'currency' END AS unit_type, l_partkey % 31 = 0 AS is_nil FROM lineitem"""
 _FILINGS_SQL = "SELECT DISTINCT CAST(l_orderkey AS VARCHAR(20)) AS filing_id, CASE WHEN l_orderkey % 37 = 0 THEN NULL ELSE '2024-12-31' END AS period_end, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE '001234' END AS company_number FROM lineitem"
 
@@ -34,6 +40,50 @@ def uk_quant_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("filing_id", "metric", "status", F.coalesce("refusal_code", F.lit("")).alias("refusal_code"), F.round("number", 6).alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), F.array_join("evidence_ids", ",").alias("evidence"))
 
 
+def _document(rows: list[dict]) -> str:
+    """The inline document of one filing."""
+    members = ["", "uk-core:WithinOneYear", "uk-core:AfterOneYear"]
+    names = {"creditors": "uk-core:Creditors", "currentassets": "uk-core:CurrentAssets", "currentliabilities": "uk-core:CurrentLiabilities"}
+    out = []
+    for r in rows:
+        n = r["ordinal"]
+        axis = f'<xbrldi:explicitMember dimension="uk-core:MaturitiesOrExpirationPeriodsDimension">{members[r["dim"]]}</xbrldi:explicitMember>' if r["dim"] else ""
+        segment = f"<xbrli:segment>{axis}</xbrli:segment>" if r["has_segment"] or r["dim"] and not r["has_scenario"] else ""
+        scenario = f"<xbrli:scenario>{axis if not segment else ''}</xbrli:scenario>" if r["has_scenario"] else ""
+        out.append(f'<xbrli:context id="c{n}-{r["k"]}"><xbrli:entity><xbrli:identifier scheme="x">{r["entity_identifier"]}</xbrli:identifier>{segment}</xbrli:entity><xbrli:period><xbrli:instant>{r["instant"]}</xbrli:instant></xbrli:period>{scenario}</xbrli:context>')
+        unit = "xbrli:pure" if r["unit_type"] == "pure" else f"iso4217:{r['unit_canon'].upper()}"
+        out.append(f'<xbrli:unit id="u{n}-{r["k"]}"><xbrli:measure>{unit}</xbrli:measure></xbrli:unit>')
+        value = "unclear" if r["value_num"] is None else f"({-r['value_num']:,.2f})" if r["value_num"] < 0 else f"{r['value_num']:,.2f}"
+        nil = ' xsi:nil="true"' if r["is_nil"] else ""
+        out.append(f'<p><ix:nonFraction id="{r["fact_evidence_id"]}" name="{names[r["concept_local"]]}" contextRef="c{n}-{r["k"]}" unitRef="u{n}-{r["k"]}" format="ixt2:numdotdecimal" scale="0"{nil}>{value}<ix:exclude> *</ix:exclude></ix:nonFraction>')
+    return "<html><body>" + "".join(out)
+
+
+def uk_parsed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same metrics from inline documents made of the same facts, packed, parsed and put through the seven stages."""
+    facts = run_sql(spark, sf_dir, FACTS_SQL)
+    held = facts.groupBy("filing_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "fact_evidence_id", *[c for c in facts.columns if c not in ("filing_id", "ordinal", "fact_evidence_id")]))).alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                part = batch.slice(k, 100).to_pylist()
+                made = []
+                for r in part:
+                    file = io.BytesIO()
+                    with zipfile.ZipFile(file, "w") as z:
+                        z.writestr("accounts.html", _document([{**f, "k": n} for n, f in enumerate(r["rows"])]))
+                    made.append(file.getvalue())
+                yield pa.RecordBatch.from_arrays([pa.array([r["filing_id"] for r in part]), pa.array(made, pa.binary())], ["filing_id", "content"])
+
+    raw = materialise(read_packages(held.mapInArrow(run, "filing_id string, content binary")), "uk-rows")
+    filings = run_sql(spark, sf_dir, _FILINGS_SQL).withColumn("period_end", F.to_date("period_end"))
+    out = uk.quant_answers(uk_facts(raw), filings)
+    ids = F.array_join(F.transform("evidence_ids", lambda e: F.regexp_extract(e, "id=(.*)$", 1)), ",")
+    unit = F.when((F.col("metric") == "working_capital") & (F.col("status") == "OK"), F.col("unit")).when(F.col("status") == "OK", "pure").otherwise("")
+    return out.select("filing_id", "metric", "status", F.coalesce("refusal_code", F.lit("")).alias("refusal_code"), F.round("number", 6).alias("value"), unit.alias("unit"), ids.alias("evidence"))
+
+
 def uk_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order dates printed in many forms and read back."""
     day = F.col("o_orderdate").cast("date")
@@ -85,7 +135,7 @@ def uk_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uk.sentence_chunks(table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (uk_quant_tasks, uk_dates, uk_numbers, uk_phrases, uk_archive_plan, uk_sentence_chunks)}
+QUERIES = {f.__name__: f for f in (uk_quant_tasks, uk_parsed_tasks, uk_dates, uk_numbers, uk_phrases, uk_archive_plan, uk_sentence_chunks)}
 
 _FUNNEL = f"""WITH f AS ({FACTS_SQL}), g AS ({_FILINGS_SQL}), roles(role, concept) AS (VALUES ('assets', 'currentassets'), ('liabilities', 'currentliabilities'), ('liabilities', 'creditors')),
   a AS (SELECT g.filing_id, g.period_end, g.company_number, r.role, f.*EXCLUDE (filing_id), upper(replace(trim(entity_identifier), ' ', '')) AS entity FROM g CROSS JOIN (SELECT DISTINCT role FROM roles) r LEFT JOIN (SELECT f.*, role AS rr FROM f JOIN roles ON concept = concept_local) f ON f.filing_id = g.filing_id AND f.rr = r.role),
@@ -118,3 +168,4 @@ ORACLE_SQL = {
         SELECT archive, member_index, place, CASE WHEN name LIKE '/%' OR name LIKE '../%' THEN 'UNSAFE_MEMBER_NAME' WHEN same > 1 THEN 'DUPLICATE_MEMBER_NAME' WHEN flags = 1 THEN 'ENCRYPTED_MEMBER' WHEN method = 12 THEN 'UNSUPPORTED_COMPRESSION'
           WHEN external_attr > 0 THEN 'NON_REGULAR_MEMBER' WHEN "offset" >= archive_bytes THEN 'INVALID_MEMBER_METADATA' WHEN size > 67108864 THEN 'MEMBER_SIZE_LIMIT_EXCEEDED' WHEN size > 250 * packed THEN 'COMPRESSION_RATIO_LIMIT_EXCEEDED' ELSE '' END AS code FROM p WHERE place < 40""",
 }
+ORACLE_SQL["uk_parsed_tasks"] = ORACLE_SQL["uk_quant_tasks"]

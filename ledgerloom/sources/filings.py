@@ -34,7 +34,7 @@ RAW = (
     "filing_id string, source_file string, file_rank int, seq int, kind string, ordinal int, link int, id string, name string, local string, context_id string, unit_id string, "
     "decimals string, scale string, sign string, format string, text string, start_date string, end_date string, instant_date string, entity_identifier string, "
     "dimensions map<string,string>, measures array<string>, numerator array<string>, denominator array<string>, role string, lang string, origin string, target string, "
-    "weight string, place string, preferred string, problem string"
+    "weight string, place string, preferred string, problem string, shown string, is_nil boolean, continuation_valid boolean, has_segment boolean, has_scenario boolean"
 )
 _NAMES = [f.split()[0] for f in RAW.split(", ")]
 #: Namespaces that name no taxonomy.
@@ -106,12 +106,14 @@ class _Scan(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
-        self.open: list[tuple[str, dict, list[str]]] = []  # captures: local name, row, text
+        self.open: list[tuple[str, dict, list[tuple[str, bool]]]] = []  # captures: local name, row, pieces of text and whether they are excluded
         self.context: dict | None = None
         self.unit: dict | None = None
         self.side = "measures"
         self.facts = self.links = 0
         self.tails: dict[str, tuple[dict, list[str]]] = {}
+        self.doubled: set[str] = set()
+        self.excluded = 0
         self.namespaces: dict[str, None] = {}
 
     def add(self, kind: str, **values) -> dict:
@@ -128,7 +130,11 @@ class _Scan(HTMLParser):
                 self.namespaces[v.strip()] = None
         local = tag.rsplit(":", 1)[-1]
         if local == "context":
-            self.context = self.add("context", id=at.get("id"), dimensions={}, entity_identifier="") if at.get("id") else None
+            self.context = self.add("context", id=at.get("id"), dimensions={}, entity_identifier="", has_segment=False, has_scenario=False) if at.get("id") else None
+        elif local in ("segment", "scenario") and self.context is not None:
+            self.context[f"has_{local}"] = True
+        elif local == "exclude":
+            self.excluded += 1
         elif local == "unit" and at.get("id"):
             self.unit, self.side = self.add("unit", id=at["id"], measures=[], numerator=[], denominator=[]), "measures"
         elif local in ("unitnumerator", "unitdenominator"):
@@ -145,6 +151,8 @@ class _Scan(HTMLParser):
             )
             self.capture(local, row)
         elif local == "continuation":
+            if at.get("id") in self.tails or any(k == local and r["id"] == at.get("id") for k, r, _ in self.open):
+                self.doubled.add(at.get("id"))
             self.capture(local, {"id": at.get("id"), "_next": at.get("continuedat")})
         elif local == "schemaref" and (at.get("href") or "").strip():
             self.add("schema", text=at["href"].strip())
@@ -163,12 +171,14 @@ class _Scan(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         for _, _, held in self.open:
-            held.append(data)
+            held.append((data, self.excluded > 0))
 
     def handle_endtag(self, tag: str) -> None:
         local = tag.rsplit(":", 1)[-1]
         if local == "context":
             self.context = None
+        elif local == "exclude":
+            self.excluded = max(0, self.excluded - 1)
         elif local == "unit":
             self.unit = None
         elif local in ("unitnumerator", "unitdenominator"):
@@ -178,12 +188,12 @@ class _Scan(HTMLParser):
                 self.finish(*self.open.pop(k))
                 break
 
-    def finish(self, local: str, row: dict, held: list[str]) -> None:
-        text = "".join(held).strip()
+    def finish(self, local: str, row: dict, held: list[tuple[str, bool]]) -> None:
+        text, shown = "".join(t for t, _ in held).strip(), "".join(t for t, out in held if not out).strip()
         if local in ("nonfraction", "nonnumeric", "label"):
-            row["text"] = text
+            row["text"], row["shown"] = text, shown
         elif local == "continuation":
-            self.tails.setdefault(row["id"], (row, [text]))
+            self.tails.setdefault(row["id"], (row, [text, shown]))
         elif local == "measure" and self.unit is not None and text:
             self.unit[self.side].append(text)
             if self.side != "measures":
@@ -204,13 +214,17 @@ class _Scan(HTMLParser):
             self.finish(*self.open.pop())
         for row in self.rows:
             if row["kind"] == "fact":
-                parts, seen, after = [row.get("text", "")], set(), row.pop("_next")
+                parts, shown, seen, after, valid = [row.get("text", "")], [row.get("shown", "")], set(), row.pop("_next"), True
                 while row["local"] == "nonnumeric" and after in self.tails and after not in seen:
                     seen.add(after)
-                    tail, own = self.tails[after]
-                    parts += own
+                    valid &= after not in self.doubled
+                    tail, (own, own_shown) = self.tails[after]
+                    parts.append(own)
+                    shown.append(own_shown)
                     after = tail["_next"]
-                row["text"] = "" if row.pop("_nil") else " ".join(p for p in parts if p)
+                row["continuation_valid"] = valid and not after  # a chain that ends in a loop or nowhere is not
+                row["is_nil"] = row.pop("_nil")
+                row["text"], row["shown"] = ("" if row["is_nil"] else " ".join(p for p in x if p) for x in (parts, shown))
         return self.rows + [{"kind": "namespace", "text": n} for n in self.namespaces]
 
 
@@ -253,14 +267,21 @@ def scan_members(chosen: DataFrame) -> DataFrame:
     """Everything found in the members `parts` of each package; see RAW."""
     schema = _arrow_schema()
 
+    def table(part: list[dict]) -> pa.RecordBatch:
+        columns = [[list(r[n].items()) if n == "dimensions" and r.get(n) is not None else r.get(n) for r in part] for n in _NAMES]
+        return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, _NAMES, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            for filing, content, names in zip(*(batch.column(c).to_pylist() for c in ("filing_id", "content", "parts")), strict=True):
-                rows = [{"filing_id": filing} | r for r in _member_rows(content, names)]
-                for k in range(0, len(rows), 5000):
-                    part = rows[k : k + 5000]
-                    columns = [[list(r[n].items()) if n == "dimensions" and r.get(n) is not None else r.get(n) for r in part] for n in _NAMES]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, _NAMES, strict=True)], schema=schema)
+            for filing, content, names in zip(*(batch.column(c) for c in ("filing_id", "content", "parts")), strict=True):
+                for row in _member_rows(content.as_py(), names.as_py()):
+                    held.append({"filing_id": filing.as_py()} | row)
+                    if len(held) == 5000:
+                        yield table(held)
+                        held = []
+        if held:
+            yield table(held)
 
     return chosen.select("filing_id", "content", "parts").mapInArrow(run, RAW)
 
@@ -336,12 +357,9 @@ def scaled(value: Column, sign: Column, scale: Column) -> Column:
     """Sign `-` negates; the scale is a power of ten between -6 and 18, any other leaves the value as it is."""
     signed = F.when(sign == "-", -value).otherwise(value).cast(EXACT)
     power = scale.try_cast("int")
-    out = signed
-    for k in range(-6, 19):
-        if k:
-            factor = F.lit(Decimal(10) ** abs(k)).cast("decimal(20,0)")
-            out = F.when(power == k, (signed * factor if k > 0 else signed / factor).cast(EXACT)).otherwise(out)
-    return out
+    factors = F.array(*[F.lit(Decimal(10) ** k).cast("decimal(20,0)") for k in range(19)])
+    factor = F.get(factors, F.abs(power))
+    return F.when(power.between(1, 18), (signed * factor).cast(EXACT)).when(power.between(-6, -1), (signed / factor).cast(EXACT)).otherwise(signed)
 
 
 def unit_family(measures: Column, numerator: Column, denominator: Column) -> Column:
@@ -366,7 +384,7 @@ def _last(raw: DataFrame, kind: str, keys: list[str], values: list[str]) -> Data
 
 def contexts(raw: DataFrame) -> DataFrame:
     """filing_id, context_id, dates, raw period key, dimensions and their number."""
-    rows = _last(raw, "context", ["filing_id", "id"], ["start_date", "end_date", "instant_date", "entity_identifier", "dimensions"])
+    rows = _last(raw, "context", ["filing_id", "id"], ["start_date", "end_date", "instant_date", "entity_identifier", "dimensions", "has_segment", "has_scenario"])
     instant = strict_date(F.col("instant_date"))
     start, end = (F.when(F.col("instant_date").isNull(), strict_date(F.col(c))) for c in ("start_date", "end_date"))
     rows = rows.select("filing_id", F.col("id").alias("context_id"), "entity_identifier", start.alias("start_date"), end.alias("end_date"), instant.alias("instant_date"), "dimensions")
@@ -387,7 +405,8 @@ def to_facts(raw: DataFrame, ticker: str | None = None) -> DataFrame:
     anchor = F.when(F.col("id").isNotNull(), F.concat_ws("#", "source_file", "id"))
     evidence = F.concat_ws("::", "filing_id", F.coalesce(anchor, F.concat(F.col("source_file"), F.lit("::ord="), made)))
     text, forced = transformed(F.col("format"), F.col("text"))
-    f = f.withColumn("_text", text).withColumn("_forced", forced)
+    # step by step, so that no expression holds copies of the ones before
+    f = f.withColumn("_text", text).withColumn("_forced", forced).withColumn("_number", parse_number(F.col("_text")))
     name = F.lower("name")
     kind = F.coalesce("_forced", F.when(name.rlike("(flag|boolean)$"), "bool").when(name.endswith("date"), "date").when(name.endswith("duration"), "duration").otherwise("string"))
     numeric = F.col("local") == "nonfraction"
@@ -398,7 +417,7 @@ def to_facts(raw: DataFrame, ticker: str | None = None) -> DataFrame:
     own = f.select(
         "filing_id", F.lit(ticker).cast("string").alias("ticker"), evidence.alias("fact_evidence_id"), F.col("ordinal").alias("fact_ordinal"), "source_file",
         anchor.alias("source_anchor"), F.coalesce(anchor, F.concat(F.col("source_file"), F.lit("::ord="), F.lpad(F.col("ordinal").cast("string"), 6, "0"))).alias("raw_fact_ref"),
-        F.translate(F.trim("name"), ":", "_").alias("concept_norm"), "value_type", F.when(numeric, scaled(parse_number(F.col("_text")), F.col("sign"), F.col("scale"))).alias("value_num"),
+        F.translate(F.trim("name"), ":", "_").alias("concept_norm"), "value_type", F.when(numeric, scaled(F.col("_number"), F.col("sign"), F.col("scale"))).alias("value_num"),
         value.alias("value_text"), F.nullif("text", F.lit("")).alias("value_lexical"), "context_id", "unit_id",
     )
     joined = own.join(contexts(raw), ["filing_id", "context_id"], "left").join(units(raw), ["filing_id", "unit_id"], "left")
@@ -471,3 +490,41 @@ def labels(raw: DataFrame) -> DataFrame:
     concepts = _last(raw, "loc", [*at, "id"], ["name"]).where("name IS NOT NULL").select(*at, F.col("id").alias("origin"), F.col("name").alias("concept"))
     texts = _last(raw, "label", [*at, "id"], ["role", "lang", "text"]).withColumnRenamed("id", "target")
     return arcs.join(concepts, [*at, "origin"]).join(texts, [*at, "target"]).select("filing_id", "concept", "role", "lang", "text").dropDuplicates()
+
+
+def uk_facts(raw: DataFrame) -> DataFrame:
+    """Raw facts as `operators.uk` takes them: local names, ordinals from 0, numbers by the UK transforms, validity flags.
+
+    Text marked as excluded is left out; a continuation whose id is doubled, missing or part of a loop makes a fact's chain invalid.
+    """
+    from ..functions.numbers import parse_number_uk
+    from ..functions.text import local_concept
+    from ..operators.uk import uk_date, uk_transform
+
+    f = raw.where("kind = 'fact'")
+    own = _last(raw, "context", ["filing_id", "id"], ["instant_date", "start_date", "end_date", "entity_identifier", "dimensions", "has_segment", "has_scenario"])
+    name = lambda x: F.regexp_replace(F.lower(F.element_at(F.split(x, ":"), -1)), "[^a-z0-9]", "")
+    dims = F.map_from_entries(F.transform(F.map_entries("dimensions"), lambda e: F.struct(name(e["key"]).alias("k"), name(e["value"]).alias("v"))))
+    own = own.withColumn("_instant", uk_date(F.col("instant_date")))
+    own = own.select("filing_id", F.col("id").alias("context_id"), F.col("_instant").alias("instant"), "entity_identifier", F.when(F.size("dimensions") > 0, dims).otherwise(F.create_map().cast("map<string,string>")).alias("dimensions"), "has_segment", "has_scenario")
+    measure = _last(raw, "unit", ["filing_id", "id"], ["measures", "numerator"])
+    one = F.when((F.size("measures") == 1) & (F.size("numerator") == 0), F.get("measures", 0))
+    local = F.lower(F.regexp_extract(one, "([^:}]*)$", 1))
+    money = local.rlike("^[a-z]{3}$") & (F.contains(F.lower(one), F.lit("iso4217")) | one.rlike("[:}]"))
+    kind = F.when(one.isNull(), "complex").when(money, "currency").when(local.isin("pure", "shares"), local).otherwise("unknown")
+    measure = measure.select("filing_id", F.col("id").alias("unit_id"), F.when(kind.isin("currency", "pure", "shares"), local).alias("unit_canon"), kind.alias("unit_type"))
+    plain, known = uk_transform(F.col("format"), F.col("shown"))
+    numeric = F.col("local") == "nonfraction"
+    f = f.withColumn("_plain", plain).withColumn("_known", known).withColumn("_number", parse_number_uk(F.col("_plain"), F.col("sign"), F.col("is_nil")))
+    known = F.col("_known")
+    value = F.when(numeric & known, _uk_scaled(F.col("_number"), F.col("scale")))
+    f = f.select(
+        "filing_id", "source_file", (F.col("ordinal") - 1).alias("ordinal"), F.concat_ws("::", "filing_id", F.coalesce(F.concat(F.lit("id="), F.col("id")), F.concat(F.lit("ord="), (F.col("ordinal") - 1).cast("string")))).alias("fact_evidence_id"),
+        local_concept(F.col("name")).alias("concept_local"), "context_id", "unit_id", value.alias("value_num"), F.col("shown").alias("value_text"), "is_nil", "continuation_valid", (~numeric | known).alias("transform_supported"),
+    )
+    return f.join(own, ["filing_id", "context_id"], "left").join(measure, ["filing_id", "unit_id"], "left")
+
+
+def _uk_scaled(value: Column, scale: Column) -> Column:
+    """A scale that is no integer makes the number unknown."""
+    return F.when(scale.isNotNull() & scale.try_cast("int").isNull(), None).otherwise(scaled(value, F.lit(None).cast("string"), scale))
