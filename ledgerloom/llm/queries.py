@@ -74,7 +74,32 @@ QUERIES = {
     )
 }
 
+def _crc_table() -> str:
+    """The checksum's table for half a byte, from its polynomial."""
+    out = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return f"[{', '.join(map(str, out))}]"
+
+
+def _crc_half(c: str) -> str:
+    return f"xor({_crc_table()}[({c} & 15) + 1], {c} >> 4)"
+
+
+#: The unsigned CRC-32 of a text's bytes: a fold over them, half a byte at a time.
+_CRC_SQL = f"""xor(4294967295, list_reduce(list_transform(range(0, octet_length(encode(t))), lambda i: CAST('0x' || substr(hex(t), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+  lambda c, b: {_crc_half(_crc_half('xor(c, b)'))}, CAST(4294967295 AS BIGINT)))"""
+
 ORACLE_SQL = {
+    "op1_sharding": f"""
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, md5('ledgerloom:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw, coalesce('s' || source, 'n') AS stratum FROM documents),
+             c AS (SELECT doc_id, source, octet_length(encode(t)) + 8 AS size, {_CRC_SQL} AS text_crc32, draw, stratum FROM d),
+             r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id NULLS FIRST, text_crc32) - 1 AS k, count(*) OVER (PARTITION BY stratum) AS n, count(*) OVER () AS total FROM c),
+             p AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * k + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), draw, doc_id NULLS FIRST, text_crc32) - 1 AS rank FROM r),
+             s AS (SELECT *, rank * 24 // total AS shard FROM p)
+        SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(rank - (shard * total + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM s""",
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
