@@ -1,8 +1,14 @@
 """Corpus pipeline: stages over documents, each written and read again before the next.
 
-Every stage but the last returns the columns of documents for the rows it keeps, and works on all
-rows that the one before kept. Rows without an id are never filtered out by the stages that name
-rows by id (quality, near duplicates, decontamination); exact duplicates among them go.
+Every stage but the last returns the columns of documents, whatever further ones there are, for the
+rows it keeps, and works on all rows that the one before kept. A row is decided by its own text, not
+by what else has its id.
+
+Defined cases, of every stage: a null id is an id like others, but never the smallest of copies; a
+null text is empty; the quality stage scores it as such, of empty texts exact deduplication keeps
+one, near duplicates and decontamination keep it; of rows that repeat id and text the two
+deduplications keep one; columns named as the operators' own are carried through; an empty table
+stays empty.
 """
 
 from __future__ import annotations
@@ -10,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import decontaminate, exact_dedup, near_dedup, quality, sp_codec
-from ledgerloom.llm.common import work_dir
 from ledgerloom.llm.queries import vocabulary
+from ledgerloom.storage import delete, scratch, work_dir
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +52,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = work_dir(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage writes on its way goes when its result is there
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
