@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from ledgerloom.plans import corpus_queries, filing_queries, metric_queries, narrative_queries, passage_queries, register_queries, score_queries, task_queries, uk_queries
+from ledgerloom.plans import corpus_queries, filing_queries, metric_queries, narrative_queries, passage_queries, register_queries, score_queries, task_queries, uk_queries, verification_queries
 
 SF = "/root/testdata/sf0.001"
-MODULES = (metric_queries, corpus_queries, filing_queries, narrative_queries, passage_queries, task_queries, uk_queries, register_queries, score_queries)
+MODULES = (metric_queries, corpus_queries, filing_queries, narrative_queries, passage_queries, task_queries, uk_queries, register_queries, score_queries, verification_queries)
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
 
