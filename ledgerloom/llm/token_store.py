@@ -6,7 +6,7 @@ go on; a rank directory with one count for each 512 bits and a popcount inside t
 place in the next level, so any token is read without decoding a block.
 
 Texts are encoded where they are read; what is shuffled are the ids. Documents are dealt by range of
-their id, and each partition writes segments of whole documents in ascending order. A segment is one
+their id, whose bounds come of a pass over ids alone, and each partition writes segments of whole documents in ascending order. A segment is one
 row of a Parquet table, its levels as uncompressed binary columns in a page of their own: Spark's
 committer makes it whole or absent, whatever executor is lost, in any store that Spark can write.
 Beside the segments lies a directory that says at which token each begins. `tokens` looks a stretch
@@ -22,6 +22,7 @@ stored as well; an empty table gives an empty store.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .bytesops import slices
+from .bytesops import mix, slices
 from .common import arrow_map, materialise, scratch, shuffle_partitions, text_hash, work_dir
 from .wordbpe import WordBpe
 
@@ -125,24 +126,42 @@ def encode_rows(column: pa.Array, bpe: WordBpe, end_id: int, long_bytes: int = 1
         yield lo, hi, ids, counts
 
 
-def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
-    """doc_id, tie (hash of the text), row (a number of its own), wide and ids (little-endian, 32 bits if wide, else 16) of every row."""
+def range_bounds(docs: DataFrame, n: int) -> list[tuple]:
+    """The greatest key (known, doc_id, tie, salt) of each of at most n ranges of about as many rows, but the last.
+
+    The salt is a random number: rows that agree in id and text, however many, fall in as many
+    ranges as their share asks for.
+    """
+    keys = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("tie"), F.rand(7).alias("salt"))
+    order = ["doc_id", "tie", "salt"]
+    dealt = materialise(keys.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "token-keys")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie", "salt")
+    rows = dealt.groupBy("part").agg(F.max(key).alias("k")).orderBy("part").collect()  # n rows
+    return [tuple(r.k) for r in rows[:-1]]
+
+
+def encoded(docs: DataFrame, vocab: str, end_id: int, bounds: list[tuple]) -> DataFrame:
+    """part (the range), doc_id, tie (hash of the text), row (a number of its own), wide and ids (little-endian, 32 bits if wide, else 16) of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, row = WordBpe.load(vocab), TaskContext.get().partitionId() << 33
+        bpe, row, bounds = WordBpe.load(vocab), TaskContext.get().partitionId() << 33, sent.value
         wide = bpe.dtype == np.uint32
         for batch in batches:
+            doc_ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
             for lo, hi, ids, counts in encode_rows(batch.column("text"), bpe, end_id):
                 raw, ends = memoryview(ids.astype("<u4" if wide else "<u2").tobytes()), np.cumsum(counts) * (4 if wide else 2)
                 own = [bytes(raw[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                cols = [batch.column("doc_id").slice(lo, hi - lo), batch.column("tie").slice(lo, hi - lo), pa.array(np.arange(row, row + hi - lo)), pa.array([wide] * (hi - lo)), pa.array(own, pa.binary())]
+                salts = mix(np.arange(row, row + hi - lo).astype(np.uint64)) / 2.0**64
+                parts = [bisect_left(bounds, (i is not None, i or 0, t, s)) for i, t, s in zip(doc_ids[lo:hi], ties[lo:hi], salts.tolist(), strict=True)]
+                cols = [pa.array(parts, pa.int32()), batch.column("doc_id").slice(lo, hi - lo), batch.column("tie").slice(lo, hi - lo), pa.array(np.arange(row, row + hi - lo)), pa.array([wide] * (hi - lo)), pa.array(own, pa.binary())]
                 row += hi - lo
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "tie", "row", "wide", "ids"])
+                yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "tie", "row", "wide", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("tie"), F.col("text").cast("string"))
-    return arrow_map(rows, run, "doc_id long, tie long, row long, wide boolean, ids binary")
+    return arrow_map(rows, run, "part int, doc_id long, tie long, row long, wide boolean, ids binary")
 
 
 def write_store(docs: DataFrame, path: str, vocab: str, end_id: int = 1, segment_tokens: int = 1 << 16) -> None:
@@ -177,12 +196,12 @@ def write_store(docs: DataFrame, path: str, vocab: str, end_id: int = 1, segment
         if held:
             yield segment()
 
-    order = ["doc_id", "tie", "row"]
+    n_parts = shuffle_partitions(spark)
     with scratch(spark):
-        rows = materialise(encoded(docs, vocab, end_id), "token-ids")  # what follows reads it twice: to find the ranges, and to deal
-        dealt = rows.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "wide", "ids")
-        out = arrow_map(dealt, pack, SCHEMA).write.option("compression", "none").option("parquet.page.row.count.limit", "1")
-        out.parquet(path)
+        rows = encoded(docs, vocab, end_id, range_bounds(docs, n_parts))
+    dealt = rows.repartitionById(n_parts, F.col("part")).sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "wide", "ids")
+    out = arrow_map(dealt, pack, SCHEMA).write.option("compression", "none").option("parquet.page.row.count.limit", "1")
+    out.parquet(path)
     table = spark.read.schema(SCHEMA).parquet(path).select("part", "seq", "part_offset", "n_tokens")
     # a row for each partition of the writer
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
