@@ -214,29 +214,50 @@ def answers(facts: DataFrame, edges: DataFrame | None = None, specs: list[Spec]
     wide = resolved.groupBy(*PERIOD).agg(*[F.max(F.when(F.col("request") == n, F.col("input"))).alias(f"r{n}") for n in asked.values()])
     if edges is not None:
         wide = wide.join(_children(edges), "filing_id", "left")
+    # metrics of one shape, such as a ratio of two inputs, share an expression: each is compiled once over input places
+    shapes: dict[tuple, int] = {}
     rows = []
     for spec in specs:
-        inputs = {k: F.col(f"r{asked[r]}") for k, r in spec.inputs.items()}
-        term = compile_formula(spec.formula, inputs)
-        refused = F.coalesce(*[c["code"] for c in inputs.values()], term.code)
-        source = F.lit(None).cast("string")
-        if spec.formula[0] == "rollup":
-            source = F.lit("explicit_override")
-            if edges is not None:
-                parts = F.array(*[inputs[k]["concept"] for k in spec.formula[2:]])
-                covered = reduce(lambda x, y: x | y, [F.coalesce(F.size(F.array_except(parts, F.coalesce(F.col("children")[alias], F.array().cast("array<string>")))) == 0, F.lit(False)) for alias in spec.formula[1]])
-                source = F.when(covered, "calculation_linkbase").otherwise(source)
-        rows.append(F.when(F.col("period_type").isin(*spec.periods), F.struct(
-            F.lit(spec.name).alias("metric"), refused.alias("refusal_code"), F.when(refused.isNull(), term.value.cast("double")).alias("value"),
-            F.when(refused.isNull(), F.lit(spec.unit)).alias("unit"), F.when(refused.isNull(), F.array_sort(F.array_distinct(term.evidence))).otherwise(F.array().cast("array<string>")).alias("evidence_ids"),
-            F.when(refused.isNull(), source).alias("rollup_source"),
-        )))
-    out = wide.select(*PERIOD, F.explode(F.array_compact(F.array(*rows))).alias("_a")).select(*PERIOD, "_a.*")
+        place = {k: f"i{n}" for n, k in enumerate(spec.inputs)}
+        shape = shapes.setdefault(_placed(spec.formula, place), len(shapes))
+        targets = F.array(*map(F.lit, spec.formula[1])) if spec.formula[0] == "rollup" else F.lit(None).cast("array<string>")
+        fields = [F.lit(spec.name).alias("metric"), F.lit(shape).alias("shape"), F.lit(spec.unit).alias("spec_unit"), targets.alias("targets"), F.array(*[F.col(f"r{asked[r]}") for r in spec.inputs.values()]).alias("inputs")]
+        rows.append(F.when(F.col("period_type").isin(*spec.periods), F.struct(*fields)))
+    children = ["children"] if edges is not None else []
+    out = wide.select(*PERIOD, *children, F.explode(F.array_compact(F.array(*rows))).alias("_a")).select(*PERIOD, *children, "_a.*")
+    most = max(len(s.inputs) for s in specs)
+    out = out.select(*[c for c in out.columns if c != "inputs"], *[F.get("inputs", n).alias(f"i{n}") for n in range(most)])
+    held = F.array(*[F.col(f"i{n}") for n in range(most)])
+    value, code = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for shape, n in shapes.items():
+        term = compile_formula(shape, {f"i{k}": F.col(f"i{k}") for k in range(most)})
+        value, code = F.when(F.col("shape") == n, term.value.cast("double")).otherwise(value), F.when(F.col("shape") == n, term.code).otherwise(code)
+    out = out.withColumn("refusal_code", F.coalesce(*[F.col(f"i{n}")["code"] for n in range(most)], code)).withColumn("value", F.when(F.col("refusal_code").isNull(), value))
+    fine = F.col("refusal_code").isNull()
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(held, lambda i: i.isNotNull()), lambda i: i["evidence"]))))
+    source = F.lit("explicit_override")
+    if edges is not None:
+        parts = F.transform(F.filter(held, lambda i: i.isNotNull()), lambda i: i["concept"])
+        covered = F.exists("targets", lambda t: F.coalesce(F.size(F.array_except(parts, F.try_element_at("children", t))) == 0, F.lit(False)))
+        source = F.when(covered, "calculation_linkbase").otherwise(source)
+    out = out.withColumn("unit", F.when(fine, F.col("spec_unit"))).withColumn("evidence_ids", F.when(fine, ids).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("rollup_source", F.when(fine & F.col("targets").isNotNull(), source))
+    out = out.select(*PERIOD, "metric", "refusal_code", "value", "unit", "evidence_ids", "rollup_source")
     status = F.when(F.col("refusal_code").isNull(), "OK").otherwise("REFUSAL")
     key = digest(F.col("metric"), F.col("filing_id"), F.concat_ws("|", "period_key", "refusal_code"), "v0")
     return out.withColumn("status", status).withColumn("answer_id", key)
 
 
+def _placed(formula, place: dict[str, str]):
+    """The formula over input places; a rollup is the sum of its parts."""
+    if isinstance(formula, str):
+        return place[formula]
+    if not isinstance(formula, tuple):
+        return formula
+    op, args = formula[0], formula[2:] if formula[0] == "rollup" else formula[1:]
+    return ("sum" if op == "rollup" else op, *[_placed(a, place) for a in args])
+
+
 def _children(edges: DataFrame) -> DataFrame:
     """filing_id and the map from a total to the parts that count positively."""
     sets = edges.where("weight > 0").groupBy("filing_id", "parent").agg(F.collect_set("child").alias("c"))
