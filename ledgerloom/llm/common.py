@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _one_thread()
         try:
             yield from function(batches)
         finally:
@@ -39,6 +41,22 @@ def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
     return df.mapInArrow(run, schema)
 
 
+@cache
+def _one_thread() -> None:
+    """Linear algebra of this worker on one thread: a task has one core, and threads that wait for each other spin."""
+    try:
+        with open("/proc/self/maps") as maps:
+            loaded = {line.split()[-1] for line in maps if "blas" in line}
+    except OSError:  # another system
+        return
+    for path in loaded:
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            try:
+                getattr(ctypes.CDLL(path), name)(1)
+            except (OSError, AttributeError):
+                continue
+
+
 def _release() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -43,14 +43,18 @@ from pyspark.sql import functions as F
 from .bytesops import LOWER, mix, row_sums, slices, span_hashes, words
 from .common import arrow_map, id_remainder, materialise, tree_sum
 
-HEAD, PLACES, SUFFIXES = 1024, 16, 32
+HEAD, PLACES, SUFFIXES = 1024, 32, 16
 GROUPS = HEAD // PLACES
 #: Symbols: 0 the end, then HEAD words, then the rest by ending; classes: 0 the end, then groups of words, then endings.
 SYMBOLS = 1 + HEAD + 2 * SUFFIXES
 CLASSES = 1 + GROUPS + 2 * SUFFIXES
-HIDDEN, STATE = 32, 8
+HIDDEN, STATE = 24, 8
 WINDOW = 16
 LANES = 256
+#: Tokens after which training begins anew in a long text; scores carry the state to its end.
+STRETCH = 2048
+#: Bytes of text that are scored together, but for a longer text.
+SCORED_BYTES = 12 << 20
 #: The words broadcast with their counts: 16 bytes each.
 HEAD_WORDS = 1 << 18
 #: Documents, in expectation, that the common start is fitted to.
@@ -87,6 +91,7 @@ class Batch:
         if own.shape[1] and len(word):
             at = np.minimum(np.searchsorted(own[0], self.hashes), own.shape[1] - 1)
             word = np.where(own[0][at] == self.hashes, own[1][at].astype(np.uint16), word)
+        self.word = word
         bounds = np.concatenate([[0], np.cumsum(self.n_words + 1)])
         out = np.zeros(int(bounds[-1]), np.uint16)
         inside = np.ones(len(out), bool)
@@ -95,6 +100,19 @@ class Batch:
         return out, bounds
 
 
+def _joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about `size` bytes: with more texts beside each other fewer windows are nearly empty."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.nbytes
+        if have >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if any(b.num_rows for b in held) else held[0]
+            held, have = [], 0
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Lanes:
     """Texts dealt to lanes of near equal length, longest first, and read a window at a time."""
 
@@ -118,7 +136,8 @@ class Lanes:
         lengths = np.array([int(sizes[lane].sum()) for lane in lanes], np.int64)
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
         self.doc_ends = ends
-        del place
+        self.first = np.zeros(len(place), bool)
+        self.first[ends - own] = True
 
     def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(lanes that still run, inputs, targets, valid places, places in the flat symbols), all (time, lane)."""
@@ -128,7 +147,7 @@ class Lanes:
             live = at < self.starts[:n] + self.lengths[:n]
             at = np.where(live, at, 0)
             y = self.flat[at].astype(np.int64)
-            x = np.where(at > self.starts[:n], self.flat[at - 1], 0).astype(np.int64)  # the end stands before a text's first token
+            x = np.where(self.first[at], 0, self.flat[at - 1]).astype(np.int64)  # the end stands before a text's first token
             yield n, x, y, live, at
 
 
@@ -164,46 +183,58 @@ class Gru:
     def states(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """The state after each place of a window; a text's first token is read from the zero state."""
         out = np.empty((*x.shape, HIDDEN), np.float32)
+        read = self.p["x"][x]
         for t in range(len(x)):
-            before = np.where((x[t] == 0)[:, None], np.float32(0), h)
-            a, u = self.p["x"][x[t]], before @ self.p["h"]
+            before, first = h, np.flatnonzero(x[t] == 0)
+            if len(first):
+                before = h.copy()
+                before[first] = 0
+            a, u = read[t], before @ self.p["h"]
             gates = a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             z, r, inner = gates[:, :HIDDEN], gates[:, HIDDEN:], u[:, 2 * HIDDEN :]
-            n = np.tanh(a[:, 2 * HIDDEN :] + r * inner)
-            h = n + z * (before - n)
-            out[t] = h
+            n = r * inner
+            n += a[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h = out[t]
+            np.subtract(before, n, out=h)
+            h *= z
+            h += n
             if keep is not None:
                 keep.append((before, z, r, n, inner))
         return out
 
-    def class_logs(self, h: np.ndarray) -> np.ndarray:
-        logs = h @ self.p["o"]
-        logs += self.p["c"]
-        logs -= logs.max(axis=1, keepdims=True)
-        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
-        return logs
-
-    def place_logs(self, q: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the places of each row's group, from the projected states."""
-        logs = np.einsum("mjk,mk->mj", self.p["e"][group], q)
-        logs += self.p["b"][group]
-        logs -= logs.max(axis=1, keepdims=True)
-        logs -= np.log(np.exp(logs).sum(axis=1, keepdims=True))
-        return logs
+    def class_exps(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """exp of every class's logit, their sums, and the logit of each target's class."""
+        logits = h @ self.p["o"]
+        logits += self.p["c"]
+        if np.abs(self.p["o"]).sum(axis=0).max() + np.abs(self.p["c"]).max() > 60:  # states are within 1: else nothing can overflow
+            logits -= logits.max(axis=1, keepdims=True)
+        target = logits[np.arange(len(y)), _CLASS[y]]
+        np.exp(logits, out=logits)
+        return logits, logits.sum(axis=1), target
+
+    def place_exps(self, q: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same over the places of each head word's group, from the projected states."""
+        group = own // PLACES
+        logits = np.einsum("mjk,mk->mj", self.p["e"][group], q)
+        logits += self.p["b"][group]
+        logits -= logits.max(axis=1, keepdims=True)
+        target = logits[np.arange(len(own)), own % PLACES]
+        np.exp(logits, out=logits)
+        return logits, logits.sum(axis=1), target
 
     def token_logs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log P(class) of each target, with log P(word | class) where the word is the head's."""
-        logs = self.class_logs(h)
-        out = logs[np.arange(len(y)), _CLASS[y]]
+        _, total, out = self.class_exps(h, y)
+        out -= np.log(total)
         head = np.flatnonzero((y > 0) & (y <= HEAD))
         if len(head):
-            own = y[head] - 1
-            within = self.place_logs(h[head] @ self.p["q"], own // PLACES)
-            out[head] += within[np.arange(len(head)), own % PLACES]
+            _, total, target = self.place_exps(h[head] @ self.p["q"], y[head] - 1)
+            out[head] += target - np.log(total)
         return out
 
     def train_window(self, x: np.ndarray, y: np.ndarray, live: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
@@ -212,13 +243,12 @@ class Gru:
         states = self.states(x, h, kept)
         hs, at = states.reshape(-1, HIDDEN), y.ravel()
         weight = live.ravel().astype(np.float32)
-        total = max(float(weight.sum()), 1.0)
-        logs = self.class_logs(hs)
-        rows = np.arange(len(at))
-        loss = -float((logs[rows, _CLASS[at]] * weight).sum())
-        d = np.exp(logs)
-        d[rows, _CLASS[at]] -= 1
-        d *= (weight / total)[:, None]
+        total = np.float32(max(float(weight.sum()), 1.0))
+        d, sums, target = self.class_exps(hs, at)
+        loss = float(((np.log(sums) - target) * weight).sum())
+        weight /= total
+        d *= (weight / sums)[:, None]
+        d[np.arange(len(at)), _CLASS[at]] -= weight
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         grad["o"], grad["c"] = hs.T @ d, d.sum(axis=0)
         back = d @ self.p["o"].T
@@ -226,13 +256,12 @@ class Gru:
         if len(head):
             head = head[np.argsort(at[head], kind="stable")]  # by group
             own = at[head] - 1
-            group, place = own // PLACES, own % PLACES
+            group = own // PLACES
             q = hs[head] @ self.p["q"]
-            within = self.place_logs(q, group)
-            loss -= float(within[np.arange(len(head)), place].sum())
-            dw = np.exp(within)
-            dw[np.arange(len(head)), place] -= 1
-            dw /= total
+            dw, sums, target = self.place_exps(q, own)
+            loss += float((np.log(sums) - target).sum())
+            dw *= (1 / (total * sums))[:, None]
+            dw[np.arange(len(head)), own % PLACES] -= 1 / total
             dq = np.einsum("mj,mjk->mk", dw, self.p["e"][group])
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             bounds = np.append(first, len(group))
@@ -243,20 +272,23 @@ class Gru:
             back[head] += dq @ self.p["q"].T
         back = back.reshape(states.shape)
         flow = np.zeros_like(h)
-        das = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        das, dus = (np.empty((*x.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        turn = self.p["h"].T.copy()
         for t in reversed(range(len(x))):
             before, z, r, n, u = kept[t]
             flow = flow + back[t]
-            dn = flow * (1 - z) * (1 - n * n)
-            da, du = das[t], np.empty_like(das[t])
+            dn = flow * (1 - z)
+            dn *= 1 - n * n
+            da, du = das[t], dus[t]
             da[:, :HIDDEN] = flow * (before - n) * z * (1 - z)
             da[:, HIDDEN : 2 * HIDDEN] = dn * u * r * (1 - r)
             da[:, 2 * HIDDEN :] = dn
             du[:, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
-            du[:, 2 * HIDDEN :] = dn * r
-            grad["h"] += before.T @ du
-            flow = flow * z + du @ self.p["h"].T
+            np.multiply(dn, r, out=du[:, 2 * HIDDEN :])
+            flow = flow * z
+            flow += du @ turn
             flow[x[t] == 0] = 0
+        grad["h"] = np.concatenate([k[0] for k in kept]).T @ dus.reshape(-1, 3 * HIDDEN)
         das = das.reshape(-1, 3 * HIDDEN)
         order = np.argsort(x.ravel(), kind="stable")
         read = x.ravel()[order]
@@ -282,9 +314,10 @@ class Gru:
             self.p[k] -= np.float32(rate / first) * m / (np.sqrt(v * np.float32(1 / second)) + np.float32(1e-6))
 
     def train(self, symbols: np.ndarray, bounds: np.ndarray, rate: float) -> tuple[float, int]:
-        """One pass; the loss in nats and the tokens."""
+        """One pass; the loss in nats and the tokens. Texts of more than STRETCH tokens are read in stretches beside each other."""
         loss, tokens = 0.0, 0
-        lanes = Lanes(symbols, bounds, LANES)
+        cuts = [np.arange(a, b, STRETCH) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] if len(bounds) > 1 and np.diff(bounds).max() > STRETCH else None
+        lanes = Lanes(symbols, bounds if cuts is None else np.append(np.concatenate(cuts), bounds[-1]), LANES)
         h = np.zeros((len(lanes.lengths), HIDDEN), np.float32)
         for n, x, y, live, _ in lanes.windows():
             h, own = self.train_window(x, y, live, h[:n], rate)
@@ -334,11 +367,13 @@ class Counts:
             else:
                 sums[1 + GROUPS + row["s"]] += row["z"]
         self.own_logs = np.zeros(SYMBOLS)  # log10 of c + 0.5 of the head's words
+        self.own_counts = np.zeros(SYMBOLS, np.int64)
         places = np.full(HEAD, 0.5)
         for k, row in enumerate(own):
             sums[1 + GROUPS + row["s"]] -= row["c"] + 0.5
             places[k] = row["c"] + 0.5
             self.own_logs[1 + k] = np.log10(row["c"] + 0.5)
+            self.own_counts[1 + k] = row["c"]
         self.places = (places.reshape(GROUPS, PLACES).T / places.reshape(GROUPS, PLACES).sum(axis=1)).T
         sums = np.maximum(sums, 0.5)
         self.own_logs[0] = np.log10(self.end + 0.5)
@@ -424,14 +459,17 @@ def score_with(docs: DataFrame, vocab: DataFrame, counts: Counts, model: np.ndar
         flat, counts = sent.value
         model = counts.network().load(flat)
         rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in _joined(batches, SCORED_BYTES):
             own = Batch(batch.column("text"))
             n = len(own.n_words)
             rows = np.repeat(np.arange(n), own.n_words)
-            c = np.zeros(len(own.hashes), np.int64)
+            symbols, bounds = own.symbols(counts.own)
+            c = counts.own_counts[own.word]  # 0 but for the head's words
             if len(counts.known):
-                at = np.minimum(np.searchsorted(counts.known, own.hashes), len(counts.known) - 1)
-                c = np.where(counts.known[at] == own.hashes, counts.known_counts[at], 0)
+                other = np.flatnonzero(own.word > HEAD)
+                hashes = own.hashes[other]
+                at = np.minimum(np.searchsorted(counts.known, hashes), len(counts.known) - 1)
+                c[other] = np.where(counts.known[at] == hashes, counts.known_counts[at], 0)
             rare = c == 0
             rare_rows, rare_hashes = rows[rare], own.hashes[rare]
             order = np.lexsort((rare_hashes, rare_rows))
@@ -440,7 +478,6 @@ def score_with(docs: DataFrame, vocab: DataFrame, counts: Counts, model: np.ndar
             new[1:] = (rare_rows[1:] != rare_rows[:-1]) | (rare_hashes[1:] != rare_hashes[:-1])
             times = np.diff(np.append(np.flatnonzero(new), len(new)))
             logs = np.where(rare, 0, np.log10(c + 0.5))
-            symbols, bounds = own.symbols(counts.own)
             # what the model gives beyond the counts, which the columns below add
             gain = model.log_probs(symbols, bounds) - np.diff(np.concatenate([[0], np.cumsum(counts.own_logs[symbols])])[bounds])
             head_log = np.zeros(n)

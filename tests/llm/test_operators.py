@@ -433,11 +433,11 @@ def test_network_against_plain_recurrence():
 
 def test_factors_sum_to_one():
     model = random_network()
-    h = np.random.default_rng(1).normal(0, 0.5, (6, gru_lm.HIDDEN)).astype(np.float32)
-    assert np.exp(model.class_logs(h)).sum(axis=1) == pytest.approx(1, rel=1e-4)
-    assert np.exp(model.place_logs(h @ model.p["q"], np.arange(6))).sum(axis=1) == pytest.approx(1, rel=1e-4)
-    of_group = model.place_logs(h @ model.p["q"], np.full(6, 2))
-    assert np.ptp(of_group, axis=0).max() > 0.1  # the word's factor depends on the state
+    h = np.random.default_rng(1).normal(0, 0.3, (6, gru_lm.HIDDEN)).astype(np.float32)
+    each = np.array([np.exp(model.token_logs(h, np.full(6, y))) for y in range(gru_lm.SYMBOLS)])
+    assert each.sum(axis=0) == pytest.approx(1, rel=1e-4)
+    exps, sums, _ = model.place_exps(h @ model.p["q"], np.full(6, 2 * gru_lm.PLACES))
+    assert np.ptp(np.log(exps / sums[:, None]), axis=0).max() > 0.1  # the word's factor depends on the state
 
 
 def test_gradients():
