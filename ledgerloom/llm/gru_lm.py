@@ -48,7 +48,7 @@ GROUPS = HEAD // PLACES
 #: Symbols: 0 the end, then HEAD words, then the rest by ending; classes: 0 the end, then groups of words, then endings.
 SYMBOLS = 1 + HEAD + 2 * SUFFIXES
 CLASSES = 1 + GROUPS + 2 * SUFFIXES
-HIDDEN, STATE = 24, 8
+HIDDEN, STATE = 16, 8
 WINDOW = 16
 LANES = 256
 #: Tokens after which training begins anew in a long text; scores carry the state to its end.
