@@ -203,14 +203,19 @@ def topic(text: Column, rules: list[tuple[tuple[str, ...], str]]) -> Column:
     return out
 
 
+def _window(words: Column, width: int):
+    return lambda at: F.slice(words, at, width)
+
+
 def anchor(text: Column, stop: list[str]) -> Column:
     """The first stretch of four, else three, else two words of which two are no stop words, as the text prints it; else its first word that is none."""
     words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9][A-Za-z0-9'’.-]*)"), 1)
     gaps = r"[^A-Za-z0-9]+?"
     out = F.lit(None).cast("string")
     for width in (4, 3, 2):
-        windows = F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i, width=width: F.slice(words, i, width))).otherwise(F.array().cast("array<array<string>>"))
+        starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - width + 1)).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(starts, _window(words, width))
         fit = F.get(F.filter(windows, lambda w: F.size(F.filter(w, lambda x: ~F.lower(x).isin(*stop))) >= 2), 0)
         quoted = F.array_join(F.transform(fit, lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), gaps)
-        out = F.coalesce(out, F.nullif(F.regexp_extract(text, F.concat(F.lit("("), quoted, F.lit(")")), F.lit(1)), F.lit("")))
+        out = F.coalesce(out, F.nullif(F.call_function("regexp_extract", text, F.concat(F.lit("("), quoted, F.lit(")")), F.lit(1)), F.lit("")))
     return F.coalesce(out, F.get(F.filter(words, lambda x: ~F.lower(x).isin(*stop)), 0))
