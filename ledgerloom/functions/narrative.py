@@ -67,6 +67,10 @@ def _noise(own: Column) -> Column:
     return (own == "") | _page_header(own) | _structural(own)
 
 
+def noise_of(own: Column) -> Column:
+    return _noise(own)
+
+
 def noise(text: Column) -> Column:
     return _let(heading(text), _noise)
 
@@ -85,9 +89,13 @@ def _subheading(own: Column, alpha: Column) -> Column:
     return F.coalesce(fits & style & ~_noise(own) & ~item_marker(own), F.lit(False))
 
 
+def subheading_of(own: Column) -> Column:
+    return _let(F.regexp_extract_all(own, F.lit(r"([A-Za-z][A-Za-z&'/.-]*)"), 1), lambda alpha: _subheading(own, alpha))
+
+
 def subheading(text: Column) -> Column:
     """Short lines in title case or capitals that end no sentence."""
-    return _let(heading(text), lambda own: _let(F.regexp_extract_all(own, F.lit(r"([A-Za-z][A-Za-z&'/.-]*)"), 1), lambda alpha: _subheading(own, alpha)))
+    return _let(heading(text), subheading_of)
 
 
 def alpha_text(own: Column) -> Column:

@@ -56,10 +56,11 @@ def annotated(parts: DataFrame) -> DataFrame:
     )
     body = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     lead = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
-    whole = F.transform("_raw", lambda x, i: F.struct((F.get(F.col("_at"), i) + lead(x)).alias("start"), body(x).alias("text")))
-    full = F.transform("_p", lambda p: F.struct(p["start"], (p["start"] + F.length(p["text"])).alias("end"), p["text"], F.when(nv.subheading(p["text"]), nv.heading(p["text"])).alias("sub")))
+    whole = F.transform("_raw", lambda x, i: F.struct((F.get(F.col("_at"), i) + lead(x)).alias("start"), body(x).alias("text"), nv.heading(x).alias("own")))
+    sub = lambda p: F.when(F.length(p["own"]).between(3, 120) & nv.subheading_of(p["own"]), p["own"])
+    full = F.transform("_p", lambda p: F.struct(p["start"], (p["start"] + F.length(p["text"])).alias("end"), p["text"], sub(p).alias("sub")))
     rows = parts.withColumn("_raw", raw).withColumn("_at", offsets).withColumn("_p", whole)
-    rows = rows.withColumn("_p", F.filter("_p", lambda p: ~nv.noise(p["text"])))
+    rows = rows.withColumn("_p", F.filter("_p", lambda p: ~nv.noise_of(p["own"])))
     return rows.withColumn("paragraphs", full).drop("_raw", "_at", "_p")
 
 
