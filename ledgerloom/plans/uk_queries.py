@@ -51,9 +51,10 @@ def _document(rows: list[dict]) -> str:
         segment = f"<xbrli:segment>{axis}</xbrli:segment>" if r["has_segment"] or r["dim"] and not r["has_scenario"] else ""
         scenario = f"<xbrli:scenario>{axis if not segment else ''}</xbrli:scenario>" if r["has_scenario"] else ""
         out.append(f'<xbrli:context id="c{n}-{r["k"]}"><xbrli:entity><xbrli:identifier scheme="x">{r["entity_identifier"]}</xbrli:identifier>{segment}</xbrli:entity><xbrli:period><xbrli:instant>{r["instant"]}</xbrli:instant></xbrli:period>{scenario}</xbrli:context>')
-        unit = "xbrli:pure" if r["unit_type"] == "pure" else f"iso4217:{r['unit_canon'].upper()}"
+        # numbers that are no money stay apart by their unit, as the facts hold them
+        unit = {"gbp": "xbrli:pure", "eur": "xbrli:shares"}[r["unit_canon"]] if r["unit_type"] == "pure" else f"iso4217:{r['unit_canon'].upper()}"
         out.append(f'<xbrli:unit id="u{n}-{r["k"]}"><xbrli:measure>{unit}</xbrli:measure></xbrli:unit>')
-        value = "unclear" if r["value_num"] is None else f"({-r['value_num']:,.2f})" if r["value_num"] < 0 else f"{r['value_num']:,.2f}"
+        value = "unclear" if r["value_num"] is None else f"({-r['value_num']:,f})" if r["value_num"] < 0 else f"{r['value_num']:,f}"
         nil = ' xsi:nil="true"' if r["is_nil"] else ""
         out.append(f'<p><ix:nonFraction id="{r["fact_evidence_id"]}" name="{names[r["concept_local"]]}" contextRef="c{n}-{r["k"]}" unitRef="u{n}-{r["k"]}" format="ixt2:numdotdecimal" scale="0"{nil}>{value}<ix:exclude> *</ix:exclude></ix:nonFraction>')
     return "<html><body>" + "".join(out)

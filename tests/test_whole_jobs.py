@@ -1,6 +1,6 @@
 """Registered queries on small tables of their own, where a shortcut would show."""
 
-from ledgerloom.plans import corpus_queries
+from ledgerloom.plans import corpus_queries, uk_queries
 
 
 def tables(spark, folder, **frames):
@@ -47,3 +47,12 @@ def test_scan_classes(spark, tmp_path):
     for k in SCANNED:
         own = [d for (d, _), (c, _) in zip(docs, rows) if c == k]
         assert got[k] == (len(own), own[0]), k
+
+
+def test_parsed_filings_keep_apart_what_facts_do(spark, tmp_path):
+    """Equal values in two units that are no money, equal ones in one such unit, and values that differ in the third place."""
+    line = lambda order, number, quantity: (order, 1, 1, number, quantity, 0.0, 0.0, 0.0)
+    rows = [line(145, 2, 9.0), line(145, 5, 9.0), line(145, 1, 3.0), line(290, 5, 9.0), line(290, 8, 9.0), line(290, 1, 3.0), line(7, 2, 9.001), line(7, 5, 9.002), line(7, 1, 3.0)]
+    folder = tables(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"))
+    got, facts = ({(r.filing_id, r.metric): r.refusal_code for r in f(spark, folder).collect()} for f in (uk_queries.uk_parsed_tasks, uk_queries.uk_quant_tasks))
+    assert got == facts and {got[k, "current_ratio"] for k in ("145", "7")} == {"AMBIGUOUS_CONTEXT"} and got["290", "current_ratio"] == "INCOMPATIBLE_UNITS"
