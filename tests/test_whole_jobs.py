@@ -1,6 +1,9 @@
 """Registered queries on small tables of their own, where a shortcut would show."""
 
-from ledgerloom.plans import corpus_queries, uk_queries
+from pyspark.sql import functions as F
+
+from ledgerloom.operators import narrative_tasks as nt
+from ledgerloom.plans import corpus_queries, passage_queries, uk_queries
 
 
 def tables(spark, folder, **frames):
@@ -56,3 +59,16 @@ def test_parsed_filings_keep_apart_what_facts_do(spark, tmp_path):
     folder = tables(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"))
     got, facts = ({(r.filing_id, r.metric): r.refusal_code for r in f(spark, folder).collect()} for f in (uk_queries.uk_parsed_tasks, uk_queries.uk_quant_tasks))
     assert got == facts and {got[k, "current_ratio"] for k in ("145", "7")} == {"AMBIGUOUS_CONTEXT"} and got["290", "current_ratio"] == "INCOMPATIBLE_UNITS"
+
+
+def test_donors_are_met_beyond_the_own_filing_without_its_words(spark, tmp_path):
+    """No source is compared with its own filing's tasks, and no task carries all words of its filing."""
+    shape = "struct<task_id:string,filing_id:string,pool:int,n:int>"
+    tasks = [((f"{f}{k:03}", f, 0, k),) for f in "abc" for k in range(300)]
+    sources, donors = spark.createDataFrame(tasks[300:302] + tasks[:1], f"s {shape}"), spark.createDataFrame(tasks, f"d {shape}")
+    accept = F.when(F.col("d.filing_id") == F.col("s.filing_id"), F.raise_error(F.lit("own filing"))).otherwise(F.col("d.n") + F.when(F.col("d.filing_id") == "c", 300).otherwise(0) > F.lit(299))
+    got = {r.s.task_id: r.d.task_id for r in nt.first_acceptable(sources, donors, "pool", accept).collect()}
+    assert got == {"a000": "c000", "b000": "c000", "b001": "c000"}
+    docs = [(k, f"w{k} x{k} y{k} z{k} v{k} u{k} t{k} s{k} r{k} q{k} p{k} o{k}", "src") for k in range(6)]
+    folder = tables(spark, tmp_path, documents=(docs, "doc_id long, text string, source string"))
+    assert "filing_words" not in passage_queries._prepared(spark, folder).columns
