@@ -86,6 +86,35 @@ def test_narrative_routing(spark):
     assert SequenceMatcher(None, "ab", "ab").ratio() == 1
 
 
+def test_routing_scores_few_pairs_and_finds_what_all_pairs_would(spark, monkeypatch):
+    own = random.Random(3)
+    word = lambda most: f"{'abcdefghij'[int(own.random() ** 2 * most)]}word"
+    schema = "task_id string, filing_id string, ticker string, period_key string, label string, question string, retrieval_query string, item string, heading string, subheading string, heading_path string"
+    rows = [(f"t{k:03}", f"f{k % 2}", "k", "FY1", "a", f"How is {word(9)} {word(9)} x{k // 2 % 97}?", " ".join(word(9) for _ in range(own.randint(0, 4))), None, f"Part {word(5)}", word(9), None) for k in range(240)]
+    frame = spark.createDataFrame(rows, schema)
+    tasks = nt.prepared(frame, None, []).cache()
+    asked = [(k, r[1], f"Tell of {r[9]}: {r[6]} {r[5]}" if k % 3 else " ".join(word(9) for _ in range(k % 7))) for k, r in enumerate(rows)] + [(900, "f0", rows[0][5]), (901, "none", "x1"), (902, "f1", None)]
+    questions = spark.createDataFrame(asked, "question_id int, filing_id string, question string")
+    pairs, ratio = [], nt._with_ratio
+    monkeypatch.setattr(nt, "_with_ratio", lambda frame: (pairs.append(frame.count()), ratio(frame))[1])
+    got = {r.question_id: (r.task_id, r.code) for r in nt.routed(questions, tasks).collect()}
+    assert pairs[0] < len(rows) * len(asked) / 8  # all pairs of a filing are half of that
+    held, want = tasks.collect(), {}
+    for q in questions.select("question_id", "filing_id", nt.question_key(F.col("question")).alias("key"), nt.nv.query_tokens(F.coalesce("question", F.lit(""))).alias("words")).collect():
+        near = [t for t in held if t.filing_id == q.filing_id]
+        same = sorted(t.task_id for t in near if t.question_key == q.key)
+        share = lambda ws: len(set(ws) & set(q.words)) / len(ws) if ws else 0.0  # noqa: B023, E731
+        score = lambda t: 2.5 * share(t.question_words) + 2.0 * share(t.query_words) + 1.5 * share(t.scope_words) + share(t.heading_words) + (0.5 if t.scope.lower() in q.key else 0.0) + 0.5 * SequenceMatcher(None, q.key, t.question_key).ratio()  # noqa: B023, E731
+        top = sorted((-score(t) if q.words else 0.0, t.task_id) for t in near)[:2] + [(0.0, "")] * 2
+        if len(same) == 1:
+            want[q.question_id] = (same[0], None)
+        elif same or (-top[0][0] >= nt.LEAST_SCORE and top[1][0] - top[0][0] < nt.MARGIN):
+            want[q.question_id] = (None, "AMBIGUOUS")
+        else:
+            want[q.question_id] = (top[0][1], None) if -top[0][0] >= nt.LEAST_SCORE else (None, "NO_MATCH")
+    assert got == want and {c for _, c in want.values()} == {None, "AMBIGUOUS", "NO_MATCH"}
+
+
 def test_quotas_and_reservations(spark):
     rows = spark.createDataFrame([(k, "OK" if k % 3 else "REFUSAL", k % 5) for k in range(60)], "id int, status string, stratum int")
     assert halves(7) == {"OK": 4, "REFUSAL": 3}
