@@ -109,7 +109,8 @@ def _creditor(members: dict[str, str]) -> Column:
 
 
 def entity_key(text: Column) -> Column:
-    return F.nullif(F.upper(F.regexp_replace(F.trim(text), r"\s+", "")), F.lit(""))
+    folded = F.upper(F.regexp_replace(F.trim(text), r"\s+", ""))
+    return F.nullif(F.when(text.rlike("[^0-9A-Z ]"), folded).otherwise(F.replace(text, F.lit(" "), F.lit(""))), F.lit(""))  # most identifiers have nothing to fold
 
 
 def select_current(facts: DataFrame, filings: DataFrame, roles: dict[str, list[str]]) -> DataFrame:
@@ -124,44 +125,74 @@ def select_current(facts: DataFrame, filings: DataFrame, roles: dict[str, list[s
     has_scenario, value_num, unit_canon, unit_type, is_nil, continuation_valid, transform_supported, context_id.
     filings: filing_id, period_end, company_number.
     """
-    names = F.array(*[F.struct(F.lit(r).alias("role"), F.array(*map(F.lit, c)).alias("concepts")) for r, c in roles.items()])
-    asked = filings.select("filing_id", "period_end", entity_key(F.col("company_number")).alias("company"), F.explode(names).alias("_r")).select("filing_id", "period_end", "company", "_r.role", "_r.concepts")
-    rows = asked.join(facts, "filing_id", "left").withColumn("s1", F.coalesce(F.array_contains("concepts", F.col("concept_local")), F.lit(False)))
-    group = W.Window.partitionBy("filing_id", "role")
-    rows = rows.withColumn("entity", entity_key(F.col("entity_identifier"))).withColumn("s2", F.col("s1") & F.coalesce(F.col("instant") == F.col("period_end"), F.lit(False)))
-    named = F.col("company").isNotNull()
-    rows = rows.withColumn("_ids", F.size(F.collect_set(F.when(F.col("s2"), F.col("entity"))).over(group)))
-    same = F.when(named, F.coalesce(F.col("entity") == F.col("company"), F.lit(False))).otherwise(F.col("entity").isNotNull() & (F.col("_ids") == 1))
-    rows = rows.withColumn("s3", F.col("s2") & same)
+    names = list(roles)
+    chosen = _current(facts, filings, roles, diagnostics=True)
+    each = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"code{k}").alias("code"), F.col(f"fact{k}").alias("fact"), F.col(f"diagnostics{k}").alias("diagnostics")) for k, r in enumerate(names)])
+    return chosen.select("filing_id", F.explode(each).alias("_r")).select("filing_id", "_r.*")
+
+
+def _current(facts: DataFrame, filings: DataFrame, roles: dict[str, list[str]], diagnostics: bool = False) -> DataFrame:
+    """As `select_current`, a row for each filing: code, fact and, if asked for, diagnostics of its k-th role.
+
+    One shuffle of what the stages read, one aggregate by filing. The stages that look at a whole group
+    are settled after it: entities agree if the least is the greatest, and default contexts and listed
+    creditors are summed up apart, of which the first count where there are any.
+    """
     default = F.coalesce(F.size("dimensions"), F.lit(0)) <= 0
-    direct = F.col("s3") & (F.col("concept_local") != "creditors") & default & ~F.col("has_segment") & ~F.col("has_scenario")
-    rows = rows.withColumn("_direct", direct).withColumn("_any", F.max(F.col("_direct").cast("int")).over(group))
-    rows = rows.withColumn("s4", F.col("s3") & F.when(F.col("_any") == 1, F.col("_direct")).otherwise(F.col("_direct") | _creditor(CURRENT)))
+    plain = (F.col("concept_local") != "creditors") & default & ~F.col("has_segment") & ~F.col("has_scenario")
     whole = F.col("value_num").isNotNull() & ~F.col("is_nil") & F.coalesce("continuation_valid", F.lit(True)) & F.coalesce("transform_supported", F.lit(True))
-    rows = rows.withColumn("s5", F.col("s4") & whole).withColumn("_later", _creditor(LATER))
-    n = lambda c: F.sum(F.col(c).cast("int"))
-    distinct = F.size(F.collect_set(F.when(F.col("s5"), F.struct("value_num", F.coalesce("unit_canon", F.lit(""))))))
-    fact = F.struct("ordinal", "fact_evidence_id", "concept_local", "value_num", "unit_canon", "unit_type")
     # the diagnostics tell candidates apart by what a reader sees of them
     seen = F.struct("context_id", F.map_entries("dimensions").alias("d"), "entity_identifier", "is_nil", "instant", "unit_canon", "value_num")
-    stages = [F.array_sort(F.collect_set(F.when(F.col(s), F.struct("ordinal", "fact_evidence_id", F.to_json(seen).alias("seen"))))).alias(f"d{s[1]}") for s in ("s1", "s2", "s3", "s4", "s5")]
-    out = rows.groupBy("filing_id", "role").agg(
-        F.max("period_end").alias("period_end"), *[n(f"s{k}").alias(f"n{k}") for k in range(1, 6)], F.sum((F.col("s3") & F.col("_later")).cast("int")).alias("n_later"),
-        F.max(named.cast("int")).alias("named"), distinct.alias("n_values"), F.min(F.when(F.col("s5"), fact)).alias("fact"), *stages,
-    )
-    none = [(F.col(f"n{k}") == 0) for k in range(1, 6)]
-    code = (
-        F.when(none[0], "MISSING_INPUT").when(F.col("period_end").isNull() | none[1], "PERIOD_NOT_SUPPORTED").when(none[2], "AMBIGUOUS_CONTEXT")
-        .when(none[3] & (F.col("n_later") == F.col("n3")), "MISSING_INPUT").when(none[3], "AMBIGUOUS_CONTEXT").when(F.col("n5") != F.col("n4"), "MISSING_INPUT").when(F.col("n_values") != 1, "AMBIGUOUS_CONTEXT")
-    )
-    at = (
-        F.when(none[0], F.array().cast("array<struct<ordinal:int,fact_evidence_id:string,seen:string>>")).when(F.col("period_end").isNull() | none[1], F.col("d1")).when(none[2], F.col("d2"))
-        .when(none[3] & (F.col("n_later") == F.col("n3")), F.array().cast("array<struct<ordinal:int,fact_evidence_id:string,seen:string>>")).when(none[3], F.col("d3")).when(F.col("n5") != F.col("n4"), F.col("d4"))
-        .when(F.col("n_values") != 1, F.col("d5")).otherwise(F.slice("d5", 1, 1))
+    asked = F.col("concept_local").isin(*{c for concepts in roles.values() for c in concepts})
+    own = facts.where(asked).select(
+        "filing_id", "ordinal", "fact_evidence_id", "concept_local", "instant", entity_key(F.col("entity_identifier")).alias("entity"), plain.alias("plain"), _creditor(CURRENT).alias("creditor"),
+        _creditor(LATER).alias("later"), whole.alias("whole"), "value_num", "unit_canon", "unit_type", *[F.to_json(seen).alias("seen")] * diagnostics,
     )
-    distinct_seen = F.filter(at, lambda d, i: F.array_position(F.transform(at, lambda x: x["seen"]), d["seen"]) == i + 1)
-    ids = F.transform(F.slice(distinct_seen, 1, 2), lambda d: d["fact_evidence_id"])
-    return out.select("filing_id", "role", code.alias("code"), F.when(code.isNull(), F.col("fact")).alias("fact"), ids.alias("diagnostics"))
+    rows = filings.select("filing_id", "period_end", entity_key(F.col("company_number")).alias("company")).join(own, "filing_id", "left")
+    named = F.col("company").isNotNull()
+    rows = rows.withColumn("_s2", F.coalesce(F.col("instant") == F.col("period_end"), F.lit(False)))
+    rows = rows.withColumn("_p3", F.col("_s2") & F.when(named, F.coalesce(F.col("entity") == F.col("company"), F.lit(False))).otherwise(F.col("entity").isNotNull()))
+    # 0: a default context, 1: a listed current creditor
+    rows = rows.withColumn("_rank", F.when(F.col("_p3") & F.col("plain"), 0).when(F.col("_p3") & F.col("creditor"), 1))
+    value = (F.col("value_num"), F.coalesce("unit_canon", F.lit("")).alias("unit"))
+    fact = F.struct("ordinal", "fact_evidence_id", "concept_local", "value_num", "unit_canon", "unit_type")
+    ranked, part = F.col("_rank").isNotNull(), ~F.coalesce("whole", F.lit(False))
+    # one bit for each set that has a member: of stages 1, 2 and 3, of what is not due later, and for each rank of stage 4 and of its facts that are no numbers
+    of_rank = lambda r: F.coalesce(F.col("_rank") == r, F.lit(False))
+    sets = [F.lit(True), F.col("_s2"), F.col("_p3"), F.col("_p3") & ~F.col("later"), of_rank(0), of_rank(1), of_rank(0) & part, of_rank(1) & part]
+    rows = rows.withColumn("_bits", reduce(lambda x, y: x + y, [F.when(c, 1 << k).otherwise(0) for k, c in enumerate(sets)]))
+    sums, d = [F.max("period_end").alias("period_end"), F.max(named).alias("named")], F.struct("ordinal", "fact_evidence_id", "seen") if diagnostics else None
+    for k, concepts in enumerate(roles.values()):
+        s1 = F.coalesce(F.col("concept_local").isin(*concepts), F.lit(False))
+        s2, s5 = s1 & F.col("_s2"), s1 & ranked & ~part
+        sums += [
+            F.coalesce(F.bit_or(F.when(s1, F.col("_bits"))), F.lit(0)).alias(f"bits{k}"), F.min(F.when(s2, F.col("entity"))).alias(f"lo{k}"), F.max(F.when(s2, F.col("entity"))).alias(f"hi{k}"),
+            F.min(F.when(s5, F.struct("_rank", *value))).alias(f"least{k}"), F.max(F.when(s5, F.struct(-F.col("_rank"), *value))).alias(f"most{k}"), F.min(F.when(s5, F.struct("_rank", fact.alias("fact")))).alias(f"f{k}"),
+        ]
+        if diagnostics:
+            stages = {"1": s1, "2": s2, "3": s1 & F.col("_p3"), "40": s1 & of_rank(0), "41": s1 & of_rank(1), "50": s5 & of_rank(0), "51": s5 & of_rank(1)}
+            sums += [F.array_sort(F.collect_set(F.when(s, d))).alias(f"d{k}{at}") for at, s in stages.items()]
+    out = rows.groupBy("filing_id").agg(*sums)
+    for k in range(len(roles)):
+        has = lambda bit: F.col(f"bits{k}").bitwiseAND(1 << bit) != 0  # noqa: B023, E731
+        own_ids, any_plain = F.col("named") | F.coalesce(F.col(f"lo{k}") == F.col(f"hi{k}"), F.lit(False)), has(4)
+        none, off, no_entity = ~has(0), F.col("period_end").isNull() | ~has(1), ~(own_ids & has(2))
+        no_context, broken = ~has(4) & ~has(5), F.when(any_plain, has(6)).otherwise(has(7))
+        late = no_context & ~has(3)
+        same = (F.col(f"least{k}.value_num") == F.col(f"most{k}.value_num")) & (F.col(f"least{k}.unit") == F.col(f"most{k}.unit"))
+        code = (
+            F.when(none, "MISSING_INPUT").when(off, "PERIOD_NOT_SUPPORTED").when(no_entity, "AMBIGUOUS_CONTEXT").when(late, "MISSING_INPUT").when(no_context, "AMBIGUOUS_CONTEXT")
+            .when(broken, "MISSING_INPUT").when(~same, "AMBIGUOUS_CONTEXT")
+        )
+        out = out.withColumn(f"code{k}", code).withColumn(f"fact{k}", F.when(F.col(f"code{k}").isNull(), F.col(f"f{k}.fact")))
+        if diagnostics:
+            nothing = F.array().cast("array<struct<ordinal:int,fact_evidence_id:string,seen:string>>")
+            d4, d5 = (F.when(any_plain, F.col(f"d{k}{s}0")).otherwise(F.col(f"d{k}{s}1")) for s in (4, 5))
+            at = F.when(none, nothing).when(off, F.col(f"d{k}1")).when(no_entity, F.col(f"d{k}2")).when(late, nothing).when(no_context, F.col(f"d{k}3")).when(broken, d4).when(~same, d5).otherwise(F.slice(d5, 1, 1))
+            out = out.withColumn(f"_d{k}", at)
+            distinct_seen = F.filter(f"_d{k}", lambda x, i: F.array_position(F.transform(f"_d{k}", lambda y: y["seen"]), x["seen"]) == i + 1)  # noqa: B023
+            out = out.withColumn(f"diagnostics{k}", F.transform(F.slice(distinct_seen, 1, 2), lambda x: x["fact_evidence_id"]))
+    return out.select("filing_id", *[f"{c}{k}" for k in range(len(roles)) for c in ("code", "fact", *["diagnostics"] * diagnostics)])
 
 
 def quant_answers(facts: DataFrame, filings: DataFrame) -> DataFrame:
@@ -170,9 +201,8 @@ def quant_answers(facts: DataFrame, filings: DataFrame) -> DataFrame:
     Liabilities count as positive. An unclear context or period is refused before a missing input;
     both sides must be one currency; a zero denominator is refused.
     """
-    chosen = select_current(facts, filings, {"assets": CURRENT_ASSETS, "liabilities": CURRENT_LIABILITIES})
-    side = lambda role: F.max(F.when(F.col("role") == role, F.struct("code", "fact"))).alias(role)
-    rows = chosen.groupBy("filing_id").agg(side("assets"), side("liabilities"))
+    chosen = _current(facts, filings, {"assets": CURRENT_ASSETS, "liabilities": CURRENT_LIABILITIES})
+    rows = chosen.select("filing_id", *[F.struct(F.col(f"code{k}").alias("code"), F.col(f"fact{k}").alias("fact")).alias(side) for k, side in enumerate(("assets", "liabilities"))])
     both = F.col("assets.code").isNull() & F.col("liabilities.code").isNull()
     unclear = lambda c: F.when(F.col(c).isin("AMBIGUOUS_CONTEXT", "PERIOD_NOT_SUPPORTED"), F.col(c))
     left = F.col("assets.fact.value_num")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import parse_number_uk
 from ..operators import uk
-from ..sources.filings import read_packages, uk_facts
+from ..sources.uk_packages import read_uk_facts, stored_package
 from ..sources.views import sql as run_sql
 from ..sources.views import table
-from ..storage import materialise
 
 #: Each order is a filing, each line a fact; `how` spoils some of its properties.
 FACTS_SQL = """SELECT CAST(l_orderkey AS VARCHAR(20)) AS filing_id, CAST(l_linenumber AS INT) AS ordinal, concat('e', CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(9))) AS fact_evidence_id,
@@ -40,47 +40,88 @@ def uk_quant_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("filing_id", "metric", "status", F.coalesce("refusal_code", F.lit("")).alias("refusal_code"), F.round("number", 6).alias("value"), F.coalesce("unit", F.lit("")).alias("unit"), F.array_join("evidence_ids", ",").alias("evidence"))
 
 
-def _document(rows: list[dict]) -> str:
-    """The inline document of one filing."""
-    members = ["", "uk-core:WithinOneYear", "uk-core:AfterOneYear"]
-    names = {"creditors": "uk-core:Creditors", "currentassets": "uk-core:CurrentAssets", "currentliabilities": "uk-core:CurrentLiabilities"}
-    out = []
-    for r in rows:
-        n = r["ordinal"]
-        axis = f'<xbrldi:explicitMember dimension="uk-core:MaturitiesOrExpirationPeriodsDimension">{members[r["dim"]]}</xbrldi:explicitMember>' if r["dim"] else ""
-        segment = f"<xbrli:segment>{axis}</xbrli:segment>" if r["has_segment"] or r["dim"] and not r["has_scenario"] else ""
-        scenario = f"<xbrli:scenario>{axis if not segment else ''}</xbrli:scenario>" if r["has_scenario"] else ""
-        out.append(f'<xbrli:context id="c{n}-{r["k"]}"><xbrli:entity><xbrli:identifier scheme="x">{r["entity_identifier"]}</xbrli:identifier>{segment}</xbrli:entity><xbrli:period><xbrli:instant>{r["instant"]}</xbrli:instant></xbrli:period>{scenario}</xbrli:context>')
-        # numbers that are no money stay apart by their unit, as the facts hold them
-        unit = {"gbp": "xbrli:pure", "eur": "xbrli:shares"}[r["unit_canon"]] if r["unit_type"] == "pure" else f"iso4217:{r['unit_canon'].upper()}"
-        out.append(f'<xbrli:unit id="u{n}-{r["k"]}"><xbrli:measure>{unit}</xbrli:measure></xbrli:unit>')
-        value = "unclear" if r["value_num"] is None else f"({-r['value_num']:,f})" if r["value_num"] < 0 else f"{r['value_num']:,f}"
-        nil = ' xsi:nil="true"' if r["is_nil"] else ""
-        out.append(f'<p><ix:nonFraction id="{r["fact_evidence_id"]}" name="{names[r["concept_local"]]}" contextRef="c{n}-{r["k"]}" unitRef="u{n}-{r["k"]}" format="ixt2:numdotdecimal" scale="0"{nil}>{value}<ix:exclude> *</ix:exclude></ix:nonFraction>')
-    return "<html><body>" + "".join(out)
+_AXIS = '<xbrldi:explicitMember dimension="uk-core:MaturitiesOrExpirationPeriodsDimension">{}</xbrldi:explicitMember>'
+
+
+def _contexts() -> tuple[pa.Array, pa.Array]:
+    """The segment and scenario of a context, at 4 * dim + 2 * has_segment + has_scenario; an axis stands in the segment, but alone in a scenario."""
+    segments, scenarios = [], []
+    for dim in ("", "uk-core:WithinOneYear", "uk-core:AfterOneYear"):
+        axis = _AXIS.format(dim) if dim else ""
+        for has_segment, has_scenario in ((False, False), (False, True), (True, False), (True, True)):
+            segments.append(f"<xbrli:segment>{axis}</xbrli:segment>" if has_segment or dim and not has_scenario else "")
+            scenarios.append(f"<xbrli:scenario>{axis if not segments[-1] else ''}</xbrli:scenario>" if has_scenario else "")
+    return pa.array(segments), pa.array(scenarios)
+
+
+def _printed(values: pa.Array) -> pa.Array:
+    """Numbers with thousands and all decimals, negative ones in parentheses, unclear where there is none."""
+    text = values.cast(pa.string())
+    text = pc.if_else(pc.less(values, 0), pc.binary_join_element_wise("(", pc.utf8_slice_codeunits(text, 1), ")", ""), text)
+    large = pc.fill_null(pc.greater_equal(pc.abs(values), 1000), False)
+    if pc.any(large).as_py():
+        text = pa.array([t if not is_large else f"({-v:,f})" if v < 0 else f"{v:,f}" for t, v, is_large in zip(text.to_pylist(), values.to_pylist(), large.to_pylist())], pa.string())
+    return pc.fill_null(text, "unclear")
+
+
+def _documents(facts: pa.Table, starts: np.ndarray) -> pa.Array:
+    """The inline documents of filings whose facts begin at the given rows."""
+    of = lambda name: facts[name].combine_chunks()
+    joined = lambda *parts: pc.binary_join_element_wise(*parts, "", null_handling="replace", null_replacement="None")
+    ends = np.append(starts[1:], len(facts))
+    place = pa.array(np.arange(len(facts)) - np.repeat(starts, ends - starts)).cast(pa.string())
+    flag = lambda name: pc.fill_null(of(name), False).cast(pa.int32())
+    kind = pc.add(pc.multiply(pc.fill_null(of("dim"), 0), 4), pc.add(pc.multiply(flag("has_segment"), 2), flag("has_scenario")))
+    segment, scenario = (t.take(kind) for t in _contexts())
+    tag = joined(of("ordinal").cast(pa.string()), "-", place)
+    # numbers that are no money stay apart by their unit, as the facts hold them
+    money, gbp = pc.not_equal(of("unit_type"), "pure"), pc.equal(of("unit_canon"), "gbp")
+    unit = pc.if_else(money, joined("iso4217:", pc.utf8_upper(of("unit_canon"))), pc.if_else(gbp, "xbrli:pure", "xbrli:shares"))
+    names = pa.array(["uk-core:Creditors", "uk-core:CurrentAssets", "uk-core:CurrentLiabilities"]).take(pc.index_in(of("concept_local"), pa.array(["creditors", "currentassets", "currentliabilities"])))
+    nil = pc.if_else(pc.fill_null(of("is_nil"), False), ' xsi:nil="true"', "")
+    made = joined(
+        '<xbrli:context id="c', tag, '"><xbrli:entity><xbrli:identifier scheme="x">', of("entity_identifier"), "</xbrli:identifier>", segment, "</xbrli:entity><xbrli:period><xbrli:instant>", of("instant"), "</xbrli:instant></xbrli:period>", scenario, "</xbrli:context>",
+        '<xbrli:unit id="u', tag, '"><xbrli:measure>', unit, "</xbrli:measure></xbrli:unit>",
+        '<p><ix:nonFraction id="', of("fact_evidence_id"), '" name="', names, '" contextRef="c', tag, '" unitRef="u', tag, '" format="ixt2:numdotdecimal" scale="0"', nil, ">", _printed(of("value_num")), "<ix:exclude> *</ix:exclude></ix:nonFraction>",
+    )
+    return joined("<html><body>", pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(facts)), pa.int32()), made), ""))
+
+
+def _packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A package for each filing, of facts that come together; within it they are put in the order of their ordinals."""
+
+    def made(facts: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ordinals, filing = facts["ordinal"].to_numpy(), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(facts))))
+        if np.any((np.diff(ordinals) < 0) & (np.diff(filing) == 0)):
+            facts = facts.take(pa.array(np.lexsort((ordinals, filing))))
+        files = facts["filing_id"].combine_chunks().take(pa.array(starts))
+        documents = _documents(facts, starts).cast(pa.binary())
+        for k in range(0, len(files), 1000):
+            content = [stored_package("accounts.html", d.as_py()) for d in documents.slice(k, 1000)]
+            yield pa.RecordBatch.from_arrays([files.slice(k, 1000), pa.array(content, pa.binary())], ["filing_id", "content"])
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        ids = held["filing_id"].combine_chunks()
+        starts = np.append(0, np.flatnonzero(pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)) + 1)
+        if len(starts) > 1:  # the last filing may go on in the next batch
+            yield from made(held.slice(0, starts[-1]), starts[:-1])
+            held = held.slice(starts[-1])
+    if held is not None:
+        yield from made(held, np.array([0]))
 
 
 def uk_parsed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same metrics from inline documents made of the same facts, packed, parsed and put through the seven stages."""
-    facts = run_sql(spark, sf_dir, FACTS_SQL)
-    held = facts.groupBy("filing_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "fact_evidence_id", *[c for c in facts.columns if c not in ("filing_id", "ordinal", "fact_evidence_id")]))).alias("rows"))
-
-    def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 100):
-                part = batch.slice(k, 100).to_pylist()
-                made = []
-                for r in part:
-                    file = io.BytesIO()
-                    with zipfile.ZipFile(file, "w") as z:
-                        z.writestr("accounts.html", _document([{**f, "k": n} for n, f in enumerate(r["rows"])]))
-                    made.append(file.getvalue())
-                yield pa.RecordBatch.from_arrays([pa.array([r["filing_id"] for r in part]), pa.array(made, pa.binary())], ["filing_id", "content"])
-
-    raw = materialise(read_packages(held.mapInArrow(run, "filing_id string, content binary")), "uk-rows")
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = lines.repartition("l_orderkey").sortWithinPartitions("l_orderkey")  # each filing's facts together
+    held = run_sql(spark, sf_dir, FACTS_SQL, lineitem=lines)
     filings = run_sql(spark, sf_dir, _FILINGS_SQL).withColumn("period_end", F.to_date("period_end"))
-    out = uk.quant_answers(uk_facts(raw), filings)
-    ids = F.array_join(F.transform("evidence_ids", lambda e: F.regexp_extract(e, "id=(.*)$", 1)), ",")
+    out = uk.quant_answers(read_uk_facts(held.mapInArrow(_packages, "filing_id string, content binary")), filings)
+    ids = F.array_join(F.transform("evidence_ids", lambda e: F.substring_index(e, "id=", -1)), ",")
     unit = F.when((F.col("metric") == "working_capital") & (F.col("status") == "OK"), F.col("unit")).when(F.col("status") == "OK", "pure").otherwise("")
     return out.select("filing_id", "metric", "status", F.coalesce("refusal_code", F.lit("")).alias("refusal_code"), F.round("number", 6).alias("value"), unit.alias("unit"), ids.alias("evidence"))
 

@@ -490,41 +490,3 @@ def labels(raw: DataFrame) -> DataFrame:
     concepts = _last(raw, "loc", [*at, "id"], ["name"]).where("name IS NOT NULL").select(*at, F.col("id").alias("origin"), F.col("name").alias("concept"))
     texts = _last(raw, "label", [*at, "id"], ["role", "lang", "text"]).withColumnRenamed("id", "target")
     return arcs.join(concepts, [*at, "origin"]).join(texts, [*at, "target"]).select("filing_id", "concept", "role", "lang", "text").dropDuplicates()
-
-
-def uk_facts(raw: DataFrame) -> DataFrame:
-    """Raw facts as `operators.uk` takes them: local names, ordinals from 0, numbers by the UK transforms, validity flags.
-
-    Text marked as excluded is left out; a continuation whose id is doubled, missing or part of a loop makes a fact's chain invalid.
-    """
-    from ..functions.numbers import parse_number_uk
-    from ..functions.text import local_concept
-    from ..operators.uk import uk_date, uk_transform
-
-    f = raw.where("kind = 'fact'")
-    own = _last(raw, "context", ["filing_id", "id"], ["instant_date", "start_date", "end_date", "entity_identifier", "dimensions", "has_segment", "has_scenario"])
-    name = lambda x: F.regexp_replace(F.lower(F.element_at(F.split(x, ":"), -1)), "[^a-z0-9]", "")
-    dims = F.map_from_entries(F.transform(F.map_entries("dimensions"), lambda e: F.struct(name(e["key"]).alias("k"), name(e["value"]).alias("v"))))
-    own = own.withColumn("_instant", uk_date(F.col("instant_date")))
-    own = own.select("filing_id", F.col("id").alias("context_id"), F.col("_instant").alias("instant"), "entity_identifier", F.when(F.size("dimensions") > 0, dims).otherwise(F.create_map().cast("map<string,string>")).alias("dimensions"), "has_segment", "has_scenario")
-    measure = _last(raw, "unit", ["filing_id", "id"], ["measures", "numerator"])
-    one = F.when((F.size("measures") == 1) & (F.size("numerator") == 0), F.get("measures", 0))
-    local = F.lower(F.regexp_extract(one, "([^:}]*)$", 1))
-    money = local.rlike("^[a-z]{3}$") & (F.contains(F.lower(one), F.lit("iso4217")) | one.rlike("[:}]"))
-    kind = F.when(one.isNull(), "complex").when(money, "currency").when(local.isin("pure", "shares"), local).otherwise("unknown")
-    measure = measure.select("filing_id", F.col("id").alias("unit_id"), F.when(kind.isin("currency", "pure", "shares"), local).alias("unit_canon"), kind.alias("unit_type"))
-    plain, known = uk_transform(F.col("format"), F.col("shown"))
-    numeric = F.col("local") == "nonfraction"
-    f = f.withColumn("_plain", plain).withColumn("_known", known).withColumn("_number", parse_number_uk(F.col("_plain"), F.col("sign"), F.col("is_nil")))
-    known = F.col("_known")
-    value = F.when(numeric & known, _uk_scaled(F.col("_number"), F.col("scale")))
-    f = f.select(
-        "filing_id", "source_file", (F.col("ordinal") - 1).alias("ordinal"), F.concat_ws("::", "filing_id", F.coalesce(F.concat(F.lit("id="), F.col("id")), F.concat(F.lit("ord="), (F.col("ordinal") - 1).cast("string")))).alias("fact_evidence_id"),
-        local_concept(F.col("name")).alias("concept_local"), "context_id", "unit_id", value.alias("value_num"), F.col("shown").alias("value_text"), "is_nil", "continuation_valid", (~numeric | known).alias("transform_supported"),
-    )
-    return f.join(own, ["filing_id", "context_id"], "left").join(measure, ["filing_id", "unit_id"], "left")
-
-
-def _uk_scaled(value: Column, scale: Column) -> Column:
-    """A scale that is no integer makes the number unknown."""
-    return F.when(scale.isNotNull() & scale.try_cast("int").isNull(), None).otherwise(scaled(value, F.lit(None).cast("string"), scale))
